@@ -1,10 +1,55 @@
-"""The corpus pipeline: the stages that turn raw documents into training data."""
+"""The corpus pipeline: the stages that turn raw documents into token ids.
+
+Each stage works on all that the one before it kept. Language identification, near-duplicate removal, secret redaction and mixing return the
+columns of ``documents``; the last stage returns ``doc_id`` and the piece ids of every row it gets.
+"""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quarry.llm import language_id, mixing, piece_codec, secret_scan, simhash_neardup
+
+#: The SentencePiece model; a path that all executors can read.
+PIECE_MODEL = os.environ.get("QUARRY_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified, ``lang`` set to it; the others go."""
+    return language_id.keep_identified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    return simhash_neardup.deduplicate(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text are replaced."""
+    return secret_scan.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents by the budget of their (domain, language, source), a row for each epoch that uses one."""
+    return mixing.mix(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids) of every row."""
+    return piece_codec.encode(docs, PIECE_MODEL)
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("SimHash near-duplicates", drop_near_duplicates),
+    ("secret redaction", redact_secrets),
+    ("mixing to target weights", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
+]
+
+#: SQL expresses neither the classifier nor the merges.
 ORACLE_SQL = None
 
 
