@@ -10,9 +10,10 @@ matches are the edges of the word's lattice, grouped by word and folded with a h
   library's own ids; Viterbi over the scores wouldn't. Words above ``FOLD_CHARS`` characters, too wide for
   the mask, go through the same merges with a heap.
 
-Documents aren't shuffled by word. Each is packed, in blocks of about ``BLOCK_BYTES`` of text, as numbers into its
-block's own sorted word list; the lists ask for their words' ids, and the answers meet the documents by block. What moves is a few bytes
-for each word of text and front-coded lists.
+Documents aren't shuffled by word. Each is packed, in blocks of about ``BLOCK_CHARS`` of text, as numbers into its
+block's own word list; the lists ask for their words' ids, and the answers meet the documents by block. What moves is little more than a
+byte for each word of text, and compressed lists. A block is named by a digest of its content, so a task that is run again makes the same
+block; an input that isn't a plain scan is written to the shared folder first.
 
 Defined cases. A null text has null ids; an empty one has none. Texts are encoded whole, at any length. Repeated rows are encoded alike, each
 for itself. A null ``doc_id`` is kept. Characters outside the vocabulary become byte pieces (or the unknown id in a model without
@@ -24,14 +25,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import struct
-import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ from quarry.llm.common import materialize, small_side
 
 SPACE = "▁"
 #: Text packed into one block, at least one document.
-BLOCK_BYTES = 8 << 20
+BLOCK_CHARS = 4 << 20
 #: Words of so many characters at most are folded in Spark.
 FOLD_CHARS = 60
 NORMAL, UNK, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -137,8 +137,8 @@ class Cutter:
                 self.joined[n[:-1], n[1:]] = True
         self.prefix = SPACE if v.dummy_prefix else ""
 
-    def words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-        """(all texts normalised, in one string; start of each word and the end of the last; first word of each text and the end)."""
+    def words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """(all texts normalised, in one string; its code points; start of each word and the end of the last; first word of each text and the end)."""
         whole = [(self.prefix + t.replace(" ", SPACE)) if t else "" for t in texts]
         joined = "".join(whole)
         points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
@@ -148,8 +148,41 @@ class Cutter:
         if len(points) > 1:
             cut[1:-1] = ~self.joined[n[:-1], n[1:]]
         cut[begin] = True
-        starts = np.flatnonzero(cut)
-        return joined, starts, np.searchsorted(starts, begin)
+        starts = np.flatnonzero(cut) if len(points) else np.zeros(1, dtype=np.int64)
+        return joined, points, starts, np.searchsorted(starts, begin)
+
+
+def _hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, from prefix sums of a polynomial."""
+    textkit._grow(len(points) + 1)
+    sums = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * textkit._powers[: len(points)], out=sums[1:])
+    return textkit.mix((sums[starts[1:]] - sums[starts[:-1]]) * textkit._inverse[starts[:-1]])
+
+
+def _buckets(words: list[str], buckets: int) -> np.ndarray:
+    joined = "".join(words)
+    points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+    return (_hashes(points, np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _number(hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, joined: str) -> tuple[np.ndarray, list[str]]:
+    """(number of each word's text, the texts): equal texts have equal numbers. Hashes find them; characters are compared, so collisions do no harm."""
+    _, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+    length = np.diff(starts)
+    model = first[at]
+    same = bool((length[model] == length).all())
+    for a in range(0, len(length) if same else 0, 200_000):
+        b = min(a + 200_000, len(length))
+        shift = np.repeat(starts[model[a:b]] - starts[a:b], length[a:b])
+        if not (points[np.arange(starts[a], starts[b]) + shift] == points[starts[a] : starts[b]]).all():
+            same = False
+            break
+    if same:
+        return at, [joined[a:b] for a, b in zip(starts[first].tolist(), starts[first + 1].tolist())]
+    numbers: dict[str, int] = {}
+    at = np.array([numbers.setdefault(joined[a:b], len(numbers)) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())], dtype=np.int64)
+    return at, list(numbers)
 
 
 def _digest(data: bytes) -> bytes:
@@ -165,7 +198,10 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
 
 
 def _list(words: list[str]) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress("\x00".join(w.replace("\x01", "\x01b").replace("\x00", "\x01a") for w in words).encode())
+    text = "\x00".join(words)
+    if "\x01" in text or text.count("\x00") != len(words) - 1:
+        text = "\x00".join(w.replace("\x01", "\x01b").replace("\x00", "\x01a") for w in words)
+    return zstandard.ZstdCompressor(level=3).compress(text.encode())
 
 
 def _unlist(data: bytes) -> list[str]:
@@ -174,61 +210,76 @@ def _unlist(data: bytes) -> list[str]:
     return [w.replace("\x01a", "\x00").replace("\x01b", "\x01") for w in words] if "\x01" in text else words
 
 
-def _bucket(word: str, buckets: int) -> int:
-    return zlib.crc32(word.encode()) % buckets
-
-
-_BLOCKS = "kind string, block string, bucket int, doc_id long, n long, data binary"
+_BLOCKS = "block string, kind string, place int, doc_id long, n long, data binary"
 
 
 def _packer(cutter: Cutter, buckets: int):
-    """Rows of a block: its documents as word numbers (kind ``doc``) and its distinct words by bucket (kind ``ask``)."""
+    """Rows of a block: its documents (kind ``doc``), their words' numbers (``seq``) and its distinct words by bucket (``ask``)."""
 
     def block(ids: list, texts: list) -> Iterator[tuple]:
-        name = uuid.uuid4().hex
-        joined, starts, first = cutter.words([t or "" for t in texts])
-        lengths = np.diff(starts)
-        # number the words by first appearance in a dict: C speed for the slices, one lookup a word
-        numbers: dict[str, int] = {}
-        ends = starts[1:].tolist()
-        at = np.fromiter((numbers.setdefault(joined[a:b], len(numbers)) for a, b in zip(starts.tolist(), ends)), dtype=np.int64, count=len(lengths))
-        words = list(numbers)
+        parts, hashes, points, starts, firsts = [], [], [], [np.zeros(1, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
+        chars = words_so_far = a = 0
+        digest = hashlib.blake2b(digest_size=16)
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size < 1 << 19):
+                size += len(texts[b] or "")
+                b += 1
+            joined, own, cut, first = cutter.words([t or "" for t in texts[a:b]])
+            digest.update(repr(ids[a:b]).encode() + joined.encode())
+            parts.append(joined)
+            points.append(own)
+            hashes.append(_hashes(own, cut))
+            starts.append(cut[1:] + chars)
+            firsts.append(first[1:] + words_so_far)
+            chars, words_so_far, a = chars + len(own), words_so_far + len(cut) - 1, b
+        name, h, cut, first = digest.hexdigest(), np.concatenate(hashes), np.concatenate(starts), np.concatenate(firsts)
+        at, words = _number(h, np.concatenate(points), cut, "".join(parts)) if len(h) else (np.zeros(0, np.int64), [])
         # frequent words get small numbers, which pack best
         order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), dtype=np.int64)
         rank[order] = np.arange(len(words))
         at = rank[at].astype(np.uint32)
         for i, (doc_id, text) in enumerate(zip(ids, texts)):
-            yield "doc", name, i, doc_id, -1 if text is None else first[i + 1] - first[i], _digest((text or "").encode())
-        yield "seq", name, 0, None, len(at), _pack(np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T[:3] if len(words) < 1 << 24 else at.view(np.uint8).reshape(-1, 4).T))
-        parts: dict[int, list[tuple[str, int]]] = {}
-        for w, k in zip(words, rank.tolist()):
-            parts.setdefault(_bucket(w, buckets), []).append((w, k))
-        for bucket, own in parts.items():
+            yield name, "doc", i, doc_id, -1 if text is None else int(first[i + 1] - first[i]), _digest((text or "").encode())
+        yield name, "seq", 0, None, len(at), _pack(np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T[: 3 if len(words) < 1 << 24 else 4]))
+        asks: dict[int, list[tuple[str, int]]] = {}
+        for w, k, bucket in zip(words, rank.tolist(), _buckets(words, buckets).tolist() if words else ()):
+            asks.setdefault(bucket, []).append((w, k))
+        for bucket, own in asks.items():
             own.sort()
-            yield "ask", name, bucket, None, len(own), struct.pack("<I", len(x := _list([w for w, _ in own]))) + x + _pack(np.array([k for _, k in own], dtype=np.uint32))
+            x = _list([w for w, _ in own])
+            yield name, "ask", bucket, None, len(own), struct.pack("<I", len(x)) + x + _pack(np.array([k for _, k in own], dtype=np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
             rows = list(zip(*block(ids, texts)))
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.int64()), pa.array(rows[5], pa.binary())], ["kind", "block", "bucket", "doc_id", "n", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["block", "kind", "place", "doc_id", "n", "data"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if ids and size + len(text or "") > BLOCK_BYTES:
-                    yield flush()
-                    ids, texts, size = [], [], 0
-                ids.append(doc_id)
-                texts.append(text)
-                size += len(text or "")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if ids and size + len(text or "") > BLOCK_CHARS:
+                        yield flush()
+                        ids, texts, size = [], [], 0
+                    ids.append(doc_id)
+                    texts.append(text)
+                    size += len(text or "")
         if ids:
             yield flush()
 
     return run
 
 
+def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = batch.filter(pc.equal(batch.column(1), "ask"))
+        yield pa.RecordBatch.from_arrays([own.column(2), own.column(0), own.column(5)], ["bucket", "block", "data"])
+
+
 def _asked(data: bytes) -> tuple[list[str], bytes]:
     n = struct.unpack("<I", data[:4])[0]
     return _unlist(data[4 : 4 + n]), data[4 + n :]
@@ -237,7 +288,7 @@ def _asked(data: bytes) -> tuple[list[str], bytes]:
 def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words: dict[str, None] = {}
-        for data in batch.column(0).to_pylist():
+        for data in batch.column(2).to_pylist():
             words.update(dict.fromkeys(_asked(data)[0]))
         own = list(words)
         for a in range(0, len(own), 20_000):
@@ -314,9 +365,12 @@ def word_ids(words: DataFrame, v: Vocabulary) -> DataFrame:
             "array_sort(transform(filter(edges, x -> x.e - x.s = 1), x -> struct(x.s as s, 1L as ends, 0L as inner, x.id as id))) as chars",
             "transform(array_sort(filter(edges, x -> x.e - x.s > 1)), x -> struct(x.s as s, shiftleft(1L, x.s) | shiftleft(1L, x.e) as ends, shiftleft(shiftleft(1L, x.e - x.s - 1) - 1L, x.s + 1) as inner, x.id as id)) as merges",
         )
-        # the cuts: bit i is set if a symbol begins at i; a step takes the first edge in rank order that spans one cut alone
-        step = "acc & ~coalesce(get(filter(merges, x -> (acc & x.ends) = x.ends and bit_count(acc & x.inner) = 1), 0).inner, 0L)"
-        cuts = merges.selectExpr("word", "chars", "merges", f"aggregate(sequence(1, size(chars)), shiftleft(1L, size(chars) + 1) - 1L, (acc, _i) -> {step}) as cuts")
+        # The cuts: bit i is set if a symbol begins at i. Edges come in rank order. One that spans a single cut merges; one that spans
+        # more waits, and is looked at again after every later merge, since merging may have brought it to a single cut.
+        one = lambda cuts, x: f"({cuts} & {x}.ends) = {x}.ends and bit_count({cuts} & {x}.inner) = 1"
+        settle = f"if(size(a.wait) = 0, a.cuts & ~x.inner, aggregate(a.wait, a.cuts & ~x.inner, (m, _i) -> m & ~coalesce(get(filter(a.wait, y -> {one('m', 'y')}), 0).inner, 0L)))"
+        step = f"case when (a.cuts & x.ends) <> x.ends or bit_count(a.cuts & x.inner) = 0 then a when bit_count(a.cuts & x.inner) = 1 then named_struct('cuts', {settle}, 'wait', a.wait) else named_struct('cuts', a.cuts, 'wait', concat(a.wait, array(x))) end"
+        cuts = merges.selectExpr("word", "chars", "merges", f"aggregate(merges, named_struct('cuts', shiftleft(1L, size(chars) + 1) - 1L, 'wait', slice(merges, 1, 0)), (a, x) -> {step}, a -> a.cuts) as cuts")
         final = "concat(filter(merges, x -> (cuts & x.ends) = x.ends and (cuts & x.inner) = 0), filter(chars, x -> (cuts & shiftleft(3L, x.s)) = shiftleft(3L, x.s)))"
         folded = cuts.selectExpr("word", f"flatten(transform(array_sort({final}), x -> if(x.id is not null, array(x.id), {fallback}))) as ids")
     else:
@@ -356,46 +410,58 @@ def _chunk(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _unpack(data[4 : 4 + a], np.uint32), _unpack(data[8 + a : 8 + a + b], np.uint32), ids
 
 
-def _unblock(v: Vocabulary, docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """The documents of a block with their ids, and whether these decode to the text."""
-    kinds = docs.column("kind").to_pylist()
-    data = docs.column("data").to_pylist()
-    seq = kinds.index("seq")
-    planes = _unpack(data[seq], np.uint8)
-    n_words = docs.column("n")[seq].as_py()
-    wide = np.zeros((n_words, 4), dtype=np.uint8)
-    if n_words:
-        planes = planes.reshape(-1, n_words)
-        wide[:, : len(planes)] = planes.T
-    at = wide.view(np.uint32).ravel().astype(np.int64)
+def _unblock(v: Vocabulary, rows: pa.Table, answers: pa.Table) -> Iterator[pa.Table]:
+    """The documents of a block with their ids, and whether these decode to the text; some 500,000 words at a time."""
+    seq = rows.filter(pc.equal(rows.column("kind"), "seq"))
+    docs = rows.filter(pc.equal(rows.column("kind"), "doc")).sort_by("place")
+    n_words = seq.column("n")[0].as_py()
+    planes = _unpack(seq.column("data")[0].as_py(), np.uint8).reshape(-1, n_words) if n_words else np.zeros((3, 0), np.uint8)
     chunks = [_chunk(x) for x in answers.column("data").to_pylist()]
-    total = sum(len(c[0]) for c in chunks)
-    n, offset = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
-    values = np.concatenate([c[2] for c in chunks] or [np.zeros(0, np.int32)])
+    known = sum(len(c[0]) for c in chunks)
+    size, offset = np.zeros(known, dtype=np.int64), np.zeros(known, dtype=np.int64)
     begin = 0
     for numbers, lengths, ids in chunks:
-        n[numbers] = lengths
+        size[numbers] = lengths
         offset[numbers] = begin + np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else 0
         begin += len(ids)
-    word_n = n[at]
-    ends = np.concatenate(([0], np.cumsum(word_n)))
-    ids = values[np.repeat(offset[at] - ends[:-1], word_n) + np.arange(ends[-1])]
-    order = [i for i, k in enumerate(kinds) if k == "doc"]
-    place = docs.column("bucket").to_pylist()
-    order.sort(key=lambda i: place[i])
-    counts = np.array([docs.column("n")[i].as_py() for i in order], dtype=np.int64)
-    first = np.concatenate(([0], np.cumsum(np.maximum(counts, 0))))
-    lists = pa.ListArray.from_arrays(pa.array(ends[first].astype(np.int32), mask=np.append(counts < 0, False)), pa.array(ids, pa.int32()))
-    doc_ids = docs.column("doc_id").take(pa.array(order, pa.int64()))
+    values = np.concatenate([c[2] for c in chunks] or [np.zeros(0, np.int32)])
     table = _bytes_of(v)
-    size = np.array([len(x) for x in table])
-    at_byte = np.concatenate(([0], np.cumsum(size)))
-    till = np.concatenate(([0], np.cumsum(size[ids])))
-    text = np.frombuffer(b"".join(table), dtype=np.uint8)[np.repeat(at_byte[ids] - till[:-1], size[ids]) + np.arange(till[-1])].tobytes()
-    edges = till[ends[first]].tolist()
-    skip = int(v.dummy_prefix)
-    same = [_digest(text[a + skip if b > a else a : b]) == data[i] for i, a, b in zip(order, edges, edges[1:])]
-    return pa.table({"doc_id": doc_ids, "ids": lists, "round_trip": pa.array(same, pa.bool_(), mask=counts < 0)})
+    piece_size = np.array([len(x) for x in table])
+    piece_at = np.concatenate(([0], np.cumsum(piece_size)))
+    pieces = np.frombuffer(b"".join(table), dtype=np.uint8)
+    counts = np.asarray(docs.column("n").combine_chunks())
+    digests = docs.column("data").to_pylist()
+    first = np.concatenate(([0], np.cumsum(np.maximum(counts, 0))))
+    skip, a = int(v.dummy_prefix), 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(first, first[a] + 500_000, "right")) - 1)
+        own = planes[:, first[a] : first[b]]
+        at = np.zeros(own.shape[1], dtype=np.int64)
+        for i, plane in enumerate(own):
+            at |= plane.astype(np.int64) << (8 * i)
+        if len(at) and at.max() >= known:
+            raise RuntimeError("a block lacks answers: its input changed while it was read")
+        n = size[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = values[np.repeat(offset[at] - ends[:-1], n) + np.arange(ends[-1])]
+        edges = ends[first[a : b + 1] - first[a]]
+        n_bytes = piece_size[ids]
+        till = np.concatenate(([0], np.cumsum(n_bytes)))
+        text = pieces[np.repeat(piece_at[ids] - till[:-1], n_bytes) + np.arange(till[-1])].tobytes()
+        cut = till[edges].tolist()
+        same = [_digest(text[x + skip if y > x else x : y]) == d for x, y, d in zip(cut, cut[1:], digests[a:b])]
+        missing = counts[a:b] < 0
+        lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32), mask=np.append(missing, False)), pa.array(ids, pa.int32()))
+        yield pa.table({"doc_id": docs.column("doc_id").slice(a, b - a).combine_chunks(), "ids": lists, "round_trip": pa.array(same, pa.bool_(), mask=missing)})
+        a = b
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is only a projection or filter of files, so that reading it again gives the same rows in the same order."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.child()
+    return node.nodeName() in ("LogicalRelation", "RelationV2", "DataSourceV2ScanRelation") or node.nodeName().startswith("Relation")
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
@@ -403,23 +469,26 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     v = load(model_path)
     cutter = Cutter(v)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not _is_scan(slim):
+        slim = materialize(slim, "piece-input")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = materialize(slim.mapInArrow(_packer(cutter, buckets), _BLOCKS), "piece-blocks")
-    asks = packed.where("kind = 'ask'").select("block", "bucket", "data")
-    words = asks.repartition(buckets, "bucket").select("data").mapInArrow(_all_words, "word string").distinct()
+    # one exchange by block serves the questions and the documents; one by bucket serves the word table and the lookup
+    packed = slim.mapInArrow(_packer(cutter, buckets), _BLOCKS).repartition(buckets, "block")
+    asks = packed.mapInArrow(_asks, "bucket int, block string, data binary").repartition(buckets, "bucket")
+    words = asks.mapInArrow(_all_words, "word string").repartition(buckets, "word").distinct()
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_bucket(w, buckets) for w in batch.column(0).to_pylist()], pa.int32())], ["word", "ids", "bucket"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_buckets(batch.column(0).to_pylist(), buckets), pa.int32())], ["word", "ids", "bucket"])
 
     known = word_ids(words, v).mapInArrow(bucketed, "word string, ids array<int>, bucket int")
     answers = asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answer, "block string, data binary")
-    own = packed.where("kind <> 'ask'").select("block", "kind", "bucket", "doc_id", "n", "data")
 
-    def unblock(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        return _unblock(v, docs, answers)
+    def unblock(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.concat_tables(_unblock(v, rows, answers))
 
-    return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(unblock, "doc_id long, ids array<int>, round_trip boolean")
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(unblock, "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
