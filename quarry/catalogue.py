@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.queries import dedup, lifecycle
+from quarry.queries import control, dedup, lifecycle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (dedup, lifecycle):
+for _module in (dedup, lifecycle, control):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -47,7 +47,7 @@ nodes as (
 )"""
 
 #: The local zone of the compiler's queries.
-LOCAL_KIND, LOCAL_ZONE = "metro", "algeria"
+LOCAL_KIND, LOCAL_ZONE = "metro", "nation_15"
 _TYPES = {"signup": "NewCapsule", "view": "HeatSpike", "click": "HeatSpike", "purchase": "CapacityThreshold", "error": "NodeDegraded"}
 _POLICIES = ("default", "metro_sync", "geo_replicated", "encrypted", "edge_optimized", "near_zero")
 
@@ -62,7 +62,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = F.element_at(F.array(*[F.lit(p) for p in _POLICIES]), (F.col("event_id") % len(_POLICIES) + 1).cast("int"))
     return e.select(
         "event_id", "ts", kind.alias("type"), F.concat(F.lit("capsule-"), F.col("user_id").cast("string")).alias("capsule_id"), F.concat(F.lit("node-"), F.lpad((F.col("user_id") % 100 + 1).cast("string"), 8, "0")).alias("node_id"),
-        F.floor("value").cast("bigint").alias("accesses_per_min"), F.floor(F.col("value") * 1000).cast("bigint").alias("used_bytes"), F.lit(500_000).cast("bigint").alias("total_bytes"), F.when(F.col("event_id") % 2 == 0, F.lit(0.85)).otherwise(F.lit(70.0)).alias("threshold_pct"),
+        F.floor("value").cast("bigint").alias("accesses_per_min"), F.floor(F.col("value") * 1000).cast("bigint").alias("used_bytes"), F.lit(400_000).cast("bigint").alias("total_bytes"), F.when(F.col("event_id") % 2 == 0, F.lit(0.85)).otherwise(F.lit(70.0)).alias("threshold_pct"),
         F.when(F.col("event_id") % 3 == 0, "disk_failure").when(F.col("event_id") % 3 == 1, "power loss").otherwise("disk failure detected").alias("reason"), F.lit("nfs").alias("view"), policy.alias("policy"),
     )
 
@@ -70,7 +70,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 TELEMETRY_SQL = f"""
 telemetry as (
   select event_id, ts, case when event_id % 11 = 0 then 'ViewProjection' {" ".join(f"when event_type = '{k}' then '{v}'" for k, v in _TYPES.items())} else 'ViewProjection' end as type,
-    'capsule-' || user_id::varchar as capsule_id, 'node-' || lpad((user_id % 100 + 1)::varchar, 8, '0') as node_id, floor(value)::bigint as accesses_per_min, floor(value * 1000)::bigint as used_bytes, 500000 as total_bytes,
+    'capsule-' || user_id::varchar as capsule_id, 'node-' || lpad((user_id % 100 + 1)::varchar, 8, '0') as node_id, floor(value)::bigint as accesses_per_min, floor(value * 1000)::bigint as used_bytes, 400000 as total_bytes,
     case when event_id % 2 = 0 then 0.85 else 70.0 end as threshold_pct, case event_id % 3 when 0 then 'disk_failure' when 1 then 'power loss' else 'disk failure detected' end as reason,
     list_extract([{", ".join(f"'{p}'" for p in _POLICIES)}], (event_id % {len(_POLICIES)} + 1)::int) as policy
   from events
