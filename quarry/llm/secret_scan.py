@@ -47,14 +47,14 @@ def window_entropy(value: bytes, width: int) -> float:
     counts, total = [0] * 256, 0
     best = None
     for i, c in enumerate(value):
-        k = counts[c]
-        total += f[k + 1] - f[k]
-        counts[c] = k + 1
         if i >= width:
             out = value[i - width]
             k = counts[out]
             total += f[k - 1] - f[k]
             counts[out] = k - 1
+        k = counts[c]
+        total += f[k + 1] - f[k]
+        counts[c] = k + 1
         if i >= width - 1 and (best is None or total < best):
             best = total
     return round(math.log2(width) - best / _UNIT / width, 6)
