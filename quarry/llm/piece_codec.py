@@ -12,8 +12,9 @@ matches are the edges of the word's lattice, grouped by word and folded with a h
 
 Documents aren't shuffled by word. Each is packed, in blocks of about ``BLOCK_CHARS`` of text, as numbers into its
 block's own word list; the lists ask for their words' ids, and the answers meet the documents by block. What moves is little more than a
-byte for each word of text, and compressed lists. A block is named by a digest of its content, so a task that is run again makes the same
-block; an input that isn't a plain scan is written to the shared folder first.
+byte for each word of text, and compressed lists. Texts are read twice, once for the lists and once for the numbers, which costs less than
+keeping both. A block is named by a digest of its content, so either reading makes the same blocks, as does a task that is run again; an input
+that isn't a plain scan is written to the shared folder first. A block without all its answers is an error.
 
 Defined cases. A null text has null ids; an empty one has none. Texts are encoded whole, at any length. Repeated rows are encoded alike, each
 for itself. A null ``doc_id`` is kept. Characters outside the vocabulary become byte pieces (or the unknown id in a model without
@@ -41,7 +42,7 @@ from quarry.llm.common import materialize, small_side
 
 SPACE = "▁"
 #: Text packed into one block, at least one document.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
 #: Words of so many characters at most are folded in Spark.
 FOLD_CHARS = 60
 NORMAL, UNK, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -160,10 +161,16 @@ def _hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return textkit.mix((sums[starts[1:]] - sums[starts[:-1]]) * textkit._inverse[starts[:-1]])
 
 
-def _buckets(words: list[str], buckets: int) -> np.ndarray:
+def _buckets(words: list[str], labels: np.ndarray) -> np.ndarray:
     joined = "".join(words)
     points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-    return (_hashes(points, np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)) % np.uint64(buckets)).astype(np.int32)
+    return labels[_hashes(points, np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)) % np.uint64(len(labels))]
+
+
+def _labels(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of ``n`` partitions a number that Spark's hash puts there, so that every bucket has a partition of its own."""
+    tried = spark.range(0, 40 * n + 400, 1, 1).select(F.col("id").cast("int").alias("b")).groupBy(F.pmod(F.hash("b"), F.lit(n)).alias("p")).agg(F.min("b").alias("b"))
+    return np.array([r["b"] for r in tried.collect()], dtype=np.int64)
 
 
 def _number(hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, joined: str) -> tuple[np.ndarray, list[str]]:
@@ -201,7 +208,7 @@ def _list(words: list[str]) -> bytes:
     text = "\x00".join(words)
     if "\x01" in text or text.count("\x00") != len(words) - 1:
         text = "\x00".join(w.replace("\x01", "\x01b").replace("\x00", "\x01a") for w in words)
-    return zstandard.ZstdCompressor(level=3).compress(text.encode())
+    return zstandard.ZstdCompressor(level=9).compress(text.encode())
 
 
 def _unlist(data: bytes) -> list[str]:
@@ -211,10 +218,11 @@ def _unlist(data: bytes) -> list[str]:
 
 
 _BLOCKS = "block string, kind string, place int, doc_id long, n long, data binary"
+_ASKS = "block string, bucket int, data binary"
 
 
-def _packer(cutter: Cutter, buckets: int):
-    """Rows of a block: its documents (kind ``doc``), their words' numbers (``seq``) and its distinct words by bucket (``ask``)."""
+def _packer(cutter: Cutter, labels: np.ndarray, asks: bool):
+    """A block's distinct words by bucket (``asks``), or its documents (kind ``doc``) and their words' numbers (``seq``)."""
 
     def block(ids: list, texts: list) -> Iterator[tuple]:
         parts, hashes, points, starts, firsts = [], [], [], [np.zeros(1, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
@@ -235,28 +243,37 @@ def _packer(cutter: Cutter, buckets: int):
             chars, words_so_far, a = chars + len(own), words_so_far + len(cut) - 1, b
         name, h, cut, first = digest.hexdigest(), np.concatenate(hashes), np.concatenate(starts), np.concatenate(firsts)
         at, words = _number(h, np.concatenate(points), cut, "".join(parts)) if len(h) else (np.zeros(0, np.int64), [])
+        del parts, points, hashes, h
+        # words are asked for by bucket, and in order within it
+        home = _buckets(words, labels).tolist() if words else []
+        order = sorted(range(len(words)), key=lambda i: (home[i], words[i]))
+        if asks:
+            begin = 0
+            while begin < len(order):
+                end = begin
+                while end < len(order) and home[order[end]] == home[order[begin]]:
+                    end += 1
+                yield name, home[order[begin]], _list([words[i] for i in order[begin:end]])
+                begin = end
+            return
         # frequent words get small numbers, which pack best
-        order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), dtype=np.int64)
-        rank[order] = np.arange(len(words))
-        at = rank[at].astype(np.uint32)
+        rank[np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")] = np.arange(len(words))
         for i, (doc_id, text) in enumerate(zip(ids, texts)):
             yield name, "doc", i, doc_id, -1 if text is None else int(first[i + 1] - first[i]), _digest((text or "").encode())
-        yield name, "seq", 0, None, len(at), _pack(np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T[: 3 if len(words) < 1 << 24 else 4]))
-        asks: dict[int, list[tuple[str, int]]] = {}
-        for w, k, bucket in zip(words, rank.tolist(), _buckets(words, buckets).tolist() if words else ()):
-            asks.setdefault(bucket, []).append((w, k))
-        for bucket, own in asks.items():
-            own.sort()
-            x = _list([w for w, _ in own])
-            yield name, "ask", bucket, None, len(own), struct.pack("<I", len(x)) + x + _pack(np.array([k for _, k in own], dtype=np.uint32))
+        asked = _pack(rank[order].astype(np.uint32))
+        numbers = rank[at].astype(np.uint32).view(np.uint8).reshape(-1, 4).T[: 3 if len(words) < 1 << 24 else 4]
+        yield name, "seq", 0, None, len(at), struct.pack("<I", len(asked)) + asked + _pack(np.ascontiguousarray(numbers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
 
+        kinds = (pa.string(), pa.int32(), pa.binary()) if asks else (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        names = [c.split(" ")[0] for c in (_ASKS if asks else _BLOCKS).split(", ")]
+
         def flush() -> pa.RecordBatch:
-            rows = list(zip(*block(ids, texts)))
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["block", "kind", "place", "doc_id", "n", "data"])
+            rows = list(zip(*block(ids, texts))) or [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds)], names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -274,25 +291,16 @@ def _packer(cutter: Cutter, buckets: int):
     return run
 
 
-def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = batch.filter(pc.equal(batch.column(1), "ask"))
-        yield pa.RecordBatch.from_arrays([own.column(2), own.column(0), own.column(5)], ["bucket", "block", "data"])
-
-
-def _asked(data: bytes) -> tuple[list[str], bytes]:
-    n = struct.unpack("<I", data[:4])[0]
-    return _unlist(data[4 : 4 + n]), data[4 + n :]
-
-
 def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words: dict[str, None] = {}
-        for data in batch.column(2).to_pylist():
-            words.update(dict.fromkeys(_asked(data)[0]))
-        own = list(words)
-        for a in range(0, len(own), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(own[a : a + 20_000], pa.string())], ["word"])
+        words: dict[int, dict[str, None]] = {}
+        for bucket, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            words.setdefault(bucket, {}).update(dict.fromkeys(_unlist(data)))
+        for bucket, own in words.items():
+            each = list(own)
+            for a in range(0, len(each), 20_000):
+                part = each[a : a + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(part), pa.int32()), pa.array(part, pa.string())], ["bucket", "word"])
 
 
 def _long_encoder(v: Vocabulary):
@@ -347,21 +355,21 @@ def _long_encoder(v: Vocabulary):
 
 
 def word_ids(words: DataFrame, v: Vocabulary) -> DataFrame:
-    """(word, ids) of the distinct ``words(word)``, by lattice and fold."""
+    """(bucket, word, ids) of the distinct ``words(bucket, word)``, by lattice and fold; ids are null above ``FOLD_CHARS`` characters."""
     spark = words.sparkSession
     pieces = piece_table(spark, v)
     short = words.where(F.length("word") <= FOLD_CHARS)
-    spans = short.selectExpr("word", "length(word) as n", "explode(sequence(0, length(word) - 1)) as s").selectExpr("word", "n", "s", f"explode(sequence(s + 1, least(n, s + {v.longest}))) as e")
-    spans = spans.selectExpr("word", "n", "s", "e", "substring(word, s + 1, e - s) as piece")
+    spans = short.selectExpr("bucket", "word", "length(word) as n", "explode(sequence(0, length(word) - 1)) as s").selectExpr("bucket", "word", "n", "s", f"explode(sequence(s + 1, least(n, s + {v.longest}))) as e")
+    spans = spans.selectExpr("bucket", "word", "n", "s", "e", "substring(word, s + 1, e - s) as piece")
     # a single character always has an edge, if only one without a piece; all stays where ``distinct`` put the word
     found = spans.join(small_side(pieces, len(v.pieces), 64), "piece", "left").where("id is not null or e - s = 1")
-    edges = found.groupBy("word").agg(F.collect_list(F.struct("rank", "s", "e", "id")).alias("edges"))
+    edges = found.groupBy("bucket", "word").agg(F.collect_list(F.struct("rank", "s", "e", "id")).alias("edges"))
     bytes_at = v.kinds.index(BYTE) if BYTE in v.kinds else None
     at = "substring(word, x.s + 1, 1)"
     fallback = f"array({v.unk})" if bytes_at is None else f"transform(sequence(1, octet_length({at})), k -> {bytes_at} + cast(conv(substring(hex(encode({at}, 'UTF-8')), 2 * k - 1, 2), 16, 10) as int))"
     if v.bpe:
         merges = edges.selectExpr(
-            "word",
+            "bucket", "word",
             "array_sort(transform(filter(edges, x -> x.e - x.s = 1), x -> struct(x.s as s, 1L as ends, 0L as inner, x.id as id))) as chars",
             "transform(array_sort(filter(edges, x -> x.e - x.s > 1)), x -> struct(x.s as s, shiftleft(1L, x.s) | shiftleft(1L, x.e) as ends, shiftleft(shiftleft(1L, x.e - x.s - 1) - 1L, x.s + 1) as inner, x.id as id)) as merges",
         )
@@ -370,44 +378,41 @@ def word_ids(words: DataFrame, v: Vocabulary) -> DataFrame:
         one = lambda cuts, x: f"({cuts} & {x}.ends) = {x}.ends and bit_count({cuts} & {x}.inner) = 1"
         settle = f"if(size(a.wait) = 0, a.cuts & ~x.inner, aggregate(a.wait, a.cuts & ~x.inner, (m, _i) -> m & ~coalesce(get(filter(a.wait, y -> {one('m', 'y')}), 0).inner, 0L)))"
         step = f"case when (a.cuts & x.ends) <> x.ends or bit_count(a.cuts & x.inner) = 0 then a when bit_count(a.cuts & x.inner) = 1 then named_struct('cuts', {settle}, 'wait', a.wait) else named_struct('cuts', a.cuts, 'wait', concat(a.wait, array(x))) end"
-        cuts = merges.selectExpr("word", "chars", "merges", f"aggregate(merges, named_struct('cuts', shiftleft(1L, size(chars) + 1) - 1L, 'wait', slice(merges, 1, 0)), (a, x) -> {step}, a -> a.cuts) as cuts")
+        cuts = merges.selectExpr("bucket", "word", "chars", "merges", f"aggregate(merges, named_struct('cuts', shiftleft(1L, size(chars) + 1) - 1L, 'wait', slice(merges, 1, 0)), (a, x) -> {step}, a -> a.cuts) as cuts")
         final = "concat(filter(merges, x -> (cuts & x.ends) = x.ends and (cuts & x.inner) = 0), filter(chars, x -> (cuts & shiftleft(3L, x.s)) = shiftleft(3L, x.s)))"
-        folded = cuts.selectExpr("word", f"flatten(transform(array_sort({final}), x -> if(x.id is not null, array(x.id), {fallback}))) as ids")
+        folded = cuts.selectExpr("bucket", "word", f"flatten(transform(array_sort({final}), x -> if(x.id is not null, array(x.id), {fallback}))) as ids")
     else:
         worst = max(-s for s, k in zip(v.scores, v.kinds) if k in (NORMAL, USER)) + 10
         best = f"array_min(transform(filter(edges, x -> x.e = i), x -> struct(acc[x.s].cost + coalesce(x.rank, {worst}D) as cost, x.s as s, x.id as id)))"
-        folded = edges.selectExpr("word", f"aggregate(sequence(1, length(word)), array(struct(0D as cost, 0 as s, cast(null as int) as id)), (acc, i) -> concat(acc, array({best}))) as best")
-        folded = folded.selectExpr("word", "aggregate(sequence(1, length(word)), named_struct('at', length(word), 'path', cast(array() as array<struct<cost:double,s:int,id:int>>)), (a, _i) -> if(a.at = 0, a, named_struct('at', best[a.at].s, 'path', concat(array(best[a.at]), a.path)))).path as path")
-        folded = folded.selectExpr("word", f"flatten(transform(path, x -> if(x.id is not null, array(x.id), {fallback}))) as ids")
+        folded = edges.selectExpr("bucket", "word", f"aggregate(sequence(1, length(word)), array(struct(0D as cost, 0 as s, cast(null as int) as id)), (acc, i) -> concat(acc, array({best}))) as best")
+        folded = folded.selectExpr("bucket", "word", "aggregate(sequence(1, length(word)), named_struct('at', length(word), 'path', cast(array() as array<struct<cost:double,s:int,id:int>>)), (a, _i) -> if(a.at = 0, a, named_struct('at', best[a.at].s, 'path', concat(array(best[a.at]), a.path)))).path as path")
+        folded = folded.selectExpr("bucket", "word", f"flatten(transform(path, x -> if(x.id is not null, array(x.id), {fallback}))) as ids")
 
-    def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _long_encoder(v)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+    # words that are too wide have no ids yet
+    return folded.unionAll(words.where(F.length("word") > FOLD_CHARS).select("bucket", "word", F.lit(None).cast("array<int>").alias("ids")))
 
-    return folded.unionAll(words.where(F.length("word") > FOLD_CHARS).mapInArrow(long, "word string, ids array<int>"))
 
-
-def _answer(key: tuple, asks: pa.Table, known: pa.Table) -> pa.Table:
-    """Each block's question for a bucket, answered: word numbers, lengths and ids."""
-    flat = known.column("ids").combine_chunks()
-    offsets, values = np.asarray(flat.offsets), np.asarray(flat.values).astype(np.int32)
-    place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
+def _answer(wide, asks: pa.Table, known: pa.Table) -> pa.Table:
+    """Each block's list for a bucket, answered in its order: lengths and ids. Words that have no ids yet are encoded here."""
+    own, ids = known.column("word").to_pylist(), known.column("ids").combine_chunks()
+    if ids.null_count:
+        ids = pa.array([wide(w) if x is None else x for w, x in zip(own, ids.to_pylist())], pa.list_(pa.int32()))
+    offsets, values = np.asarray(ids.offsets), np.asarray(ids.values).astype(np.int32)
+    place = {w: i for i, w in enumerate(own)}
     out = []
     for block, data in zip(asks.column("block").to_pylist(), asks.column("data").to_pylist()):
-        words, numbers = _asked(data)
+        words = _unlist(data)
         at = np.fromiter((place[w] for w in words), dtype=np.int64, count=len(words))
         n = offsets[at + 1] - offsets[at]
-        ids = values[np.repeat(offsets[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-        out.append((block, struct.pack("<I", len(numbers)) + numbers + struct.pack("<I", len(x := _pack(n.astype(np.uint32)))) + x + _pack(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T))))
-    return pa.table({"block": pa.array([o[0] for o in out], pa.string()), "data": pa.array([o[1] for o in out], pa.binary())})
+        got = values[np.repeat(offsets[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        x = _pack(n.astype(np.uint32))
+        out.append((block, struct.pack("<I", len(x)) + x + _pack(np.ascontiguousarray(got.view(np.uint8).reshape(-1, 4).T))))
+    return pa.table({"block": pa.array([o[0] for o in out], pa.string()), "bucket": pa.array([asks.column("bucket")[0].as_py()] * len(out) if out else [], pa.int32()), "data": pa.array([o[1] for o in out], pa.binary())})
 
 
-def _chunk(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = struct.unpack("<I", data[:4])[0]
-    b = struct.unpack("<I", data[4 + a : 8 + a])[0]
-    ids = np.ascontiguousarray(_unpack(data[8 + a + b :], np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-    return _unpack(data[4 : 4 + a], np.uint32), _unpack(data[8 + a : 8 + a + b], np.uint32), ids
+    return _unpack(data[4 : 4 + a], np.uint32), np.ascontiguousarray(_unpack(data[4 + a :], np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
 def _unblock(v: Vocabulary, rows: pa.Table, answers: pa.Table) -> Iterator[pa.Table]:
@@ -415,16 +420,18 @@ def _unblock(v: Vocabulary, rows: pa.Table, answers: pa.Table) -> Iterator[pa.Ta
     seq = rows.filter(pc.equal(rows.column("kind"), "seq"))
     docs = rows.filter(pc.equal(rows.column("kind"), "doc")).sort_by("place")
     n_words = seq.column("n")[0].as_py()
-    planes = _unpack(seq.column("data")[0].as_py(), np.uint8).reshape(-1, n_words) if n_words else np.zeros((3, 0), np.uint8)
-    chunks = [_chunk(x) for x in answers.column("data").to_pylist()]
-    known = sum(len(c[0]) for c in chunks)
-    size, offset = np.zeros(known, dtype=np.int64), np.zeros(known, dtype=np.int64)
-    begin = 0
-    for numbers, lengths, ids in chunks:
-        size[numbers] = lengths
-        offset[numbers] = begin + np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else 0
-        begin += len(ids)
-    values = np.concatenate([c[2] for c in chunks] or [np.zeros(0, np.int32)])
+    data = seq.column("data")[0].as_py()
+    asked = struct.unpack("<I", data[:4])[0]
+    rank = _unpack(data[4 : 4 + asked], np.uint32)
+    planes = _unpack(data[4 + asked :], np.uint8).reshape(-1, n_words) if n_words else np.zeros((3, 0), np.uint8)
+    chunks = [_chunk(x) for x in answers.sort_by("bucket").column("data").to_pylist()]
+    lengths = np.concatenate([c[0] for c in chunks] or [np.zeros(0, np.uint32)]).astype(np.int64)
+    values = np.concatenate([c[1] for c in chunks] or [np.zeros(0, np.int32)])
+    if len(lengths) != len(rank):
+        raise RuntimeError("a block lacks answers: its input changed while it was read")
+    size, offset = np.zeros(len(rank), dtype=np.int64), np.zeros(len(rank), dtype=np.int64)
+    size[rank] = lengths
+    offset[rank] = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else 0
     table = _bytes_of(v)
     piece_size = np.array([len(x) for x in table])
     piece_at = np.concatenate(([0], np.cumsum(piece_size)))
@@ -439,8 +446,6 @@ def _unblock(v: Vocabulary, rows: pa.Table, answers: pa.Table) -> Iterator[pa.Ta
         at = np.zeros(own.shape[1], dtype=np.int64)
         for i, plane in enumerate(own):
             at |= plane.astype(np.int64) << (8 * i)
-        if len(at) and at.max() >= known:
-            raise RuntimeError("a block lacks answers: its input changed while it was read")
         n = size[at]
         ends = np.concatenate(([0], np.cumsum(n)))
         ids = values[np.repeat(offset[at] - ends[:-1], n) + np.arange(ends[-1])]
@@ -472,22 +477,20 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     if not _is_scan(slim):
         slim = materialize(slim, "piece-input")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one exchange by block serves the questions and the documents; one by bucket serves the word table and the lookup
-    packed = slim.mapInArrow(_packer(cutter, buckets), _BLOCKS).repartition(buckets, "block")
-    asks = packed.mapInArrow(_asks, "bucket int, block string, data binary").repartition(buckets, "bucket")
-    words = asks.mapInArrow(_all_words, "word string").repartition(buckets, "word").distinct()
+    labels = _labels(docs.sparkSession, buckets)
+    # everything about words stays where the bucket is: only lists and distinct words move
+    asks = slim.mapInArrow(_packer(cutter, labels, True), _ASKS).repartition(buckets, "bucket")
+    words = asks.mapInArrow(_all_words, "bucket int, word string").repartition(buckets, "bucket").distinct()
 
-    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_buckets(batch.column(0).to_pylist(), buckets), pa.int32())], ["word", "ids", "bucket"])
+    def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
+        return _answer(_long_encoder(v), asks, known)
 
-    known = word_ids(words, v).mapInArrow(bucketed, "word string, ids array<int>, bucket int")
-    answers = asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answer, "block string, data binary")
+    answers = asks.groupBy("bucket").cogroup(word_ids(words, v).groupBy("bucket")).applyInArrow(answer, "block string, bucket int, data binary")
 
     def unblock(rows: pa.Table, answers: pa.Table) -> pa.Table:
         return pa.concat_tables(_unblock(v, rows, answers))
 
+    packed = slim.mapInArrow(_packer(cutter, labels, False), _BLOCKS)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(unblock, "doc_id long, ids array<int>, round_trip boolean")
 
 
