@@ -15,6 +15,7 @@ gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUDGET, HISTORY, HISTORY_TOKENS, OVERHEAD = 512, 2, 160, 4
@@ -23,18 +24,24 @@ BUDGET, HISTORY, HISTORY_TOKENS, OVERHEAD = 512, 2, 160, 4
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, history_tokens: int = HISTORY_TOKENS) -> DataFrame:
     """(conv_id, window, first_new, turns, history, n_tokens, n_target_tokens, mask, over_budget, text) of every window."""
     tokens = F.coalesce(F.regexp_count("text", F.lit("[^ \\t\\n\\r]+")), F.lit(0)) + OVERHEAD
-    own = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), tokens.cast("long").alias("tokens")).alias("t"))
-    convs = own.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    convs = convs.selectExpr("conv_id", "ts", "array_position(transform(ts, t -> t.role), 'system') as at")
-    convs = convs.selectExpr("conv_id", "if(at > 0, array(ts[cast(at as int) - 1]), slice(ts, 1, 0)) as head", "filter(ts, (t, i) -> i <> at - 1) as body").where("size(body) > 0")
-    convs = convs.selectExpr("conv_id", "head", "body", "coalesce(get(head, 0).tokens, 0L) as base", "aggregate(body, array(0L), (p, t) -> concat(p, array(element_at(p, -1) + t.tokens))) as p")
-    # p[i] is the sum of the first i turns; a window (h, n, e) has history h..n-1 and new turns n..e, counted from 1
-    begin = f"coalesce(array_min(filter(sequence(greatest(1, i - {history}), i), h -> p[i - 1] - p[h - 1] <= {history_tokens} and base + p[i] - p[h - 1] <= {budget})), i)"
+    own = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), tokens.cast("long").alias("tokens"))
+    # running sums by window, in the partitioning and order that the arrays need too
+    upto = W.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = own.withColumn("systems", F.count_if(F.col("role") == "system").over(upto)).withColumn("head", (F.col("role") == "system") & (F.col("systems") == 1))
+    own = own.withColumn("cum", F.sum(F.when(F.col("head"), 0).otherwise(F.col("tokens"))).over(upto))
+    convs = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "tokens", "cum", "head"))).alias("ts"))
+    convs = convs.selectExpr("conv_id", "filter(ts, t -> t.head) as head", "filter(ts, t -> not t.head) as body").where("size(body) > 0")
+    convs = convs.selectExpr("conv_id", "head", "body", "transform(body, t -> t.cum) as sums", "coalesce(get(head, 0).tokens, 0L) as base")
+    # p(i) is the sum of the first i turns; a window (h, n, e) has history h..n-1 and new turns n..e, counted from 1
+    p = lambda i: f"if({i} = 0, 0L, sums[{i} - 1])"
+    begin = f"coalesce(array_min(filter(sequence(greatest(1, i - {history}), i), h -> {p('i - 1')} - {p('h - 1')} <= {history_tokens} and base + {p('i')} - {p('h - 1')} <= {budget})), i)"
     state = "named_struct('h', 1, 'n', 1, 'done', cast(array() as array<struct<h:int,n:int,e:int>>))"
-    step = f"if(i = 1 or base + p[i] - p[s.h - 1] <= {budget}, s, named_struct('h', {begin}, 'n', i, 'done', concat(s.done, array(named_struct('h', s.h, 'n', s.n, 'e', i - 1)))))"
+    step = f"if(i = 1 or base + {p('i')} - {p('s.h - 1')} <= {budget}, s, named_struct('h', {begin}, 'n', i, 'done', concat(s.done, array(named_struct('h', s.h, 'n', s.n, 'e', i - 1)))))"
     convs = convs.selectExpr("*", f"aggregate(sequence(1, size(body)), {state}, (s, i) -> {step}, s -> concat(s.done, array(named_struct('h', s.h, 'n', s.n, 'e', size(body))))) as ws")
-    each = convs.selectExpr("conv_id", "head", "body", "base", "p", "posexplode(ws) as (k, w)")
-    each = each.selectExpr("conv_id", "k + 1 as window", "body[w.n - 1].turn as first_new", "base + p[w.e] - p[w.h - 1] as n_tokens", "w.n - w.h as history", "concat(transform(head, t -> struct(t as t, false as target)), transform(slice(body, w.h, w.e - w.h + 1), (t, i) -> struct(t as t, t.role = 'assistant' and w.h + i >= w.n as target))) as shown")
+    # each window takes its own turns before the windows become rows, so no row carries the whole conversation
+    shown = "concat(transform(head, t -> struct(t as t, false as target)), transform(slice(body, w.h, w.e - w.h + 1), (t, j) -> struct(t as t, t.role = 'assistant' and w.h + j >= w.n as target)))"
+    made = convs.selectExpr("conv_id", f"transform(ws, (w, k) -> named_struct('window', k + 1, 'first_new', body[w.n - 1].turn, 'n_tokens', base + {p('w.e')} - {p('w.h - 1')}, 'history', w.n - w.h, 'shown', {shown})) as made")
+    each = made.select("conv_id", F.explode_outer("made").alias("m")).select("conv_id", "m.*")
     return each.selectExpr(
         "conv_id", "window", "first_new", "size(shown) as turns", "history", "n_tokens", "aggregate(shown, 0L, (a, x) -> a + if(x.target, x.t.tokens, 0L)) as n_target_tokens", "array_join(transform(shown, x -> if(x.target, '1', '0')), '') as mask",
         f"n_tokens > {budget} as over_budget", "array_join(transform(shown, x -> concat('<|im_start|>', x.t.role, '\n', x.t.text, '<|im_end|>\n')), '') as text",
