@@ -86,7 +86,7 @@ def test_awkward_documents(spark):
 
 def test_components(spark):
     rng = random.Random(2)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5000 + i) for i in range(1, 50)]
+    edges = [(rng.randrange(150), rng.randrange(150)) for _ in range(100)] + [(i, i + 1) for i in range(1000, 1030)] + [(5000, 5000 + i) for i in range(1, 50)]
     root = {}
 
     def find(x):
