@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from quarry.llm import textkit
 from quarry.llm.common import materialize, small_side
 
-SPACE = "▁"
+MARK = "▁"
 #: Text packed into one block, at least one document.
 BLOCK_CHARS = 2 << 20
 #: Words of so many characters at most are folded in Spark.
@@ -136,11 +136,11 @@ class Cutter:
             if k in (NORMAL, USER):
                 n = self.number[[ord(c) for c in p]]
                 self.joined[n[:-1], n[1:]] = True
-        self.prefix = SPACE if v.dummy_prefix else ""
+        self.prefix = MARK if v.dummy_prefix else ""
 
     def words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
         """(all texts normalised, in one string; its code points; start of each word and the end of the last; first word of each text and the end)."""
-        whole = [(self.prefix + t.replace(" ", SPACE)) if t else "" for t in texts]
+        whole = [(self.prefix + t.replace(" ", MARK)) if t else "" for t in texts]
         joined = "".join(whole)
         points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         begin = np.concatenate(([0], np.cumsum([len(t) for t in whole]))).astype(np.int64)
@@ -179,8 +179,8 @@ def _number(hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, joined:
     length = np.diff(starts)
     model = first[at]
     same = bool((length[model] == length).all())
-    for a in range(0, len(length) if same else 0, 200_000):
-        b = min(a + 200_000, len(length))
+    for a in range(0, len(length) if same else 0, 50_000):
+        b = min(a + 50_000, len(length))
         shift = np.repeat(starts[model[a:b]] - starts[a:b], length[a:b])
         if not (points[np.arange(starts[a], starts[b]) + shift] == points[starts[a] : starts[b]]).all():
             same = False
@@ -230,7 +230,7 @@ def _packer(cutter: Cutter, labels: np.ndarray, asks: bool):
         digest = hashlib.blake2b(digest_size=16)
         while a < len(texts):
             b, size = a, 0
-            while b < len(texts) and (b == a or size < 1 << 19):
+            while b < len(texts) and (b == a or size < 1 << 17):
                 size += len(texts[b] or "")
                 b += 1
             joined, own, cut, first = cutter.words([t or "" for t in texts[a:b]])
@@ -507,7 +507,7 @@ def decode(rows: DataFrame, model_path: str) -> DataFrame:
 
 @lru_cache(maxsize=4)
 def _bytes_of(v: Vocabulary) -> tuple[bytes, ...]:
-    return tuple(bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNK else p.replace(SPACE, " ").encode() for p, k in zip(v.pieces, v.kinds))
+    return tuple(bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNK else p.replace(MARK, " ").encode() for p, k in zip(v.pieces, v.kinds))
 
 
 def decode_ids(v: Vocabulary, ids: list[int]) -> str:

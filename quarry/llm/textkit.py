@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text handled at once; a longer text is handled whole, alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _M = 0x9E3779B97F4A7C15
 _WORD = np.zeros(256, dtype=bool)
