@@ -196,7 +196,7 @@ def plan_partitions(codes: DataFrame, tau: int = TAU) -> tuple[list[list[int]],
                 dist = np.convolve(dist, [1 - differ[b], differ[b]])
             near = np.cumsum(dist)
             for t in range(widest - 1):
-                cost[i][t + 1] = n * (PROBE_COST * _ball(len(bits), min(t, len(bits))) + n * near[min(t, len(bits))] / 8)
+                cost[i][t + 1] = max(n, 1) * (PROBE_COST * _ball(len(bits), min(t, len(bits))) + n * near[min(t, len(bits))] / 8)
         thresholds, c = _allocate(cost, tau - m + 1)
         plans.append((c, groups, thresholds))
     return min(plans, key=lambda x: x[0])[1:]
