@@ -13,8 +13,9 @@ matches are the edges of the word's lattice, grouped by word and folded with a h
 Documents aren't shuffled by word. Each is packed, in blocks of about ``BLOCK_CHARS`` of text, as numbers into its
 block's own word list; the lists ask for their words' ids, and the answers meet the documents by block. What moves is little more than a
 byte for each word of text, and compressed lists. Texts are read twice, once for the lists and once for the numbers, which costs less than
-keeping both. A block is named by a digest of its content, so either reading makes the same blocks, as does a task that is run again; an input
-that isn't a plain scan is written to the shared folder first. A block without all its answers is an error.
+keeping both. A block is named by its scan partition, its place there and a digest of its content, so blocks of equal content stay apart and either
+reading makes the same blocks, as does a task that is run again; an input that isn't a plain scan is written to the shared folder first. A block
+without all its answers is an error.
 
 Defined cases. A null text has null ids; an empty one has none. Texts are encoded whole, at any length. Repeated rows are encoded alike, each
 for itself. A null ``doc_id`` is kept. Characters outside the vocabulary become byte pieces (or the unknown id in a model without
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,7 +226,7 @@ _ASKS = "block string, bucket int, data binary"
 def _packer(cutter: Cutter, labels: np.ndarray, asks: bool):
     """A block's distinct words by bucket (``asks``), or its documents (kind ``doc``) and their words' numbers (``seq``)."""
 
-    def block(ids: list, texts: list) -> Iterator[tuple]:
+    def block(place: str, ids: list, texts: list) -> Iterator[tuple]:
         parts, hashes, points, starts, firsts = [], [], [], [np.zeros(1, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
         chars = words_so_far = a = 0
         digest = hashlib.blake2b(digest_size=16)
@@ -241,7 +243,7 @@ def _packer(cutter: Cutter, labels: np.ndarray, asks: bool):
             starts.append(cut[1:] + chars)
             firsts.append(first[1:] + words_so_far)
             chars, words_so_far, a = chars + len(own), words_so_far + len(cut) - 1, b
-        name, h, cut, first = digest.hexdigest(), np.concatenate(hashes), np.concatenate(starts), np.concatenate(firsts)
+        name, h, cut, first = f"{place}-{digest.hexdigest()}", np.concatenate(hashes), np.concatenate(starts), np.concatenate(firsts)
         at, words = _number(h, np.concatenate(points), cut, "".join(parts)) if len(h) else (np.zeros(0, np.int64), [])
         del parts, points, hashes, h
         # words are asked for by bucket, and in order within it
@@ -266,13 +268,14 @@ def _packer(cutter: Cutter, labels: np.ndarray, asks: bool):
         yield name, "seq", 0, None, len(at), struct.pack("<I", len(asked)) + asked + _pack(np.ascontiguousarray(numbers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
+        ids, texts, size, made = [], [], 0, 0
+        partition = TaskContext.get().partitionId()
 
         kinds = (pa.string(), pa.int32(), pa.binary()) if asks else (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         names = [c.split(" ")[0] for c in (_ASKS if asks else _BLOCKS).split(", ")]
 
         def flush() -> pa.RecordBatch:
-            rows = list(zip(*block(ids, texts))) or [()] * len(kinds)
+            rows = list(zip(*block(f"{partition}-{made}", ids, texts))) or [()] * len(kinds)
             return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds)], names)
 
         for batch in batches:
@@ -281,7 +284,7 @@ def _packer(cutter: Cutter, labels: np.ndarray, asks: bool):
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if ids and size + len(text or "") > BLOCK_CHARS:
                         yield flush()
-                        ids, texts, size = [], [], 0
+                        ids, texts, size, made = [], [], 0, made + 1
                     ids.append(doc_id)
                     texts.append(text)
                     size += len(text or "")

@@ -156,6 +156,17 @@ def test_awkward_encoding(spark):
     assert P.encode(shuffled, MODEL).count() == d.count()
 
 
+def test_equal_blocks_stay_apart(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(P, "BLOCK_CHARS", 50)
+    text = "the cat sat on the mat and looked at the dog in the garden"
+    d = docs(spark, [(1, text, "en", "s")] * 2 + [(2, "short", "en", "s"), (None, None, "en", "s"), (None, "", "en", "s")])
+    d.coalesce(1).write.parquet(f"{tmp_path}/one")
+    d.repartition(5).write.parquet(f"{tmp_path}/many")
+    want = sorted([(1, library.encode(text), True)] * 2 + [(2, library.encode("short"), True), (None, None, None), (None, [], True)], key=repr)
+    for df in (d, spark.read.parquet(f"{tmp_path}/one"), spark.read.parquet(f"{tmp_path}/many")):
+        assert sorted((tuple(r) for r in P.encode(df, MODEL).collect()), key=repr) == want
+
+
 def test_unigram_models_are_folded_by_viterbi(spark):
     pieces = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.2, "▁a": -3.1, "ba": -4.0, "▁ab": -6.0, "bb": -4.6}
     v = P.Vocabulary(("<unk>", *pieces), (0.0, *pieces.values()), (P.UNK, *[P.NORMAL] * len(pieces)), False, True)
