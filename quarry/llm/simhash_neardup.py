@@ -26,8 +26,8 @@ from quarry.llm import textkit
 from quarry.llm.common import connected_components, fresh, materialize, small_side
 
 BITS = 64
-#: Bits in which the 64-bit codes of near-duplicates may differ.
-TAU = 9
+#: Bits in which the 64-bit codes of near-duplicates may differ: at least 0.9 of the pairs that verification accepts are within it.
+TAU = 12
 #: Bits of 128 (words) and of 128 (word pairs) in which near-duplicates may differ.
 TAU_WORDS, TAU_PAIRS = 20, 36
 #: Near-duplicates' counts of distinct words differ by less than about half of this step of the logarithm.

@@ -74,6 +74,23 @@ def test_planted_copies_are_found_and_others_left(spark):
     assert kept == {r[0] for r in rows} - set(got)
 
 
+def test_the_radius_reaches_what_verification_accepts(spark):
+    rng = random.Random(1)
+    vocabulary = words(rng, 20_000)
+    rows = []
+    for i in range(200):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(400, 1500))]
+        rate = 0.08 if i % 2 else 0.1
+        rows += [(2 * i, " ".join(base), "en", "s"), (2 * i + 1, " ".join(rng.choice(vocabulary) if rng.random() < rate else w for w in base), "en", "s")]
+    d = docs(spark, rows)
+    code = {r["doc_id"]: np.array(r[1:5], dtype=np.int64).view(np.uint64) for r in S.simhash_codes(d).collect()}
+    differ = {i: np.bitwise_count(code[2 * i] ^ code[2 * i + 1]).tolist() for i in range(200)}
+    accepted = {(2 * i, 2 * i + 1) for i, x in differ.items() if x[0] + x[1] <= S.TAU_WORDS and x[2] + x[3] <= S.TAU_PAIRS}
+    found = {tuple(r) for r in S.near_duplicate_pairs(d)[1].collect()}
+    assert found <= accepted and len(accepted) > 120
+    assert len(found) >= 0.9 * len(accepted)
+
+
 def test_awkward_documents(spark):
     d = awkward(spark)
     more = d.unionByName(d.where("doc_id in (1, 6)").withColumn("doc_id", F.col("doc_id") + 100))
