@@ -4,6 +4,9 @@ The model is trained on the driver from a bounded sample of labelled rows (``tra
 hash, whole texts); everything else covers all rows. Log-probabilities are fixed-point integers, so a score doesn't depend
 on the order of summing or on how rows fall into batches. The matrix travels with the task's closure, which Spark broadcasts.
 
+A text is accepted if its best label leads the next one and fits it: the mean log-probability of its n-grams isn't far below the mean that the
+label's training rows have when each is scored without itself. The allowance widens for short texts, whose means scatter.
+
 Defined cases. A null or empty text, and one without a letter, has language ``und`` and is rejected. Ties go
 to the label that sorts first. A label that is null or blank trains nothing; without any label everything is ``und``. Texts are
 scored whole. A null ``doc_id`` is kept as null. Repeated rows give repeated results. Other columns pass through
@@ -28,6 +31,8 @@ BUCKETS = 1 << 15
 TRAIN_ROWS = 400
 #: Nats by which the best label must lead the next one.
 MIN_MARGIN = 0.5
+#: Nats an n-gram by which a text may lie below its label's level, and what is added to it, divided by the square root of the n-grams.
+FIT, FIT_SHORT = 2.0, 8.0
 SCALE = 1 << 16
 UNKNOWN = "und"
 
@@ -36,6 +41,7 @@ UNKNOWN = "und"
 class Model:
     labels: tuple[str, ...]
     weights: np.ndarray  # [labels, BUCKETS] fixed-point log-probabilities
+    levels: np.ndarray | None = None  # [labels] mean log-probability of an n-gram of a row that didn't train; None accepts any fit
 
 
 def _code_points(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +75,18 @@ def grams(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(buckets), np.concatenate(rows)
 
 
+def _level(texts: pa.Array, total: np.ndarray) -> float:
+    """Mean log-probability of an n-gram of ``texts``, each scored by the counts ``total`` without its own."""
+    found, n = 0.0, 0
+    for a, b, offsets, raw in textkit.blocks(texts, lower=True):
+        bucket, row = grams(offsets, raw)
+        key, own = np.unique(row * BUCKETS + bucket, return_counts=True)
+        rest = total.sum() - np.bincount(row, minlength=b - a)
+        found += float((own * np.log((total[key % BUCKETS] - own + 0.5) / (rest[key // BUCKETS] + 0.5 * BUCKETS))).sum())
+        n += len(bucket)
+    return found / n
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` rows of each value of ``lang``, those with the least hash of ``doc_id``."""
     labelled = docs.where("lang is not null and trim(lang) <> '' and text is not null and doc_id is not null")
@@ -77,7 +95,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     for label, n in sorted(counts.items()):
         pick = pick | ((F.col("lang") == label) & (h < int(min(1.0, 2.0 * rows / n + 0.0) * (1 << 30))))
     sample = labelled.where(pick).select(h.alias("h"), "doc_id", "lang", "text").toPandas() if counts else None
-    labels, tables = [], []
+    labels, tables, levels = [], [], []
     for label in sorted(counts):
         own = sample[sample["lang"] == label].sort_values(["h", "doc_id", "text"])[:rows]
         total = np.zeros(BUCKETS)
@@ -86,12 +104,18 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         if total.sum():
             labels.append(label)
             tables.append(np.round(np.log((total + 0.5) / (total.sum() + 0.5 * BUCKETS)) * SCALE).astype(np.int64))
-    return Model(tuple(labels), np.array(tables, dtype=np.int64).reshape(len(labels), BUCKETS))
+            levels.append(_level(pa.array(own["text"], pa.string()), total))
+    return Model(tuple(labels), np.array(tables, dtype=np.int64).reshape(len(labels), BUCKETS), np.array(levels))
 
 
 def classify(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(label, margin in nats, n-grams) of each text."""
-    names, margins, sizes = [], [], []
+    return _judge(model, texts)[:3]
+
+
+def _judge(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(label, margin in nats, n-grams, whether they fit the label) of each text."""
+    names, margins, sizes, fits = [], [], [], []
     for a, b, offsets, raw in textkit.blocks(texts, lower=True):
         bucket, row = grams(offsets, raw)
         n = np.bincount(row, minlength=b - a)
@@ -99,6 +123,7 @@ def classify(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.n
             names += [UNKNOWN] * (b - a)
             margins.append(np.zeros(b - a))
             sizes.append(n)
+            fits.append(np.zeros(b - a, dtype=bool))
             continue
         # exact: sums of integers below 2**53
         scores = np.stack([np.bincount(row, weights=w[bucket], minlength=b - a) for w in model.weights])
@@ -108,8 +133,10 @@ def classify(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.n
         names += [model.labels[k] if m else UNKNOWN for k, m in zip(best, n)]
         margins.append(np.where(n > 0, margin, 0.0))
         sizes.append(n)
+        some = np.maximum(n, 1)
+        fits.append((model.levels is None) | (top[-1] / SCALE / some >= (0.0 if model.levels is None else model.levels[best]) - FIT - FIT_SHORT / np.sqrt(some)))
     empty = np.zeros(0)
-    return names, np.concatenate(margins or [empty]), np.concatenate(sizes or [empty]).astype(np.int64)
+    return names, np.concatenate(margins or [empty]), np.concatenate(sizes or [empty]).astype(np.int64), np.concatenate(fits or [empty]).astype(bool)
 
 
 def identify(docs: DataFrame, model: Model | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -118,8 +145,8 @@ def identify(docs: DataFrame, model: Model | None = None, min_margin: float = MI
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, margin, n = classify(model, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.round(margin, 6)), pa.array(n), pa.array((n > 0) & (margin >= min_margin))], ["doc_id", "language", "margin", "grams", "accepted"])
+            names, margin, n, fits = _judge(model, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.round(margin, 6)), pa.array(n), pa.array((n > 0) & (margin >= min_margin) & fits)], ["doc_id", "language", "margin", "grams", "accepted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, language string, margin double, grams long, accepted boolean")
 
@@ -131,9 +158,9 @@ def keep_identified(docs: DataFrame, model: Model | None = None, min_margin: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, margin, n = classify(model, batch.column(text))
+            names, margin, n, fits = _judge(model, batch.column(text))
             arrays = list(batch.columns)
             arrays[lang] = pa.array(names, pa.string()).cast(batch.schema.field(lang).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array((n > 0) & (margin >= min_margin)))
+            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array((n > 0) & (margin >= min_margin) & fits))
 
     return docs.mapInArrow(run, docs.schema)

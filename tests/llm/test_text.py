@@ -81,6 +81,19 @@ def test_awkward_languages(spark):
     assert {r["language"] for r in unlabelled} == {"und"}
 
 
+def test_what_fits_no_label_is_rejected(spark):
+    rng = np.random.default_rng(2)
+    d = table(spark, "documents", "/root/testdata/sf0.01")
+    m = L.train(d)
+    strange = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz   "), 120)) for _ in range(30)] + ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 100)) for _ in range(30)]
+    strange += ["La ragazza è andata al mercato con sua madre per comprare il pane e la frutta della settimana", "Девочка пошла на рынок с матерью, чтобы купить хлеб и фрукты", "彼女は母と一緒に市場へ行きました"]
+    clean = [("the cat sat on the mat and looked at the dog in the garden", "en"), ("le chat est dans le jardin avec le chien", "fr"), ("der Hund und die Katze sind in dem Garten", "de"), ("the girl went to the market with her mother to buy bread", "en")]
+    got = {r["doc_id"]: r for r in L.identify(docs(spark, [(i, t, None, "s") for i, t in enumerate(strange + [c[0] for c in clean])]), m).collect()}
+    assert not [strange[i] for i in range(len(strange)) if got[i]["accepted"]]
+    assert [(got[len(strange) + i]["language"], got[len(strange) + i]["accepted"]) for i in range(len(clean))] == [(lang, True) for _, lang in clean]
+    assert L.identify(d, m).where("not accepted").count() <= 0.005 * d.count()
+
+
 # --- secrets ------------------------------------------------------------------------------------------------------------------
 
 
