@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,12 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
+def bucket_labels(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of ``n`` partitions a number that Spark's hash puts there, so that every bucket has a partition of its own."""
+    tried = spark.range(0, 40 * n + 400, 1, 1).select(F.col("id").cast("int").alias("b")).groupBy(F.pmod(F.hash("b"), F.lit(n)).alias("p")).agg(F.min("b").alias("b"))
+    return np.array([r["b"] for r in tried.orderBy("p").collect()], dtype=np.int64)
+
+
 def hex_bucket(value: Column, buckets: int) -> Column:
     """The first 32 bits of MD5 modulo ``buckets``: stable across engines, so an oracle can repeat it."""
     return F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("bigint") % F.lit(buckets)

@@ -4,21 +4,23 @@ Text is cut where no piece of the vocabulary spans the cut, so that the parts ("
 only once. A distinct word's substrings up to the longest piece are exploded and equi-joined to the piece table; the
 matches are the edges of the word's lattice, grouped by word and folded with a higher-order ``aggregate``.
 
-* A unigram model is folded by Viterbi: best[i] = max over edges (s, i) of best[s] + score.
+* A unigram model is folded by Viterbi, at any length: best[i] = max over edges (s, i) of best[s] + score; of equal ones the least s, as in the library.
 * A BPE model's segmentation isn't a shortest path: it applies merges in order of rank. Its fold keeps the set of cuts between
   symbols as a bit mask and takes, step by step, the best-ranked edge (the leftmost on ties) that spans exactly one cut. That gives the
   library's own ids; Viterbi over the scores wouldn't. Words above ``FOLD_CHARS`` characters, too wide for
-  the mask, go through the same merges with a heap.
+  the mask, go through the same merges with a heap, with the same ids.
 
 Documents aren't shuffled by word. Each is packed, in blocks of about ``BLOCK_CHARS`` of text, as numbers into its
 block's own word list; the lists ask for their words' ids, and the answers meet the documents by block. What moves is little more than a
-byte for each word of text, and compressed lists. Texts are read twice, once for the lists and once for the numbers, which costs less than
-keeping both. A block is named by its scan partition, its place there and a digest of its content, so blocks of equal content stay apart and either
-reading makes the same blocks, as does a task that is run again; an input that isn't a plain scan is written to the shared folder first. A block
-without all its answers is an error.
-
-Defined cases. A null text has null ids; an empty one has none. Texts are encoded whole, at any length. Repeated rows are encoded alike, each
-for itself. A null ``doc_id`` is kept. Characters outside the vocabulary become byte pieces (or the unknown id in a model without
+byte for each word of text, and compressed lists. Both meetings are streams sorted within a partition, so that no task holds more than one bucket's
+words, or one block's answers and some documents. Texts are read twice, once for the lists and once for the numbers, which costs less than
+keeping both. A block is named by its scan partition and its place there and carries a digest of its content, so blocks of equal content stay apart and
+either reading makes the same blocks, as does a task that is run again; an input that isn't a plain scan is written to the shared folder first. A block
+without all its answers, or with another reading's, is an error.
+
+Defined cases. A null text has null ids; an empty one has none. Texts are encoded whole, at any length: a long one is cut into words
+some ``SLICE_CHARS`` at a time. Repeated rows are encoded alike, each for itself. A null ``doc_id`` is kept. Characters outside the vocabulary become byte
+pieces (or the unknown id in a model without
 them). An empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -40,11 +42,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import textkit
-from quarry.llm.common import materialize, small_side
+from quarry.llm.common import bucket_labels, materialize, small_side
 
 MARK = "▁"
-#: Text packed into one block, at least one document.
-BLOCK_CHARS = 2 << 20
+#: Text packed into one block, at least one document; cut into words, and packed as numbers, in smaller parts.
+BLOCK_CHARS, SLICE_CHARS, CHUNK_WORDS = 8 << 20, 1 << 17, 1 << 16
 #: Words of so many characters at most are folded in Spark.
 FOLD_CHARS = 60
 NORMAL, UNK, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -140,19 +142,45 @@ class Cutter:
                 self.joined[n[:-1], n[1:]] = True
         self.prefix = MARK if v.dummy_prefix else ""
 
-    def words(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-        """(all texts normalised, in one string; its code points; start of each word and the end of the last; first word of each text and the end)."""
-        whole = [(self.prefix + t.replace(" ", MARK)) if t else "" for t in texts]
-        joined = "".join(whole)
-        points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-        begin = np.concatenate(([0], np.cumsum([len(t) for t in whole]))).astype(np.int64)
+    def words(self, text: str, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code points of normalised text; start of each word and the end of the last); texts begin at ``begin``, which the end is part of."""
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         n = self.number[points]
         cut = np.ones(len(points) + 1, dtype=bool)
         if len(points) > 1:
             cut[1:-1] = ~self.joined[n[:-1], n[1:]]
         cut[begin] = True
-        starts = np.flatnonzero(cut) if len(points) else np.zeros(1, dtype=np.int64)
-        return joined, points, starts, np.searchsorted(starts, begin)
+        return points, np.flatnonzero(cut) if len(points) else np.zeros(1, dtype=np.int64)
+
+    def parts(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, its code points, starts of its words and the end of the last, words of each of ``texts`` in it), in order.
+
+        Short texts are taken together; a long one comes in parts that end between words, a word that isn't complete going to the next.
+        """
+        a = 0
+        while a < len(texts):
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b]) <= SLICE_CHARS):
+                size += len(texts[b])
+                b += 1
+            counts = np.zeros(len(texts), dtype=np.int64)
+            if size <= SLICE_CHARS:
+                whole = [(self.prefix + t.replace(" ", MARK)) if t else "" for t in texts[a:b]]
+                begin = np.concatenate(([0], np.cumsum([len(t) for t in whole]))).astype(np.int64)
+                joined = "".join(whole)
+                points, starts = self.words(joined, begin)
+                counts[a:b] = np.diff(np.searchsorted(starts, begin))
+                yield joined, points, starts, counts
+            else:
+                left, text = self.prefix, texts[a]
+                for at in range(0, len(text), SLICE_CHARS):
+                    own = left + text[at : at + SLICE_CHARS].replace(" ", MARK)
+                    points, starts = self.words(own, np.array([0, len(own)]))
+                    if at + SLICE_CHARS < len(text):
+                        left, starts = own[starts[-2] :], starts[:-1]
+                    counts[a] = len(starts) - 1
+                    yield own, points, starts, counts
+            a = b
 
 
 def _hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -164,15 +192,12 @@ def _hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _buckets(words: list[str], labels: np.ndarray) -> np.ndarray:
-    joined = "".join(words)
-    points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-    return labels[_hashes(points, np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)) % np.uint64(len(labels))]
-
-
-def _labels(spark: SparkSession, n: int) -> np.ndarray:
-    """For each of ``n`` partitions a number that Spark's hash puts there, so that every bucket has a partition of its own."""
-    tried = spark.range(0, 40 * n + 400, 1, 1).select(F.col("id").cast("int").alias("b")).groupBy(F.pmod(F.hash("b"), F.lit(n)).alias("p")).agg(F.min("b").alias("b"))
-    return np.array([r["b"] for r in tried.collect()], dtype=np.int64)
+    out = [np.zeros(0, dtype=np.int64)]
+    for a in range(0, len(words), 10_000):
+        own = words[a : a + 10_000]
+        points = np.frombuffer("".join(own).encode("utf-32-le"), dtype=np.uint32)
+        out.append(labels[_hashes(points, np.concatenate(([0], np.cumsum([len(w) for w in own]))).astype(np.int64)) % np.uint64(len(labels))])
+    return np.concatenate(out)
 
 
 def _number(hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, joined: str) -> tuple[np.ndarray, list[str]]:
@@ -198,12 +223,20 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=8).digest()
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed run of bytes; whole numbers of four bytes go by planes, which pack best."""
+    parts = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() if x.itemsize == 4 else x.tobytes() for x in arrays]
+    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    sizes = struct.unpack(f"<{len(kinds)}I", data[: 4 * len(kinds)])
+    plain, at, out = zstandard.ZstdDecompressor().decompress(data[4 * len(kinds) :]), 0, []
+    for kind, n in zip(kinds, sizes):
+        own = np.frombuffer(plain, dtype=np.uint8, count=n, offset=at)
+        at += n
+        out.append(np.ascontiguousarray(own.reshape(4, -1).T).view(kind).ravel() if np.dtype(kind).itemsize == 4 else own.view(np.uint8).copy().view(kind))
+    return out
 
 
 def _list(words: list[str]) -> bytes:
@@ -219,86 +252,131 @@ def _unlist(data: bytes) -> list[str]:
     return [w.replace("\x01a", "\x00").replace("\x01b", "\x01") for w in words] if "\x01" in text else words
 
 
-_BLOCKS = "block string, kind string, place int, doc_id long, n long, data binary"
-_ASKS = "block string, bucket int, data binary"
+#: Rows of a block: kind 0 answers, by bucket; kind 1 its head; kind 2 documents, in order.
+_BLOCKS = "block long, kind int, place int, data binary"
+_ASKS = "block long, bucket int, data binary"
+_names = lambda schema: [c.split(" ")[0] for c in schema.split(", ")]
+
+
+class _Block:
+    """What is known of the block that is being packed."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.digest = hashlib.blake2b(digest_size=8)
+        self.size = 0
+        self.ids: list[int | None] = []
+        self.counts: list[int] = []
+        self.texts: list[bytes] = []
+        self.words: list[np.ndarray] = []
+
+    def add(self, cutter: Cutter, ids: list, texts: list, keep: bool) -> None:
+        first = len(self.counts)
+        self.ids += ids
+        self.counts += [0 if t is not None else -1 for t in texts]
+        if keep:
+            self.texts += [_digest((t or "").encode()) for t in texts]
+        self.digest.update(repr(ids).encode())
+        for text, points, starts, counts in cutter.parts([t or "" for t in texts]):
+            self.digest.update(points)
+            for i in np.flatnonzero(counts).tolist():
+                self.counts[first + i] += int(counts[i])
+            if len(starts) > 1:
+                at, words = _number(_hashes(points, starts), points, starts, text)
+                own = np.fromiter((self.numbers.setdefault(w, len(self.numbers)) for w in words), dtype=np.uint32, count=len(words))
+                if keep:
+                    self.words.append(own[at])
+        self.size += sum(len(t or "") for t in texts)
+
+    def order(self, labels: np.ndarray) -> tuple[list[str], list[int], list[int]]:
+        """(words, bucket of each, the order in which they are asked for: by bucket and text)."""
+        words = list(self.numbers)
+        home = _buckets(words, labels).tolist()
+        return words, home, sorted(range(len(words)), key=lambda i: (home[i], words[i]))
+
+    def asks(self, labels: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        words, home, order = self.order(labels)
+        begin, own = 0, self.digest.digest()
+        while begin < len(order):
+            end = begin
+            while end < len(order) and home[order[end]] == home[order[begin]]:
+                end += 1
+            yield home[order[begin]], own + _list([words[i] for i in order[begin:end]])
+            begin = end
+
+    def rows(self, labels: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """(kind, place, data): the words' counts, in the order asked for, then the documents in chunks. Frequent words get small numbers, which pack best."""
+        _, _, order = self.order(labels)
+        times = np.zeros(len(order), dtype=np.int64)
+        for own in self.words:
+            times += np.bincount(own, minlength=len(order))
+        asked = times[order]
+        rank = np.zeros(len(order), dtype=np.uint32)
+        rank[np.array(order, dtype=np.int64)] = _ranks(asked)
+        yield 1, 0, self.digest.digest() + _pack(asked.astype(np.uint32))
+        counts = np.array(self.counts, dtype=np.int32)
+        ends = np.cumsum(np.maximum(counts, 0))
+        left: list[np.ndarray] = []
+        self.words.reverse()
+        a = place = 0
+        while a < len(counts):
+            before = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + CHUNK_WORDS, "right")))
+            n, got = int(ends[b - 1]) - before, sum(map(len, left))
+            while got < n:
+                left.append(self.words.pop())
+                got += len(left[-1])
+            own = np.concatenate(left) if left else np.zeros(0, dtype=np.uint32)
+            left = [own[n:]]
+            ids = self.ids[a:b]
+            yield 2, place, _pack(np.array([x is None for x in ids]), np.array([x or 0 for x in ids], dtype=np.int64), counts[a:b], np.frombuffer(b"".join(self.texts[a:b]), dtype=np.uint8), rank[own[:n]])
+            a, place = b, place + 1
+
+
+def _ranks(times: np.ndarray) -> np.ndarray:
+    """The number of each word: frequent ones first, ties as they stand."""
+    rank = np.empty(len(times), dtype=np.uint32)
+    rank[np.argsort(-times, kind="stable")] = np.arange(len(times), dtype=np.uint32)
+    return rank
 
 
 def _packer(cutter: Cutter, labels: np.ndarray, asks: bool):
-    """A block's distinct words by bucket (``asks``), or its documents (kind ``doc``) and their words' numbers (``seq``)."""
+    """A block's distinct words by bucket (``asks``), or its rows of kinds 1 and 2."""
 
-    def block(place: str, ids: list, texts: list) -> Iterator[tuple]:
-        parts, hashes, points, starts, firsts = [], [], [], [np.zeros(1, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
-        chars = words_so_far = a = 0
-        digest = hashlib.blake2b(digest_size=16)
-        while a < len(texts):
-            b, size = a, 0
-            while b < len(texts) and (b == a or size < 1 << 17):
-                size += len(texts[b] or "")
-                b += 1
-            joined, own, cut, first = cutter.words([t or "" for t in texts[a:b]])
-            digest.update(repr(ids[a:b]).encode() + joined.encode())
-            parts.append(joined)
-            points.append(own)
-            hashes.append(_hashes(own, cut))
-            starts.append(cut[1:] + chars)
-            firsts.append(first[1:] + words_so_far)
-            chars, words_so_far, a = chars + len(own), words_so_far + len(cut) - 1, b
-        name, h, cut, first = f"{place}-{digest.hexdigest()}", np.concatenate(hashes), np.concatenate(starts), np.concatenate(firsts)
-        at, words = _number(h, np.concatenate(points), cut, "".join(parts)) if len(h) else (np.zeros(0, np.int64), [])
-        del parts, points, hashes, h
-        # words are asked for by bucket, and in order within it
-        home = _buckets(words, labels).tolist() if words else []
-        order = sorted(range(len(words)), key=lambda i: (home[i], words[i]))
-        if asks:
-            begin = 0
-            while begin < len(order):
-                end = begin
-                while end < len(order) and home[order[end]] == home[order[begin]]:
-                    end += 1
-                yield name, home[order[begin]], _list([words[i] for i in order[begin:end]])
-                begin = end
-            return
-        # frequent words get small numbers, which pack best
-        rank = np.empty(len(words), dtype=np.int64)
-        rank[np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")] = np.arange(len(words))
-        for i, (doc_id, text) in enumerate(zip(ids, texts)):
-            yield name, "doc", i, doc_id, -1 if text is None else int(first[i + 1] - first[i]), _digest((text or "").encode())
-        asked = _pack(rank[order].astype(np.uint32))
-        numbers = rank[at].astype(np.uint32).view(np.uint8).reshape(-1, 4).T[: 3 if len(words) < 1 << 24 else 4]
-        yield name, "seq", 0, None, len(at), struct.pack("<I", len(asked)) + asked + _pack(np.ascontiguousarray(numbers))
+    def flush(block: _Block, name: int) -> Iterator[pa.RecordBatch]:
+        for row in block.asks(labels) if asks else block.rows(labels):
+            head = [pa.array([name], pa.int64()), *(pa.array([x], pa.int32()) for x in row[:-1])]
+            yield pa.RecordBatch.from_arrays([*head, pa.array([row[-1]], pa.binary())], _names(_ASKS if asks else _BLOCKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, made = [], [], 0, 0
-        partition = TaskContext.get().partitionId()
-
-        kinds = (pa.string(), pa.int32(), pa.binary()) if asks else (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        names = [c.split(" ")[0] for c in (_ASKS if asks else _BLOCKS).split(", ")]
-
-        def flush() -> pa.RecordBatch:
-            rows = list(zip(*block(f"{partition}-{made}", ids, texts))) or [()] * len(kinds)
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds)], names)
-
+        block, name = _Block(), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if ids and size + len(text or "") > BLOCK_CHARS:
-                        yield flush()
-                        ids, texts, size, made = [], [], 0, made + 1
-                    ids.append(doc_id)
-                    texts.append(text)
-                    size += len(text or "")
-        if ids:
-            yield flush()
+            at, size = 0, np.asarray(pc.fill_null(pc.utf8_length(batch.column(1)), 0)).astype(np.int64)
+            while at < batch.num_rows:
+                # as many rows as a slice holds, and no more than still go into the block
+                room = min(SLICE_CHARS, BLOCK_CHARS - block.size)
+                n = int(np.searchsorted(np.cumsum(size[at : at + 2000]), room, "right"))
+                if not n and block.ids:
+                    if block.size + size[at] > BLOCK_CHARS:
+                        yield from flush(block, name)
+                        block, name = _Block(), name + 1
+                        continue
+                n = max(n, 1)
+                part = batch.slice(at, n)
+                block.add(cutter, part.column(0).to_pylist(), part.column(1).to_pylist(), not asks)
+                at += n
+        if block.ids:
+            yield from flush(block, name)
 
     return run
 
 
 def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of the lists in a batch."""
     for batch in batches:
         words: dict[int, dict[str, None]] = {}
         for bucket, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            words.setdefault(bucket, {}).update(dict.fromkeys(_unlist(data)))
+            words.setdefault(bucket, {}).update(dict.fromkeys(_unlist(data[8:])))
         for bucket, own in words.items():
             each = list(own)
             for a in range(0, len(each), 20_000):
@@ -306,8 +384,8 @@ def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(part), pa.int32()), pa.array(part, pa.string())], ["bucket", "word"])
 
 
-def _long_encoder(v: Vocabulary):
-    """Merges with a heap, for words that are too wide for the mask."""
+def _long_encoder(v: Vocabulary, by_score: bool = False):
+    """Merges with a heap, for words that are too wide for the mask; Viterbi for a unigram model, or ``by_score``, to compare with."""
     normal = {p: (-s, i) for i, (p, s, k) in enumerate(zip(v.pieces, v.scores, v.kinds)) if k in (NORMAL, USER)}
     byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(v.pieces, v.kinds)) if k == BYTE}
 
@@ -346,31 +424,30 @@ def _long_encoder(v: Vocabulary):
         longest, worst = v.longest, max(r for r, _ in normal.values()) + 10
         best: list[tuple[float, int]] = [(0.0, 0)]
         for e in range(1, len(word) + 1):
-            best.append(min((best[s][0] + (normal[p][0] if (p := word[s:e]) in normal else worst), -s) for s in range(max(0, e - longest), e) if e - s == 1 or word[s:e] in normal))
-            best[e] = (best[e][0], -best[e][1])
+            best.append(min((best[s][0] + (normal[p][0] if (p := word[s:e]) in normal else worst), s) for s in range(max(0, e - longest), e) if e - s == 1 or word[s:e] in normal))
         out, e = [], len(word)
         while e:
             out.append(word[best[e][1] : e])
             e = best[e][1]
         return [x for p in reversed(out) for x in singles(p)]
 
-    return merges if v.bpe else viterbi
+    return merges if v.bpe and not by_score else viterbi
 
 
 def word_ids(words: DataFrame, v: Vocabulary) -> DataFrame:
-    """(bucket, word, ids) of the distinct ``words(bucket, word)``, by lattice and fold; ids are null above ``FOLD_CHARS`` characters."""
+    """(bucket, word, ids) of the distinct ``words(bucket, word)``, by lattice and fold; ids are null above ``FOLD_CHARS`` characters of a BPE model."""
     spark = words.sparkSession
     pieces = piece_table(spark, v)
-    short = words.where(F.length("word") <= FOLD_CHARS)
+    short = words.where(F.length("word") <= FOLD_CHARS) if v.bpe else words
     spans = short.selectExpr("bucket", "word", "length(word) as n", "explode(sequence(0, length(word) - 1)) as s").selectExpr("bucket", "word", "n", "s", f"explode(sequence(s + 1, least(n, s + {v.longest}))) as e")
     spans = spans.selectExpr("bucket", "word", "n", "s", "e", "substring(word, s + 1, e - s) as piece")
     # a single character always has an edge, if only one without a piece; all stays where ``distinct`` put the word
     found = spans.join(small_side(pieces, len(v.pieces), 64), "piece", "left").where("id is not null or e - s = 1")
-    edges = found.groupBy("bucket", "word").agg(F.collect_list(F.struct("rank", "s", "e", "id")).alias("edges"))
     bytes_at = v.kinds.index(BYTE) if BYTE in v.kinds else None
     at = "substring(word, x.s + 1, 1)"
     fallback = f"array({v.unk})" if bytes_at is None else f"transform(sequence(1, octet_length({at})), k -> {bytes_at} + cast(conv(substring(hex(encode({at}, 'UTF-8')), 2 * k - 1, 2), 16, 10) as int))"
     if v.bpe:
+        edges = found.groupBy("bucket", "word").agg(F.collect_list(F.struct("rank", "s", "e", "id")).alias("edges"))
         merges = edges.selectExpr(
             "bucket", "word",
             "array_sort(transform(filter(edges, x -> x.e - x.s = 1), x -> struct(x.s as s, 1L as ends, 0L as inner, x.id as id))) as chars",
@@ -386,82 +463,122 @@ def word_ids(words: DataFrame, v: Vocabulary) -> DataFrame:
         folded = cuts.selectExpr("bucket", "word", f"flatten(transform(array_sort({final}), x -> if(x.id is not null, array(x.id), {fallback}))) as ids")
     else:
         worst = max(-s for s, k in zip(v.scores, v.kinds) if k in (NORMAL, USER)) + 10
-        best = f"array_min(transform(filter(edges, x -> x.e = i), x -> struct(acc[x.s].cost + coalesce(x.rank, {worst}D) as cost, x.s as s, x.id as id)))"
-        folded = edges.selectExpr("bucket", "word", f"aggregate(sequence(1, length(word)), array(struct(0D as cost, 0 as s, cast(null as int) as id)), (acc, i) -> concat(acc, array({best}))) as best")
+        # the edges by their end, so that each is looked at once
+        ends = found.groupBy("bucket", "word", "e").agg(F.collect_list(F.struct("rank", "s", "id")).alias("edges"))
+        ends = ends.groupBy("bucket", "word").agg(F.array_sort(F.collect_list(F.struct("e", "edges"))).alias("ends"))
+        best = f"array_min(transform(x.edges, y -> struct(acc[y.s].cost + coalesce(y.rank, {worst}D) as cost, y.s as s, y.id as id)))"
+        folded = ends.selectExpr("bucket", "word", f"aggregate(ends, array(struct(0D as cost, 0 as s, cast(null as int) as id)), (acc, x) -> concat(acc, array({best}))) as best")
         folded = folded.selectExpr("bucket", "word", "aggregate(sequence(1, length(word)), named_struct('at', length(word), 'path', cast(array() as array<struct<cost:double,s:int,id:int>>)), (a, _i) -> if(a.at = 0, a, named_struct('at', best[a.at].s, 'path', concat(array(best[a.at]), a.path)))).path as path")
-        folded = folded.selectExpr("bucket", "word", f"flatten(transform(path, x -> if(x.id is not null, array(x.id), {fallback}))) as ids")
+        return folded.selectExpr("bucket", "word", f"flatten(transform(path, x -> if(x.id is not null, array(x.id), {fallback}))) as ids")
 
     # words that are too wide have no ids yet
     return folded.unionAll(words.where(F.length("word") > FOLD_CHARS).select("bucket", "word", F.lit(None).cast("array<int>").alias("ids")))
 
 
-def _answer(wide, asks: pa.Table, known: pa.Table) -> pa.Table:
-    """Each block's list for a bucket, answered in its order: lengths and ids. Words that have no ids yet are encoded here."""
-    own, ids = known.column("word").to_pylist(), known.column("ids").combine_chunks()
-    if ids.null_count:
-        ids = pa.array([wide(w) if x is None else x for w, x in zip(own, ids.to_pylist())], pa.list_(pa.int32()))
-    offsets, values = np.asarray(ids.offsets), np.asarray(ids.values).astype(np.int32)
-    place = {w: i for i, w in enumerate(own)}
-    out = []
-    for block, data in zip(asks.column("block").to_pylist(), asks.column("data").to_pylist()):
-        words = _unlist(data)
-        at = np.fromiter((place[w] for w in words), dtype=np.int64, count=len(words))
-        n = offsets[at + 1] - offsets[at]
-        got = values[np.repeat(offsets[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-        x = _pack(n.astype(np.uint32))
-        out.append((block, struct.pack("<I", len(x)) + x + _pack(np.ascontiguousarray(got.view(np.uint8).reshape(-1, 4).T))))
-    return pa.table({"block": pa.array([o[0] for o in out], pa.string()), "bucket": pa.array([asks.column("bucket")[0].as_py()] * len(out) if out else [], pa.int32()), "data": pa.array([o[1] for o in out], pa.binary())})
-
-
-def _chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    a = struct.unpack("<I", data[:4])[0]
-    return _unpack(data[4 : 4 + a], np.uint32), np.ascontiguousarray(_unpack(data[4 + a :], np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-
-
-def _unblock(v: Vocabulary, rows: pa.Table, answers: pa.Table) -> Iterator[pa.Table]:
-    """The documents of a block with their ids, and whether these decode to the text; some 500,000 words at a time."""
-    seq = rows.filter(pc.equal(rows.column("kind"), "seq"))
-    docs = rows.filter(pc.equal(rows.column("kind"), "doc")).sort_by("place")
-    n_words = seq.column("n")[0].as_py()
-    data = seq.column("data")[0].as_py()
-    asked = struct.unpack("<I", data[:4])[0]
-    rank = _unpack(data[4 : 4 + asked], np.uint32)
-    planes = _unpack(data[4 + asked :], np.uint8).reshape(-1, n_words) if n_words else np.zeros((3, 0), np.uint8)
-    chunks = [_chunk(x) for x in answers.sort_by("bucket").column("data").to_pylist()]
-    lengths = np.concatenate([c[0] for c in chunks] or [np.zeros(0, np.uint32)]).astype(np.int64)
-    values = np.concatenate([c[1] for c in chunks] or [np.zeros(0, np.int32)])
-    if len(lengths) != len(rank):
-        raise RuntimeError("a block lacks answers: its input changed while it was read")
-    size, offset = np.zeros(len(rank), dtype=np.int64), np.zeros(len(rank), dtype=np.int64)
-    size[rank] = lengths
-    offset[rank] = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else 0
+class _Words:
+    """The ids of words (numbered as they come), and of lists of them."""
+
+    def __init__(self):
+        self.lengths, self.values, self.place = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], {}
+
+    def add(self, words: list[str], lengths: np.ndarray, values: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.lengths.append(lengths.astype(np.int64))
+        self.values.append(values.astype(np.int32))
+
+    def close(self) -> None:
+        self.size, self.ids = np.concatenate(self.lengths), np.concatenate(self.values)
+        self.offset = np.cumsum(self.size) - self.size
+        self.lengths, self.values = [], []
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in each word, the ids) of the words with these numbers."""
+        n = self.size[at]
+        return n, self.ids[np.repeat(self.offset[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+_MEET = "bucket int, kind int, block long, word string, ids array<int>, data binary"
+
+
+def _answer(wide):
+    """Each block's list for a bucket, answered in its order: lengths and ids. A bucket's words (kind 0) come before its lists (kind 1); words that have no ids yet are encoded here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, known, listed = None, _Words(), False
+        for batch in batches:
+            buckets, kinds = (np.asarray(batch.column(i)) for i in (0, 1))
+            edge = np.flatnonzero(np.concatenate(([True], (np.diff(buckets) != 0) | (np.diff(kinds) != 0), [True]))) if len(buckets) else [0]
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if buckets[a] != bucket:
+                    bucket, known, listed = buckets[a], _Words(), False
+                part = batch.slice(a, b - a)
+                if not kinds[a]:
+                    words, ids = part.column(3).to_pylist(), part.column(4)
+                    if ids.null_count:
+                        ids = pa.array([wide(w) if x is None else x for w, x in zip(words, ids.to_pylist())], pa.list_(pa.int32()))
+                    known.add(words, np.asarray(pc.list_value_length(ids)), np.asarray(pc.list_flatten(ids)))
+                    continue
+                if not listed:
+                    known.close()
+                    listed = True
+                for block, data in zip(part.column(2).to_pylist(), part.column(5).to_pylist()):
+                    words = _unlist(data[8:])
+                    n, ids = known.of(np.fromiter((known.place[w] for w in words), dtype=np.int64, count=len(words)))
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data[:8] + _pack(n.astype(np.uint32), ids)], pa.binary())], _names(_BLOCKS))
+
+    return run
+
+
+def _unblock(v: Vocabulary):
+    """The documents of each block with their ids, and whether these decode to the text; rows come sorted by block, kind and place."""
     table = _bytes_of(v)
-    piece_size = np.array([len(x) for x in table])
-    piece_at = np.concatenate(([0], np.cumsum(piece_size)))
+    piece_size = np.array([len(x) for x in table], dtype=np.int32)
+    piece_at = (np.cumsum(piece_size) - piece_size).astype(np.int32)
     pieces = np.frombuffer(b"".join(table), dtype=np.uint8)
-    counts = np.asarray(docs.column("n").combine_chunks())
-    digests = docs.column("data").to_pylist()
-    first = np.concatenate(([0], np.cumsum(np.maximum(counts, 0))))
-    skip, a = int(v.dummy_prefix), 0
-    while a < len(counts):
-        b = max(a + 1, int(np.searchsorted(first, first[a] + 500_000, "right")) - 1)
-        own = planes[:, first[a] : first[b]]
-        at = np.zeros(own.shape[1], dtype=np.int64)
-        for i, plane in enumerate(own):
-            at |= plane.astype(np.int64) << (8 * i)
-        n = size[at]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        ids = values[np.repeat(offset[at] - ends[:-1], n) + np.arange(ends[-1])]
-        edges = ends[first[a : b + 1] - first[a]]
-        n_bytes = piece_size[ids]
-        till = np.concatenate(([0], np.cumsum(n_bytes)))
-        text = pieces[np.repeat(piece_at[ids] - till[:-1], n_bytes) + np.arange(till[-1])].tobytes()
-        cut = till[edges].tolist()
-        same = [_digest(text[x + skip if y > x else x : y]) == d for x, y, d in zip(cut, cut[1:], digests[a:b])]
-        missing = counts[a:b] < 0
-        lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32), mask=np.append(missing, False)), pa.array(ids, pa.int32()))
-        yield pa.table({"doc_id": docs.column("doc_id").slice(a, b - a).combine_chunks(), "ids": lists, "round_trip": pa.array(same, pa.bool_(), mask=missing)})
-        a = b
+    skip = int(v.dummy_prefix)
+
+    def documents(words: _Words, data: bytes) -> pa.RecordBatch:
+        missing, doc_ids, counts, digests, seq = _unpack(data, np.bool_, np.int64, np.int32, np.uint8, np.uint32)
+        lengths, ids = words.of(seq.astype(np.int64))
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(np.maximum(counts, 0))))]
+        same = []
+        for a, b, digest in zip(ends[:-1].tolist(), ends[1:].tolist(), digests.reshape(-1, 8)):
+            text = []
+            for at in range(a, b, CHUNK_WORDS):
+                own = ids[at : min(b, at + CHUNK_WORDS)]
+                n = piece_size[own]
+                text.append(pieces[np.repeat(piece_at[own] - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(n.sum(), dtype=np.int32)].tobytes())
+            same.append(_digest(b"".join(text)[skip:]) == digest.tobytes())
+        null = counts < 0
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(null, False)), pa.array(ids, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=missing), lists, pa.array(same, pa.bool_(), mask=null)], ["doc_id", "ids", "round_trip"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, words, marks, ready = None, _Words(), set(), False
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name, kind, data = (batch.column(k)[i].as_py() for k in (0, 1, 3))
+                if name != block:
+                    block, words, marks, ready = name, _Words(), set(), False
+                if kind == 0:
+                    lengths, ids = _unpack(data[8:], np.uint32, np.int32)
+                    words.add([], lengths, ids)
+                    marks.add(data[:8])
+                elif kind == 1:
+                    (times,) = _unpack(data[8:], np.uint32)
+                    size, ids = np.concatenate(words.lengths), np.concatenate(words.values)
+                    if len(size) != len(times) or marks - {data[:8]}:
+                        raise RuntimeError("a block lacks answers, or has another's: its input changed while it was read")
+                    words.close()
+                    order = np.argsort(_ranks(times.astype(np.int64)))
+                    words.size, words.offset = words.size[order], words.offset[order]
+                    ready = True
+                elif not ready:
+                    raise RuntimeError("a block lacks its head")
+                else:
+                    yield documents(words, data)
+
+    return run
 
 
 def _is_scan(df: DataFrame) -> bool:
@@ -480,21 +597,18 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     if not _is_scan(slim):
         slim = materialize(slim, "piece-input")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labels = _labels(docs.sparkSession, buckets)
+    labels = bucket_labels(docs.sparkSession, buckets)
     # everything about words stays where the bucket is: only lists and distinct words move
     asks = slim.mapInArrow(_packer(cutter, labels, True), _ASKS).repartition(buckets, "bucket")
     words = asks.mapInArrow(_all_words, "bucket int, word string").repartition(buckets, "bucket").distinct()
-
-    def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
-        return _answer(_long_encoder(v), asks, known)
-
-    answers = asks.groupBy("bucket").cogroup(word_ids(words, v).groupBy("bucket")).applyInArrow(answer, "block string, bucket int, data binary")
-
-    def unblock(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        return pa.concat_tables(_unblock(v, rows, answers))
-
+    known = word_ids(words, v).selectExpr("bucket", "0 as kind", "cast(null as long) as block", "word", "ids", "cast(null as binary) as data")
+    lists = asks.selectExpr("bucket", "1 as kind", "block", "cast(null as string) as word", "cast(null as array<int>) as ids", "data")
+    met = known.unionAll(lists).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    answers = met.mapInArrow(_answer(_long_encoder(v)), _BLOCKS)
     packed = slim.mapInArrow(_packer(cutter, labels, False), _BLOCKS)
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(unblock, "doc_id long, ids array<int>, round_trip boolean")
+    # each side is shuffled before they meet: a block's name is its partition's number, which a union would change
+    blocks = answers.repartition(buckets, "block").unionAll(packed.repartition(buckets, "block")).repartition(buckets, "block").sortWithinPartitions("block", "kind", "place")
+    return blocks.mapInArrow(_unblock(v), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
