@@ -1,41 +1,51 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-A document's code has 64 bits, one SimHash over its distinct words. Two documents are candidates when their codes
-differ in at most ``tau`` bits. The bits are split into partitions, correlated bits together (Qin et al., "GPH:
-Similarity Search in Hamming Space", 2018). For thresholds t_i with sum(t_i) = tau - m + 1, two codes within ``tau``
-agree within t_i bits in at least one partition i, so probing those balls misses no pair. The thresholds come from a
-dynamic programme over candidate counts that are taken from all codes. Candidates are verified on 256 bits:
-the code, a second SimHash of the words, and two SimHashes of the word pairs.
+A document's code has 128 bits, two SimHashes over its distinct words. Two documents are candidates when their codes
+differ in at most ``TAU`` bits, which is also what verification asks of the words, so no pair that it accepts is out of reach. The bits are split into
+partitions, correlated bits together (Qin et al., "GPH: Similarity Search in Hamming Space", 2018). For thresholds t_i with sum(t_i) = tau - m + 1, two codes
+within ``tau`` agree within t_i bits in at least one partition i, so probing those balls misses no pair. The thresholds come from a
+dynamic programme over estimated candidate counts: the chance that two codes differ in at most t bits of a partition is that of a beta-binomial
+with the mean and the variance that the partition's bits have together over all codes, correlation included. Candidates within ``tau`` are verified on
+256 bits: the code and two SimHashes of the word pairs.
+
+Codes meet by (partition, route), the route being a few bits of the partition's value. A code is stored under its own route and sent to the routes within the
+threshold, each pair of routes meeting at one of them; the probes of the other bits are made where the codes meet, so a ball of
+thousands of values costs a few rows of shuffle. A pair that meets in several partitions is given by the first alone.
 
 Defined cases. A null or empty text, and a null ``doc_id``, is never a duplicate. A text without any word has itself as
 its only feature, so only equal ones pair up. Rows that share a ``doc_id`` are one document; they stay or go together.
-Texts are processed whole. In a group the smallest ``doc_id`` stays. Columns other than ``doc_id`` and ``text`` are
+Texts are processed whole. In a group the smallest ``doc_id`` stays. An empty table has no duplicate. Columns other than ``doc_id`` and ``text`` are
 ignored by the search and kept by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import combinations
+from math import exp, lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import textkit
-from quarry.llm.common import connected_components, fresh, materialize, small_side
+from quarry.llm.common import bucket_labels, connected_components, fresh, materialize, small_side
 
-BITS = 64
-#: Bits in which the 64-bit codes of near-duplicates may differ: at least 0.9 of the pairs that verification accepts are within it.
-TAU = 12
-#: Bits of 128 (words) and of 128 (word pairs) in which near-duplicates may differ.
+#: Columns of the code that is searched, 64 bits each.
+CODE = ("c0", "c1")
+#: Bits of 128 (words) and of 128 (word pairs) in which near-duplicates may differ; the first is the radius of the search.
 TAU_WORDS, TAU_PAIRS = 20, 36
-#: Near-duplicates' counts of distinct words differ by less than about half of this step of the logarithm.
-SIZE_STEP = float(np.log(1.5))
-#: Cost of a probe row, in units of a compared candidate, for the choice of the number of partitions.
-PROBE_COST = 12.0
+TAU = TAU_WORDS
+#: Nanoseconds of a row sent, a probe and a compared candidate, for the choice of the plan.
+ROW_COST, PROBE_COST, CANDIDATE_COST = 500.0, 15.0, 50.0
+#: Bits of a partition's value that make its route, at least; more where there are more shuffle partitions.
+ROUTE_BITS = 4
+#: Probes, and candidates, that are looked at together.
+AT_ONCE = 1 << 18
 
-_CODES = "doc_id long, c0 long, c1 long, c2 long, c3 long, words int"
+_CODES = "doc_id long, c0 long, c1 long, c2 long, c3 long"
 
 
 def _bit_sums(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -65,8 +75,8 @@ def _distinct(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return textkit.mix(key & np.uint64((1 << 44) - 1)), (key >> np.uint64(44)).astype(np.int64)
 
 
-def codes_of(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes [n, 4] uint64, distinct words [n]) of lower-cased texts; all zero for an empty text."""
+def codes_of(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Codes [n, 4] (uint64) of lower-cased texts; all zero for an empty text."""
     n = len(offsets) - 1
     h, row, _, _ = textkit.word_hashes(offsets, raw)
     wordless = np.setdiff1d(np.flatnonzero(np.diff(offsets)), row)
@@ -75,9 +85,9 @@ def codes_of(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarr
         h, row = np.concatenate((h, own)), np.concatenate((row, wordless))
         order = np.argsort(row, kind="stable")
         h, row = h[order], row[order]
-    codes, words = np.zeros((n, 4), dtype=np.uint64), np.zeros(n, dtype=np.int64)
+    codes = np.zeros((n, 4), dtype=np.uint64)
     if not len(h):
-        return codes, words
+        return codes
     last = np.concatenate((row[1:] != row[:-1], [True]))
     first = np.concatenate(([True], last[:-1]))
     pair = textkit.mix(h * np.uint64(3) + np.concatenate((h[1:], [np.uint64(0)])))
@@ -87,48 +97,53 @@ def codes_of(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarr
         starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
         codes[r[starts], at] = _simhash(f, starts)
         codes[r[starts], at + 1] = _simhash(textkit.mix(f + np.uint64(0x632BE59BD9B4E019)), starts)
-        if at == 0:
-            words[r[starts]] = np.diff(np.append(starts, len(f)))
-    return codes, words
+    return codes
 
 
 def _code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for a, b, offsets, raw in textkit.blocks(texts, lower=True):
-            codes, words = codes_of(offsets, raw)
+            codes = codes_of(offsets, raw)
             full = pa.array(np.diff(offsets) > 0)
-            out = pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(codes[:, i].view(np.int64)) for i in range(4)), pa.array(words.astype(np.int32))], ["doc_id", "c0", "c1", "c2", "c3", "words"])
+            out = pa.RecordBatch.from_arrays([ids.slice(a, b - a), *(pa.array(codes[:, i].view(np.int64)) for i in range(4))], ["doc_id", "c0", "c1", "c2", "c3"])
             yield out.filter(full)
 
 
 def simhash_codes(docs: DataFrame) -> DataFrame:
-    """(doc_id, c0..c3, words) of every document with text; one narrow pass over (doc_id, text)."""
+    """(doc_id, c0..c3) of every document with text; one narrow pass over (doc_id, text)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     return slim.mapInArrow(_code_batches, _CODES)
 
 
+def _codes(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    """The columns from ``first`` on, as codes [n, words] (uint64)."""
+    return np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(first, batch.num_columns)], axis=1).view(np.uint64)
+
+
 def _co_occurrence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, n = np.zeros((BITS, BITS)), 0
+    total, n = None, 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 65_536):
-            code = np.ascontiguousarray(batch.column(0).slice(at, 65_536).to_numpy(zero_copy_only=False)).view(np.uint8)
-            bits = np.unpackbits(code, bitorder="little").reshape(-1, BITS).astype(np.float32)
-            total += bits.T @ bits
+        for at in range(0, batch.num_rows, 16_384):
+            code = np.ascontiguousarray(_codes(batch.slice(at, 16_384), 0)).view(np.uint8)
+            bits = np.unpackbits(code, axis=1, bitorder="little").astype(np.float32)
+            total = (0 if total is None else total) + (bits.T @ bits).astype(np.float64)
             n += len(bits)
-    where = np.arange(BITS * BITS + 1, dtype=np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.append(total.ravel(), n).astype(np.int64))], ["at", "n"])
+    if n:
+        at = np.arange(total.size + 1, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(total.ravel(), n).astype(np.int64))], ["at", "n"])
 
 
 def _groups(both: np.ndarray, n: int, m: int) -> list[list[int]]:
     """``m`` even groups of bits: each starts from the most correlated pair left and takes the bits most correlated with it."""
+    width = len(both)
     p = np.diag(both) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     corr = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread))
     np.fill_diagonal(corr, -1)
-    left, groups = set(range(BITS)), []
+    left, groups = set(range(width)), []
     for k in range(m):
-        size = (BITS * (k + 1)) // m - (BITS * k) // m
+        size = (width * (k + 1)) // m - (width * k) // m
         at = sorted(left)
         sub = corr[np.ix_(at, at)]
         i, j = divmod(int(np.argmax(sub)), len(at))
@@ -149,11 +164,28 @@ def _ball(width: int, radius: int) -> int:
     return total if radius >= 0 else 0
 
 
-def _masks(bits: list[int], radius: int) -> list[int]:
-    """The values to XOR a partition's value with, for every value within ``radius``."""
-    from itertools import combinations
+def _masks(width: int, radius: int) -> np.ndarray:
+    """The values to XOR a value of ``width`` bits with, for every value within ``radius``."""
+    return np.array([sum(1 << b for b in c) for r in range(min(radius, width) + 1) for c in combinations(range(width), r)], dtype=np.int64)
 
-    return [sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(bits, r)]
+
+def _near(both: np.ndarray, n: int, bits: list[int]) -> np.ndarray:
+    """The chance that two codes differ in at most 0, 1, ... of ``bits``: a beta-binomial of the mean and variance they have together."""
+    w = len(bits)
+    p11 = both[np.ix_(bits, bits)] / max(n, 1)
+    p = np.diag(p11)
+    p10 = p[:, None] - p11
+    p00 = 1 - p[:, None] - p[None, :] + p11
+    together = 2 * (p11 * p00 + p10 * p10.T)  # two codes differ in both bits
+    differ = np.diag(together)
+    mean, second = float(differ.sum()), float(together.sum())
+    q = min(max(mean / w, 1e-6), 1 - 1e-6)
+    # a beta-binomial's variance is w q (1 - q) (1 + (w - 1) r), r being the bits' correlation
+    r = ((second - mean**2) / (w * q * (1 - q)) - 1) / (w - 1) if w > 1 else 0.0
+    r = min(max(r, 1e-4), 0.999)
+    a, b = q * (1 / r - 1), (1 - q) * (1 / r - 1)
+    log_beta = lambda x, y: lgamma(x) + lgamma(y) - lgamma(x + y)
+    return np.cumsum([exp(lgamma(w + 1) - lgamma(k + 1) - lgamma(w - k + 1) + log_beta(k + a, w - k + b) - log_beta(a, b)) for k in range(w + 1)])
 
 
 def _allocate(cost: np.ndarray, total: int) -> tuple[list[int], float]:
@@ -172,75 +204,180 @@ def _allocate(cost: np.ndarray, total: int) -> tuple[list[int], float]:
     return ts, c
 
 
-def plan_partitions(codes: DataFrame, tau: int = TAU) -> tuple[list[list[int]], list[int]]:
+def _route_bits(width: int, parts: int, partitions: int) -> int:
+    return min(width - 1, max(ROUTE_BITS, int(np.ceil(np.log2(max(1, 2 * partitions / parts))))))
+
+
+def plan_partitions(codes: DataFrame, tau: int = TAU, names: Sequence[str] = ("c0",)) -> tuple[list[list[int]], list[int]]:
     """(bits of each partition, threshold of each), from counts over all codes.
 
-    For each number of partitions the cost of every (partition, threshold) is the probe rows it makes plus the candidates
-    it meets, the latter from the product of the bits' chances to differ; the cheapest plan wins. What reaches
-    the driver is one 64 x 64 matrix.
+    For each number of partitions the cost of every (partition, threshold) is the rows it sends, the probes it makes and the candidates
+    it meets; the cheapest plan wins. What reaches the driver is one matrix of how often two bits are set together.
     """
-    rows = codes.select("c0").mapInArrow(_co_occurrence, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    flat = np.zeros(BITS * BITS + 1)
+    width = 64 * len(names)
+    rows = codes.select(*names).mapInArrow(_co_occurrence, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    flat = np.zeros(width * width + 1)
     for r in rows:
         flat[r["at"]] = r["n"]
-    both, n = flat[:-1].reshape(BITS, BITS), int(flat[-1])
-    p = np.diag(both) / max(n, 1)
-    differ = 2 * p * (1 - p)
+    both, n = flat[:-1].reshape(width, width), int(flat[-1])
+    partitions = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plans = []
-    for m in range(2, tau + 2):
+    for m in range(2, min(tau + 1, width // 4) + 1):
         groups, widest = _groups(both, n, m), tau + 2
         cost = np.zeros((m, widest))
         for i, bits in enumerate(groups):
-            dist = np.ones(1)
-            for b in bits:
-                dist = np.convolve(dist, [1 - differ[b], differ[b]])
-            near = np.cumsum(dist)
+            near, route = _near(both, n, bits), _route_bits(len(bits), m, partitions)
             for t in range(widest - 1):
-                cost[i][t + 1] = max(n, 1) * (PROBE_COST * _ball(len(bits), min(t, len(bits))) + n * near[min(t, len(bits))] / 8)
+                at = min(t, len(bits))
+                cost[i][t + 1] = n * (ROW_COST * (1 + _ball(route, min(t, route))) / 2 + PROBE_COST * _ball(len(bits), at) / 2 + CANDIDATE_COST * n * near[at] / 2)
         thresholds, c = _allocate(cost, tau - m + 1)
         plans.append((c, groups, thresholds))
-    return min(plans, key=lambda x: x[0])[1:]
-
-
-def hamming_pairs(codes: DataFrame, tau: int = TAU, plan: tuple[list[list[int]], list[int]] | None = None, banded: bool = True) -> DataFrame:
-    """Distinct (a, b), a < b, of ids whose c0 differ in at most ``tau`` bits; ``codes(id, c0, words)`` has distinct ids.
-
-    Each document is stored once per partition (twice if ``banded``: under its own size band and the nearer
-    neighbour) and probes a ball per partition. One equi-join finds all pairs; none is capped.
+    return min(plans, key=lambda x: x[0])[1:] if plans else ([list(range(width))], [tau])
+
+
+def _value(codes: np.ndarray, bits: list[int]) -> np.ndarray:
+    out = np.zeros(len(codes), dtype=np.uint64)
+    for j, b in enumerate(bits):
+        out |= ((codes[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)) << np.uint64(j)
+    return out.view(np.int64)
+
+
+def _put(ids: np.ndarray, codes: np.ndarray) -> bytes:
+    planes = np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + codes.tobytes())
+
+
+def _take(data: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    n = len(raw) // (8 + 8 * words)
+    return np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.int64).ravel(), raw[8 * n :].view(np.uint64).reshape(n, words)
+
+
+_SENT = "label int, part int, route int, kind int, sender int, data binary"
+
+
+def _sender(used: list[tuple[int, list[int], list[int], int]], labels: np.ndarray):
+    """Codes of equal route together: to their own (kind 0), and to the routes within the threshold with which they meet there (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16_384):
+                part = batch.slice(at, 16_384)
+                ids, codes, rows = np.asarray(part.column(0)).astype(np.int64), _codes(part, 1), []
+                for k, (_, route, _, t) in enumerate(used):
+                    own = _value(codes, route)
+                    order = np.argsort(own, kind="stable")
+                    edge = np.flatnonzero(np.concatenate(([True], np.diff(own[order]) != 0, [True])))
+                    flips = _masks(len(route), t).tolist()
+                    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                        r, data = int(own[order[a]]), _put(ids[order[a:b]], codes[order[a:b]])
+                        for f in flips:
+                            if r ^ f >= r:
+                                rows.append((int(labels[(k + (r ^ f) * len(used)) % len(labels)]), k, r ^ f, int(f > 0), r, data))
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in rows], pa.int32()) for i in range(5)), pa.array([x[5] for x in rows], pa.binary())], [c.split(" ")[0] for c in _SENT.split(", ")])
+
+    return run
+
+
+def _meeting(used: list[tuple[int, list[int], list[int], int]], tau: int, words: int):
+    """(a, b) of all codes that meet under a route within the threshold, differ in at most ``tau`` bits, and don't meet in an earlier partition."""
+    masks = [np.array([sum(1 << (b % 64) for b in bits if b // 64 == i) for i in range(words)], dtype=np.uint64) for bits, *_ in used]
+
+    def pairs(k: int, stored: tuple, probing: tuple, radius: int, own: bool) -> Iterator[pa.RecordBatch]:
+        ids, codes, values, table = stored
+        p_ids, p_codes, p_values = probing
+        flips = _masks(len(used[k][2]), radius)
+        for at in range(0, len(p_ids), step := max(1, AT_ONCE // len(flips))):
+            keys = (p_values[at : at + step, None] ^ flips[None, :]).ravel()
+            if table is None:
+                begin, end = np.searchsorted(values, keys, "left"), np.searchsorted(values, keys, "right")
+            else:
+                begin, end = table[keys], table[keys + 1]
+            some = np.flatnonzero(end > begin)
+            probe, begin, n = at + some // len(flips), begin[some], (end - begin)[some]
+            till = np.cumsum(n)
+            x = 0
+            while x < len(n):
+                y = max(x + 1, int(np.searchsorted(till, (till[x - 1] if x else 0) + AT_ONCE, "right")))
+                m = n[x:y]
+                p = np.repeat(probe[x:y], m)
+                q = np.repeat(begin[x:y] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                if own:
+                    once = p_ids[p] < ids[q]
+                    p, q = p[once], q[once]
+                differ = p_codes[p] ^ codes[q]
+                close = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= tau
+                p, q, differ = p[close], q[close], differ[close]
+                if len(p):
+                    first = np.ones(len(p), dtype=bool)
+                    for j in range(k):
+                        first &= np.bitwise_count(differ & masks[j]).sum(axis=1, dtype=np.int64) > used[j][3]
+                    a, b = p_ids[p[first]], ids[q[first]]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                x = y
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, stored = None, [], None
+
+        def close() -> tuple:
+            ids, codes = (np.concatenate([x[i] for x in held]) for i in range(2))
+            local = used[at[0]][2]
+            values = _value(codes, local)
+            order = np.argsort(values, kind="stable")
+            values = values[order]
+            # where each value begins; a wide partition's are searched for
+            table = np.searchsorted(values, np.arange((1 << len(local)) + 1)) if len(local) <= 18 else None
+            return ids[order], codes[order], values, table
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, route, kind, sender, data = (batch.column(c)[i].as_py() for c in range(1, 6))
+                if (part, route) != at:
+                    if held:
+                        stored = close()
+                        yield from pairs(at[0], stored, stored[:3], used[at[0]][3], True)
+                    at, held, stored = (part, route), [], None
+                if not kind:
+                    held.append(_take(data, words))
+                    continue
+                if held:
+                    stored = close()
+                    held = []
+                    yield from pairs(part, stored, stored[:3], used[part][3], True)
+                if stored is not None:
+                    ids, codes = _take(data, words)
+                    yield from pairs(part, stored, (ids, codes, _value(codes, used[part][2])), used[part][3] - (route ^ sender).bit_count(), False)
+        if held:
+            stored = close()
+            yield from pairs(at[0], stored, stored[:3], used[at[0]][3], True)
+
+    return run
+
+
+def hamming_pairs(codes: DataFrame, tau: int = TAU, plan: tuple[list[list[int]], list[int]] | None = None, names: Sequence[str] = ("c0",)) -> DataFrame:
+    """(a, b), a < b, each once, of all ids whose codes differ in at most ``tau`` bits; ``codes(id, *names)`` has distinct ids.
+
+    One shuffle by (partition, route) finds all pairs; none is capped.
     """
-    groups, thresholds = plan or plan_partitions(codes, tau)
-    used = [(i, bits, t) for i, (bits, t) in enumerate(zip(groups, thresholds)) if t >= 0]
-    size = F.log(F.col("words") + F.lit(1)) / F.lit(SIZE_STEP)
-    own = F.floor(size).cast("int") if banded else F.lit(0)
-    masked = lambda bits: F.col("c0").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
-    stored = F.array(*[F.xxhash64(F.lit(i), masked(bits)) for i, bits, _ in used])
-
-    def ball(i: int, bits: list[int], t: int) -> Column:
-        flips = F.array(*[F.lit(_signed(x)) for x in _masks(bits, t)])
-        return F.transform(flips, lambda x: F.xxhash64(F.lit(i), masked(bits).bitwiseXOR(x)))
-
-    probes = F.flatten(F.array(*[ball(*u) for u in used]))
-    base = codes.select("id", "c0", own.alias("band"), (F.when(size - F.floor(size) < 0.5, -1).otherwise(1) if banded else F.lit(0)).alias("step"))
-    right = base.select(F.col("id").alias("b"), F.col("c0").alias("cb"), F.explode(stored).alias("key"), "band", "step")
-    if banded:
-        right = right.select("b", "cb", "key", F.explode(F.array(F.col("band"), F.col("band") + F.col("step"))).alias("band"))
-    left = base.select(F.col("id").alias("a"), F.col("c0").alias("ca"), "band", F.explode(probes).alias("key"))
-    left = left.select("a", "ca", F.xxhash64("key", "band").alias("key"))
-    right = right.select("b", "cb", F.xxhash64("key", "band").alias("key"))
-    close = left.hint("shuffle_hash").join(right.hint("shuffle_hash"), "key").where((F.col("a") != F.col("b")) & (F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= tau))
-    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    groups, thresholds = plan or plan_partitions(codes, tau, names)
+    spark = codes.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    used = []
+    for bits, t in zip(groups, thresholds):
+        if t >= 0:
+            route = bits[: _route_bits(len(bits), len(groups), partitions)]
+            used.append((bits, route, bits[len(route) :], t))
+    sent = codes.select("id", *names).mapInArrow(_sender(used, bucket_labels(spark, partitions)), _SENT).repartition(partitions, "label")
+    return sent.sortWithinPartitions("label", "part", "route", "kind").select("label", "part", "route", "kind", "sender", "data").mapInArrow(_meeting(used, tau, len(names)), "a long, b long")
 
 
 def near_duplicate_pairs(docs: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
     """(distinct codes with their first document, verified pairs of those documents); see the module."""
     codes = materialize(simhash_codes(docs), "simhash-codes")
-    # equal codes and sizes are one node; its members hang on the first document
-    nodes = materialize(codes.groupBy("c0", "c1", "c2", "c3").agg(F.min("doc_id").alias("id"), F.min("words").alias("words")), "simhash-nodes")
-    found = hamming_pairs(nodes, tau)
+    # equal codes are one node; its members hang on the first document
+    nodes = materialize(codes.groupBy("c0", "c1", "c2", "c3").agg(F.min("doc_id").alias("id")), "simhash-nodes")
+    found = hamming_pairs(nodes, tau, names=CODE)
     side = lambda x: nodes.select(F.col("id").alias(x), *[F.col(f"c{i}").alias(f"{x}{i}") for i in range(4)])
     differ = lambda *at: sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in at[1:]), F.bit_count(F.col(f"a{at[0]}").bitwiseXOR(F.col(f"b{at[0]}"))))
     pairs = found.join(side("a"), "a").join(side("b"), "b").where((differ(0, 1) <= TAU_WORDS) & (differ(2, 3) <= TAU_PAIRS)).select("a", "b")
