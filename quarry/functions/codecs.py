@@ -1,4 +1,4 @@
-"""Compression as Arrow functions: LZ4 frames by pyarrow, Zstandard by its library. Batches go to Python once, only for rows that need it."""
+"""Compression as Arrow functions: LZ4 frames by pyarrow, Zstandard by its library. Each batch goes to Python once."""
 
 from __future__ import annotations
 
@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.errors import CompressionError, IntegrityError
-from quarry.functions.payload import ratio, skips_compression
+from quarry.functions.payload import looks_random, ratio
 from quarry.policies import codec_name
 
 
-
 @lru_cache(maxsize=64)
 def _codec(name: str):
     algo, _, level = name.partition(":")
@@ -55,21 +54,24 @@ def decompress(name: str, data: bytes) -> bytes:
 
 @F.arrow_udf(T.StructType([T.StructField("stored", T.BinaryType()), T.StructField("algo", T.StringType()), T.StructField("reason", T.StringType())]))
 def _attempt(data: pa.Array, codec: pa.Array) -> pa.Array:
-    rows = []
-    for d, c in zip(data.to_pylist(), codec.to_pylist()):
+    """The entropy test and the codec in one pass; what doesn't become smaller stays as it is."""
+    stored, algos, reasons = data.to_pylist(), codec.to_pylist(), [None] * len(data)
+    for i, (d, c) in enumerate(zip(stored, algos)):
         if d is None:
-            rows.append(None)
+            algos[i] = None
         elif c == "identity":
-            rows.append({"stored": d, "algo": c, "reason": "no compression"})
+            reasons[i] = "no compression"
+        elif looks_random(d):
+            algos[i], reasons[i] = "identity", "high entropy"
         else:
             out = compress(c, d)
             if len(out) >= len(d):
-                rows.append({"stored": d, "algo": "identity", "reason": "not smaller"})
+                algos[i], reasons[i] = "identity", "not smaller"
             elif decompress(c, out) != d:
                 raise IntegrityError(f"{c} doesn't restore its input")
             else:
-                rows.append({"stored": out, "algo": c, "reason": None})
-    return pa.array(rows, pa.struct([("stored", pa.binary()), ("algo", pa.string()), ("reason", pa.string())]))
+                stored[i] = out
+    return pa.StructArray.from_arrays([pa.array(stored, pa.binary()), pa.array(algos, pa.string()), pa.array(reasons, pa.string())], ["stored", "algo", "reason"], mask=data.is_null())
 
 
 @F.arrow_udf(T.BinaryType())
@@ -79,13 +81,7 @@ def restored(stored: pa.Array, algo: pa.Array) -> pa.Array:
 
 
 def adaptive(rows: DataFrame, data: str = "chunk", algo: str = "comp_algo", level: str = "comp_level") -> DataFrame:
-    """``rows`` with (stored, algo, reason, original_size, compressed_size, ratio) for ``data``, which is dropped.
-
-    Rows whose codec is none, or whose first bytes look random, never reach Python: the two kinds are split and united.
-    """
-    named = rows.withColumn("__codec", codec_name(F.col(algo), F.col(level))).withColumn("__skip", skips_compression(F.col(data)))
-    plain = (F.col("__codec") == "identity") | F.col("__skip")
-    kept = named.where(plain).withColumns({"stored": F.col(data), "algo": F.lit("identity"), "reason": F.when(F.col("__codec") == "identity", F.lit("no compression")).otherwise(F.lit("high entropy"))})
-    done = named.where(~plain).withColumn("__out", _attempt(F.col(data), F.col("__codec"))).select("*", "__out.*").drop("__out")
-    both = kept.unionByName(done).withColumns({"original_size": F.octet_length(data).cast("bigint"), "compressed_size": F.octet_length("stored").cast("bigint")})
-    return both.withColumn("ratio", F.round(ratio(F.col("original_size"), F.col("compressed_size")), 6)).drop("__codec", "__skip", data)
+    """``rows`` with (stored, algo, reason, original_size, compressed_size, ratio) for ``data``, which is dropped: one pass over Arrow batches."""
+    done = rows.withColumn("__out", _attempt(F.col(data), codec_name(F.col(algo), F.col(level)))).withColumns({"original_size": F.octet_length(data).cast("bigint")}).drop(data)
+    both = done.select("*", "__out.*").drop("__out").withColumn("compressed_size", F.octet_length("stored").cast("bigint"))
+    return both.withColumn("ratio", F.round(ratio(F.col("original_size"), F.col("compressed_size")), 6))

@@ -1,9 +1,14 @@
-"""Expressions over payload bytes: chunks, entropy, hashes, shard keys. All stay in the JVM."""
+"""Expressions over payload bytes: chunks, entropy, hashes, shard keys. All but the counts of bytes, which numpy makes of Arrow batches, stay in the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SEGMENT_SIZE = 4 << 20
 ENTROPY_SAMPLE = 1024
@@ -26,35 +31,68 @@ def content_hash(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
-def byte_values(data: Column) -> Column:
-    """The bytes of ``data`` as an array of two hex digits each."""
-    return F.when(F.octet_length(data) > 0, F.regexp_extract_all(F.hex(data), F.lit("(..)"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+def byte_counts(data: pa.Array) -> Iterator[np.ndarray]:
+    """How often each byte value occurs in each value of a binary column; a null counts as empty."""
+    offsets, raw = np.frombuffer(data.buffers()[1], dtype=np.int32 if pa.types.is_binary(data.type) else np.int64), data.buffers()[2]
+    raw = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
+    offsets = offsets[data.offset : data.offset + len(data) + 1]
+    for a, b, known in zip(offsets[:-1].tolist(), offsets[1:].tolist(), data.is_valid().to_pylist()):
+        yield np.bincount(raw[a:b], minlength=256) if known else np.zeros(256, dtype=np.int64)
+
+
+def bits_a_byte(counts: np.ndarray) -> float:
+    """Shannon entropy in bits a byte, rounded to six places; 0 for no bytes."""
+    n, some = int(counts.sum()), counts[counts > 0].astype(float)
+    return round(float(np.log2(n) - (some * np.log2(some)).sum() / n), 6) + 0.0 if n else 0.0
 
 
 def histogram(rows: DataFrame, key: list[str], data: str) -> DataFrame:
-    """(key, byte, n): how often each byte value occurs; at most 256 rows a key."""
-    return rows.select(*key, F.explode(byte_values(F.col(data))).alias("b")).groupBy(*key, "b").agg(F.count(F.lit(1)).alias("n")).select(*key, F.conv("b", 16, 10).cast("int").alias("byte"), "n")
+    """(key, byte, n): how often each byte value occurs; at most 256 rows a key. Counted in place, so that only counts move."""
+    slim = rows.select(*key, F.col(data).cast("binary").alias("data"))
+    kinds = [slim.schema[k] for k in key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not key:
+                total = sum(byte_counts(batch.column(0)), np.zeros(256, dtype=np.int64))
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["byte", "n"])
+                continue
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                row, byte, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, counts in enumerate(byte_counts(part.column(len(key)))):
+                    some = np.flatnonzero(counts)
+                    row.append(np.full(len(some), i))
+                    byte.append(some)
+                    n.append(counts[some])
+                at_row = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(at_row) for i in range(len(key))), pa.array(np.concatenate(byte).astype(np.int32)), pa.array(np.concatenate(n))], [*key, "byte", "n"])
+
+    made = slim.mapInArrow(run, T.StructType([*kinds, T.StructField("byte", T.IntegerType()), T.StructField("n", T.LongType())]))
+    return made.groupBy(*key, "byte").agg(F.sum("n").alias("n"))
 
 
 def entropy(rows: DataFrame, key: list[str], data: str) -> DataFrame:
-    """(key, n_bytes, entropy): Shannon entropy in bits a byte, rounded to six places; 0 for no bytes."""
-    counts = histogram(rows, key, data)
-    total = counts.groupBy(*key).agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    """(key, n_bytes, entropy) over all rows of each key: Shannon entropy in bits a byte, rounded to six places; 0 for no bytes."""
+    total = histogram(rows, key, data).groupBy(*key).agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     found = total.select(*key, "n_bytes", F.round(F.log2("n_bytes") - F.col("s") / F.col("n_bytes"), 6).alias("entropy"))
     return rows.select(*key).join(found, key, "left").fillna({"n_bytes": 0, "entropy": 0.0})
 
 
-def entropy_of(data: Column) -> Column:
-    """The same entropy of one small value in place, without a shuffle."""
-    values = byte_values(data)
-    n = F.size(values).cast("double")
-    counts = F.transform(F.array_distinct(values), lambda b: F.size(F.filter(values, lambda x: x == b)).cast("double"))
-    total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.log2(n) - total / n, 6))
+@F.arrow_udf(T.DoubleType())
+def entropy_of(data: pa.Array) -> pa.Array:
+    """The entropy of each value, in place, without a shuffle; 0 for a null or empty one."""
+    return pa.array([bits_a_byte(c) for c in byte_counts(data)], pa.float64())
 
 
-def skips_compression(data: Column) -> Column:
+def looks_random(data: bytes) -> bool:
     """Payloads of at least 1 KiB whose first 1 KiB looks random aren't worth compressing."""
+    return len(data) >= ENTROPY_SAMPLE and bits_a_byte(np.bincount(np.frombuffer(data, dtype=np.uint8, count=ENTROPY_SAMPLE), minlength=256)) >= ENTROPY_LIMIT
+
+
+def skips_compression(data: Column) -> Column:
+    """``looks_random`` of each payload; only its first 1 KiB goes to Python."""
     return (F.octet_length(data) >= ENTROPY_SAMPLE) & (entropy_of(F.substring(data, 1, ENTROPY_SAMPLE)) >= ENTROPY_LIMIT)
 
 
