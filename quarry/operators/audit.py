@@ -30,23 +30,26 @@ def record_hash(prev: Column, payload: Column, ts: Column) -> Column:
 
 
 def chain(events: DataFrame, log: str = "log_id", genesis: str = GENESIS) -> DataFrame:
-    """``events(log, seq, event, payload, timestamp)`` with (prev_hash, hash), folded in order of ``seq`` within each log."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.select(log, "seq", "event", "payload", "timestamp").schema.fields)
+    """``events(log, seq, event, payload, timestamp)`` with (prev_hash, hash), folded in order of ``seq`` within each log.
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prev = bytes.fromhex(genesis)
+    Rows are sorted within partitions of whole logs and folded as they stream by, so a log of any length takes the memory of one batch.
+    """
+    own = events.select(log, "seq", "event", "payload", "timestamp")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prev, current, begun = b"", None, False
         for batch in batches:
-            before, own = [], []
-            for payload, ts in zip(batch.column("payload").to_pylist(), batch.column("timestamp").to_pylist()):
+            before, after = [], []
+            for name, payload, ts in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if not begun or name != current:
+                    prev, current, begun = bytes.fromhex(genesis), name, True
                 before.append(prev.hex())
                 prev = hashlib.sha256(prev + (payload or "").encode() + (ts or 0).to_bytes(8, "little", signed=True)).digest()
-                own.append(prev.hex())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], [*batch.schema.names, "prev_hash", "hash"])
-
-    def whole(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(key, iter(table.sort_by("seq").combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], table.schema)]))))
+                after.append(prev.hex())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], [*batch.schema.names, "prev_hash", "hash"])
 
-    return events.select(log, "seq", "event", "payload", "timestamp").groupBy(log).applyInArrow(whole, f"{schema}, prev_hash string, hash string")
+    return own.repartition(log).sortWithinPartitions(log, "seq").mapInArrow(run, f"{schema}, prev_hash string, hash string")
 
 
 def verify(records: DataFrame, log: str = "log_id") -> DataFrame:
@@ -66,12 +69,47 @@ def tsa_marks(records: DataFrame, every: int = TSA_BATCH) -> DataFrame:
 
 
 def rotation(records: DataFrame, max_bytes: int, log: str = "log_id") -> DataFrame:
-    """``records`` with the number of the file they belong to: a new file begins when the last one has reached ``max_bytes``."""
-    size = F.octet_length(F.to_json(F.struct(*[c for c in records.columns]))) + 1
-    before = F.coalesce(F.sum(size).over(W.partitionBy(log).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return records.withColumn("file", F.floor(before / max_bytes).cast("int"))
+    """``records`` with the number of the file they are written to: after the write with which a file reaches ``max_bytes``, the next one begins.
+
+    The bytes start anew with each file, so this is a fold, which streams by like the chain.
+    """
+    size = F.octet_length(F.to_json(F.struct(*records.columns))) + 1
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields)
+    at = records.columns.index(log)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held, current, begun = 0, 0, None, False
+        for batch in batches:
+            files = []
+            for name, n in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if not begun or name != current:
+                    file, held, current, begun = 0, 0, name, True
+                files.append(file)
+                held += n
+                if 0 < max_bytes <= held:
+                    file, held = file + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(files, pa.int32())], [*batch.schema.names[:-1], "file"])
+
+    return records.withColumn("__bytes", size.cast("bigint")).repartition(log).sortWithinPartitions(log, "seq").mapInArrow(run, f"{schema}, file int")
 
 
 def events(kind: str, rows: DataFrame, *fields: str) -> DataFrame:
     """(event, payload): rows as audit events of a kind."""
     return rows.select(F.lit(kind).alias("event"), F.to_json(F.struct(F.lit(kind).alias("event"), *fields)).alias("payload"))
+
+
+def written(capsules: DataFrame, links: DataFrame, segments: DataFrame) -> DataFrame:
+    """(event, payload) of written capsules, as ``capsule_written``, and of their segments: ``segment_appended``, or ``dedup_hit`` where an earlier reference had made the segment."""
+    first = links.groupBy("segment_id").agg(F.min(F.struct("capsule_id", "pos")).alias("__first"))
+    marked = links.join(first, "segment_id").join(segments.select("segment_id", "len", "content_hash"), "segment_id")
+    own = (F.col("__first.capsule_id") == F.col("capsule_id")) & (F.col("__first.pos") == F.col("pos"))
+    fields = ("capsule_id", "segment_id", "len", "content_hash")
+    return events("capsule_written", capsules, "capsule_id", "size", F.col("segment_count").alias("segments")).unionAll(events("segment_appended", marked.where(own), *fields)).unionAll(events("dedup_hit", marked.where(~own), *fields))
+
+
+def read(capsules: DataFrame) -> DataFrame:
+    return events("capsule_read", capsules, "capsule_id", "size")
+
+
+def deleted(capsules: DataFrame) -> DataFrame:
+    return events("capsule_deleted", capsules, "capsule_id")

@@ -1,21 +1,27 @@
 """The catalog's life: write, read, range read, delete, reconcile and collect, as batch transformations of immutable tables.
 
-Reference counts are derived by counting references, never updated in place. A version of the catalog is one folder; a
-new version becomes current when its name is written to ``CURRENT``, after all its tables.
+Reference counts are derived by counting references, never updated in place. A version of the catalog is one folder that is written once. It becomes
+current when a line that names it is added to ``commits``, after all its tables; a rollback is a line that names an earlier one. Lines are only
+ever added, each as a file that appears whole, so a reader finds the version before or the one after, and a failed write leaves no trace in it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.errors import CatalogError
 from quarry.functions import codecs, crypto
 from quarry.functions.payload import SEGMENT_SIZE, chunks, content_hash
 from quarry.operators.dedup import dense_ids, running_offset
 from quarry.policies import Policy
+from quarry.shared import materialize
 from quarry.sources.readers import TABLES
 
 FORMAT_VERSION = 1
@@ -33,16 +39,71 @@ class Catalog:
         return cls(*(spark.createDataFrame([], TABLES[t]) for t in ("capsules", "capsule_segments", "segments", "content_store")))
 
     def save(self, path: str, version: int) -> None:
+        """Write all tables of ``version``, which must be new, then commit it."""
         for name in ("capsules", "capsule_segments", "segments", "content_store"):
             getattr(self, name).write.mode("error").parquet(f"{path}/v{version}/{name}")
-        spark = self.capsules.sparkSession
-        spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").json(f"{path}/CURRENT")
+        _commit(self.capsules.sparkSession, path, version)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, version: int | None = None) -> Catalog:
+    def open(cls, spark: SparkSession, path: str, version: int | None = None, reconcile: bool = True) -> Catalog:
+        """The current version, or the one asked for; ``reconcile`` counts the references anew."""
         if version is None:
-            version = spark.read.schema("version int").json(f"{path}/CURRENT").first()["version"]
-        return cls(*(spark.read.schema(TABLES[t]).parquet(f"{path}/v{version}/{t}") for t in ("capsules", "capsule_segments", "segments", "content_store")))
+            version = current_version(spark, path)
+        found = cls(*(spark.read.schema(TABLES[t]).parquet(f"{path}/v{version}/{t}") for t in ("capsules", "capsule_segments", "segments", "content_store")))
+        return cls(found.capsules, found.capsule_segments, recount(found.segments, found.capsule_segments), found.content_store) if reconcile else found
+
+
+_COMMIT = "seq bigint, version int"
+
+
+def _commits(spark: SparkSession, path: str) -> list:
+    """(seq, version) of all commits in order: one small row each."""
+    try:
+        return sorted(tuple(r) for r in spark.read.schema(_COMMIT).json(f"{path}/commits").collect())
+    except AnalysisException:  # nothing was committed yet
+        return []
+
+
+def _commit(spark: SparkSession, path: str, version: int) -> None:
+    seq = max((s for s, _ in _commits(spark, path)), default=0) + 1
+    spark.createDataFrame([(seq, version)], _COMMIT).coalesce(1).write.mode("append").json(f"{path}/commits")
+
+
+def current_version(spark: SparkSession, path: str) -> int:
+    found = _commits(spark, path)
+    if not found:
+        raise CatalogError(f"nothing was committed to {path}")
+    return found[-1][1]
+
+
+def rollback(spark: SparkSession, path: str, version: int) -> None:
+    """Make an earlier, committed version current again; what was written since stays, but isn't read."""
+    if version not in {v for _, v in _commits(spark, path)}:
+        raise CatalogError(f"version {version} was never committed")
+    _commit(spark, path, version)
+
+
+def capsule(catalog: Catalog, capsule_id: str) -> dict:
+    """A capsule's row, with its segments' ids in order; an error if there is none."""
+    found = catalog.capsules.where(F.col("capsule_id") == capsule_id).first()
+    if found is None:
+        raise CatalogError(f"there is no capsule {capsule_id!r}")
+    links = catalog.capsule_segments.where(F.col("capsule_id") == capsule_id).orderBy("pos").select("segment_id").collect()
+    return found.asDict() | {"segments": [r["segment_id"] for r in links]}
+
+
+def segment_metadata(catalog: Catalog, wanted: DataFrame) -> DataFrame:
+    """The segments' rows without their bytes, for ``wanted(segment_id)``; those that aren't there have nulls and ``found`` false."""
+    known = catalog.segments.drop("payload").withColumn("found", F.lit(True))
+    return wanted.select("segment_id").distinct().join(known, "segment_id", "left").fillna({"found": False})
+
+
+def put_metadata(segments: DataFrame, rows: DataFrame) -> DataFrame:
+    """``segments`` with ``rows`` added; a row of the same ``segment_id`` is replaced. Columns that ``rows`` lacks are null, but for the bytes, which stay."""
+    kept = segments.select("segment_id", F.col("payload").alias("__payload"))
+    new = rows.join(kept, "segment_id", "left")
+    own = F.coalesce(F.col("payload"), F.col("__payload")) if "payload" in rows.columns else F.col("__payload")
+    return segments.join(rows.select("segment_id"), "segment_id", "left_anti").unionByName(new.withColumn("payload", own).drop("__payload"), allowMissingColumns=True)
 
 
 def write(catalog: Catalog, payloads: DataFrame, policy: Policy, ring: crypto.KeyRing | None = None, segment_size: int | None = None) -> Catalog:
@@ -60,19 +121,20 @@ def write(catalog: Catalog, payloads: DataFrame, policy: Policy, ring: crypto.Ke
         raise CatalogError(f"capsule {twice[0]!r} exists already")
     named = payloads.select(F.col("name").cast("string").alias("capsule_id"), "data")
     cut = chunks(named, "data", size).withColumns({"comp_algo": F.lit(policy.comp_algo), "comp_level": F.lit(policy.comp_level)})
-    prepared = codecs.adaptive(cut).withColumn("content_hash", F.concat(content_hash(F.col("stored")), F.lit("-enc" if policy.encrypted else "")))
+    # compressed and hashed once: the four branches below read the written table, and the lineage of batch after batch doesn't grow
+    prepared = materialize(codecs.adaptive(cut).drop("comp_algo", "comp_level").withColumn("content_hash", F.concat(content_hash(F.col("stored")), F.lit("-enc" if policy.encrypted else ""))), "catalog-prepared")
     last = catalog.segments.agg(F.coalesce(F.max("segment_id") + 1, F.lit(0)).alias("next"), F.coalesce(F.max(F.col("offset") + F.col("len")), F.lit(0)).alias("end")).first()
     order = ["capsule_id", "pos"]
     slim = prepared.select(*order, "content_hash", "original_size")
     if policy.dedupe:
         first = prepared.groupBy("content_hash").agg(F.min(F.struct(*order)).alias("at"), F.min_by(F.struct("stored", "algo", "original_size"), F.struct(*order)).alias("d")).select("content_hash", "at.*", "d.*")
         fresh = first.join(catalog.content_store, "content_hash", "left_anti")
-        numbered = dense_ids(fresh.select("content_hash", *order), order, last["next"])
+        numbered = materialize(dense_ids(fresh.select("content_hash", *order), order, last["next"]), "catalog-numbered")
         store = catalog.content_store.unionByName(numbered.select("content_hash", "segment_id"))
         links = slim.join(store, "content_hash").select("capsule_id", "pos", "segment_id")
         new = fresh.join(numbered.select("content_hash", "segment_id"), "content_hash")
     else:
-        numbered = dense_ids(slim.select(*order), order, last["next"])
+        numbered = materialize(dense_ids(slim.select(*order), order, last["next"]), "catalog-numbered")
         store = catalog.content_store
         links = numbered.select("capsule_id", "pos", "segment_id")
         new = prepared.join(numbered, order)
@@ -87,7 +149,7 @@ def write(catalog: Catalog, payloads: DataFrame, policy: Policy, ring: crypto.Ke
         sealed = new.withColumns({"key_version": none.cast("int"), "encryption_version": none.cast("int"), "tweak_nonce": none.cast("binary"), "payload": F.col("stored"), "integrity_tag": none.cast("binary")})
     rows = sealed.select("segment_id", F.octet_length("payload").cast("bigint").alias("len"), (F.col("algo") != "identity").alias("compressed"), F.col("algo").alias("compression_algo"), "content_hash", "key_version", "encryption_version", "tweak_nonce", "integrity_tag", F.lit(policy.encrypted).alias("encrypted"), "payload")
     placed = running_offset(rows.select("segment_id", "len").withColumn("segment_id", F.col("segment_id") - last["next"])).select((F.col("segment_id") + last["next"]).alias("segment_id"), (F.col("offset") + last["end"]).alias("offset"))
-    added = rows.join(placed, "segment_id")
+    added = materialize(rows.join(placed, "segment_id"), "catalog-added")
     segments = recount(catalog.segments.unionByName(added, allowMissingColumns=True), catalog.capsule_segments.unionByName(links))
     sizes = slim.groupBy("capsule_id").agg(F.sum("original_size").cast("bigint").alias("size"), F.count(F.lit(1)).cast("int").alias("segment_count"))
     firsts = numbered.select("capsule_id", "pos", F.lit(True).alias("own"))
@@ -114,9 +176,23 @@ def opened(segments: DataFrame, ring: crypto.KeyRing | None = None) -> DataFrame
     return clear.select("segment_id", "ok", codecs.restored("stored", "compression_algo").alias("data"))
 
 
+def read_chunks(catalog: Catalog, capsule_ids: DataFrame | None = None, ring: crypto.KeyRing | None = None) -> DataFrame:
+    """(capsule_id, pos, ok, data): the payloads' chunks, in place; for payloads too large for one row. Sort by (capsule_id, pos) to read in order."""
+    links = catalog.capsule_segments
+    if capsule_ids is not None:
+        links = links.join(capsule_ids.select("capsule_id").distinct(), "capsule_id", "left_semi")
+    return links.join(opened(catalog.segments.join(links.select("segment_id"), "segment_id", "left_semi"), ring), "segment_id").select("capsule_id", "pos", "ok", "data")
+
+
+@F.arrow_udf(T.BinaryType())
+def joined_bytes(parts: pa.Array) -> pa.Array:
+    """Each array of bytes as one value: a copy of the bytes, no detour through text. A missing part makes the whole missing."""
+    return pc.binary_join(parts, b"")
+
+
 def _assembled(parts: DataFrame) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "data"))), lambda x: F.hex(x["data"]))
-    return parts.groupBy("capsule_id").agg(F.bool_and("ok").alias("ok"), F.unhex(F.array_join(ordered, "")).alias("data"))
+    listed = parts.groupBy("capsule_id").agg(F.bool_and("ok").alias("ok"), F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("ps"))
+    return listed.select("capsule_id", "ok", joined_bytes(F.transform("ps", lambda x: x["data"])).alias("data"))
 
 
 def read(catalog: Catalog, capsule_ids: DataFrame | None = None, ring: crypto.KeyRing | None = None) -> DataFrame:
@@ -144,8 +220,8 @@ def read_range(catalog: Catalog, ranges: DataFrame, size: int = SEGMENT_SIZE, ri
     touched = checked.where("length > 0").withColumn("pos", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
     links = touched.join(catalog.capsule_segments, ["capsule_id", "pos"])
     parts = links.join(opened(catalog.segments.join(links.select("segment_id"), "segment_id", "left_semi"), ring), "segment_id")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "data"))), lambda x: F.hex(x["data"]))
-    whole = parts.groupBy("capsule_id", "offset", "length").agg(F.min("pos").alias("first"), F.unhex(F.array_join(ordered, "")).alias("all"))
+    whole = parts.groupBy("capsule_id", "offset", "length").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("ps"))
+    whole = whole.withColumn("all", joined_bytes(F.transform("ps", lambda x: x["data"]))).drop("ps")
     cut = whole.withColumn("data", F.substring(F.col("all"), (F.col("offset") - F.col("first") * size + 1).cast("int"), F.col("length").cast("int")))
     return ranges.join(cut.select("capsule_id", "offset", "length", "data"), ["capsule_id", "offset", "length"], "left").withColumn("data", F.coalesce("data", F.lit(b"")))
 
@@ -162,6 +238,25 @@ def orphans(catalog: Catalog) -> DataFrame:
     return catalog.segments.join(catalog.capsule_segments.select("segment_id"), "segment_id", "left_anti")
 
 
+def reclaim(catalog: Catalog) -> tuple[Catalog, int]:
+    """(the catalog after ``collect``, the number of segments that went)."""
+    return collect(catalog), orphans(catalog).count()
+
+
+def change_references(segments: DataFrame, changes: DataFrame) -> DataFrame:
+    """``segments`` after ``changes(segment_id, delta)``, a row for each reference gained (1) or lost (-1); each counts as an access.
+
+    A count that would fall below 0, or a segment that isn't there, is an error.
+    """
+    summed = changes.groupBy("segment_id").agg(F.sum("delta").alias("__d"), F.count(F.lit(1)).alias("__n"))
+    joined = summed.join(segments.select("segment_id", "ref_count"), "segment_id", "left")
+    if (wrong := joined.where("ref_count is null or ref_count + __d < 0").first()) is not None:
+        raise CatalogError(f"segment {wrong['segment_id']} has no such reference")
+    counted = segments.join(summed, "segment_id", "left").withColumn("ref_count", F.col("ref_count") + F.coalesce("__d", F.lit(0)))
+    accesses = F.coalesce(F.col("access_count"), F.lit(0)) if "access_count" in segments.columns else F.lit(0)
+    return counted.withColumns({"deduplicated": F.col("ref_count") > 1, "access_count": (accesses + F.coalesce("__n", F.lit(0))).cast("bigint")}).drop("__d", "__n")
+
+
 def collect(catalog: Catalog) -> Catalog:
     """Counts made anew; segments without a reference and their hashes removed."""
     live = recount(catalog.segments, catalog.capsule_segments).where("ref_count > 0")

@@ -54,13 +54,14 @@ def collisions(chunks: DataFrame, data: str = "chunk") -> DataFrame:
     return chunks.groupBy("content_hash").agg(F.countDistinct(F.xxhash64(data), F.octet_length(data)).alias("variants")).where("variants > 1")
 
 
-def dense_ids(firsts: DataFrame, order: list[str], start: int = 0, into: str = "segment_id", buckets: int = 4096) -> DataFrame:
+def dense_ids(firsts: DataFrame, order: list[str], start: int = 0, into: str = "segment_id", buckets: int | None = None) -> DataFrame:
     """``firsts`` with numbers without gaps in ``order``.
 
     A global window would bring every row to one task. Here rows are range-partitioned and sorted, each partition counted, and the running
-    sums of these few counts added: what is ordered on one task is one row a partition.
+    sums of these few counts added: what is ordered on one task is one row a partition. There are as many partitions as the session's shuffles have, unless told otherwise.
     """
-    ranged = firsts.repartitionByRange(buckets, *order).sortWithinPartitions(*order) if buckets else firsts.orderBy(*order)
+    buckets = buckets or int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = firsts.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
     local = ranged.withColumn("__p", F.spark_partition_id()).withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
     sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     before = sizes.select("__p", (F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1))).alias("__b"))

@@ -88,10 +88,10 @@ def _row(df: DataFrame, **values: Column) -> DataFrame:
     return df.select(*[(values[n] if n in values else F.lit(None)).cast(t).alias(n) for n, t in _COLUMNS])
 
 
-def _pairs(events: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every event with every node it may use; nodes are a small table, checked before it is broadcast."""
+def _pairs(rules: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Every policy with every node it may use: what an event may reach depends on its policy alone, so events don't take part. Nodes are checked before they are broadcast."""
     allowed = sovereign(F.col("sovereignty"), F.col("zone_type"), F.col("zone_name"), F.col("local_kind"), F.col("local_zone"))
-    return events.join(small_side(nodes, nodes.count(), 256), allowed)
+    return rules.select("policy", "rpo_ms", "latency_target_ms", "sovereignty").join(small_side(nodes, nodes.count(), 256), allowed)
 
 
 def _near(metro_below: Column, geo_below: Column | None = None) -> Column:
@@ -101,22 +101,28 @@ def _near(metro_below: Column, geo_below: Column | None = None) -> Column:
     return ok.otherwise(True)
 
 
-def replicate(events: DataFrame, nodes: DataFrame) -> DataFrame:
+def _by_policy(events: DataFrame, targets: DataFrame) -> DataFrame:
+    """``events`` with their policy's targets: one row a policy, so a small side."""
+    return events.join(small_side(targets, targets.count(), 512), "policy")
+
+
+def replicate(events: DataFrame, rules: DataFrame, nodes: DataFrame) -> DataFrame:
     """New capsules with a recovery point under a minute: the first two nodes in list order that qualify."""
-    wanted = events.where(f"type = 'NewCapsule' and rpo_ms < {ASYNC_RPO_MS}")
-    fit = _pairs(wanted, nodes).where(_near(F.col("latency_target_ms") < 2, F.col("latency_target_ms") < 100) & (F.col("available_bytes") >= REPLICATE_BYTES))
-    first = fit.groupBy("event_id", "capsule_id", "rpo_ms").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "node_id"))), 1, REPLICAS), lambda x: x["node_id"]), ",").alias("targets"))
+    fit = _pairs(rules.where(F.col("rpo_ms") < ASYNC_RPO_MS), nodes).where(_near(F.col("latency_target_ms") < 2, F.col("latency_target_ms") < 100) & (F.col("available_bytes") >= REPLICATE_BYTES))
+    ranked = fit.withColumn("__r", F.row_number().over(W.partitionBy("policy").orderBy("ord", "node_id"))).where(F.col("__r") <= REPLICAS)
+    first = ranked.groupBy("policy").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id"))), lambda x: x["node_id"]), ",").alias("targets"))
+    sent = _by_policy(events.where("type = 'NewCapsule'"), first)
     sync = F.col("rpo_ms") == 0
-    return _row(first, event_id=F.col("event_id"), action=F.lit("Replicate"), capsule_id=F.col("capsule_id"), strategy=F.when(sync, F.lit("MetroSync")).otherwise(F.lit("Async")), rpo_ms=F.when(~sync, F.col("rpo_ms")), targets=F.col("targets"))
+    return _row(sent, event_id=F.col("event_id"), action=F.lit("Replicate"), capsule_id=F.col("capsule_id"), strategy=F.when(sync, F.lit("MetroSync")).otherwise(F.lit("Async")), rpo_ms=F.when(~sync, F.col("rpo_ms")), targets=F.col("targets"))
 
 
-def migrate(events: DataFrame, nodes: DataFrame) -> DataFrame:
+def migrate(events: DataFrame, rules: DataFrame, nodes: DataFrame) -> DataFrame:
     """Hot capsules with a tight latency: to the least used node that qualifies, the first of equals."""
-    hot = events.where(f"type = 'HeatSpike' and accesses_per_min > {HEAT} and latency_target_ms < {HEAT_LATENCY_MS}")
-    fit = _pairs(hot, nodes).where(_near(F.col("latency_target_ms") < 2) & (F.col("available_bytes") >= MIGRATE_BYTES))
-    best = fit.groupBy("event_id", "capsule_id", "accesses_per_min", "sovereignty").agg(F.min_by(F.struct("node_id", "zone_type", "zone_name", "local_kind", "local_zone"), F.struct("util", "ord")).alias("n")).select("*", "n.*")
+    fit = _pairs(rules.where(F.col("latency_target_ms") < HEAT_LATENCY_MS), nodes).where(_near(F.col("latency_target_ms") < 2) & (F.col("available_bytes") >= MIGRATE_BYTES))
+    best = fit.groupBy("policy").agg(F.min_by(F.struct(F.col("node_id").alias("to"), "zone_type", "zone_name", "local_kind", "local_zone"), F.struct("util", "ord")).alias("n")).select("policy", "n.*")
+    hot = _by_policy(events.where(f"type = 'HeatSpike' and accesses_per_min > {HEAT}"), best)
     moved = needs_transform(zone_label(F.col("zone_type"), F.col("zone_name")), zone_label(F.col("local_kind"), F.col("local_zone"))) & (F.col("sovereignty") == "Zone")
-    return _row(best, event_id=F.col("event_id"), action=F.lit("Migrate"), capsule_id=F.col("capsule_id"), destination=F.col("node_id"), transform=moved, reason=F.concat(F.lit("heat_spike_"), F.col("accesses_per_min").cast("string"), F.lit("_accesses_per_min")))
+    return _row(hot, event_id=F.col("event_id"), action=F.lit("Migrate"), capsule_id=F.col("capsule_id"), destination=F.col("to"), transform=moved, reason=F.concat(F.lit("heat_spike_"), F.col("accesses_per_min").cast("string"), F.lit("_accesses_per_min")))
 
 
 def rebalance(events: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -124,7 +130,7 @@ def rebalance(events: DataFrame, nodes: DataFrame) -> DataFrame:
     percent = used_percent(F.col("used_bytes"), F.col("total_bytes"))
     full = events.where("type = 'CapacityThreshold'").where((percent >= threshold_percent(F.col("threshold_pct"))) & (percent >= USED_LIMIT))
     spare = underutilized(nodes).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id"))), lambda x: x["node_id"]), ",").alias("targets")).where("targets <> ''")
-    return _row(full.select("event_id", "node_id").join(F.broadcast(spare)), event_id=F.col("event_id"), action=F.lit("Rebalance"), destination=F.col("node_id"), targets=F.col("targets"))
+    return _row(full.select("event_id", "node_id").join(small_side(spare, nodes.count(), 64)), event_id=F.col("event_id"), action=F.lit("Rebalance"), destination=F.col("node_id"), targets=F.col("targets"))
 
 
 def evacuate(events: DataFrame) -> DataFrame:
@@ -138,19 +144,44 @@ def project(events: DataFrame, nodes: DataFrame, local_kind: str, local_zone: st
     zones = unique_zones(nodes, local_kind, local_zone).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "zone"))), lambda x: x["zone"]), ",").alias("targets"))
     here = zone_label(F.lit(local_kind), F.lit(local_zone))
     federate = _row(seen.where("sovereignty <> 'Local'"), event_id=F.col("event_id"), action=F.lit("Federate"), capsule_id=F.col("capsule_id"), zone=here)
-    shard = _row(seen.join(F.broadcast(zones)), event_id=F.col("event_id"), action=F.lit("ShardEC"), capsule_id=F.col("capsule_id"), targets=F.col("targets"), parity=F.lit(PARITY))
+    shard = _row(seen.join(small_side(zones, nodes.count(), 64)), event_id=F.col("event_id"), action=F.lit("ShardEC"), capsule_id=F.col("capsule_id"), targets=F.col("targets"), parity=F.lit(PARITY))
     return federate.unionByName(shard)
 
 
 def compile_actions(telemetry: DataFrame, policies: DataFrame, nodes: DataFrame, local_kind: str = "metro", local_zone: str = "local") -> DataFrame:
-    """All actions for ``telemetry``; an event of a new capsule or a view has its own policy, others that of ``metro_sync``, unless they name one."""
-    named = F.coalesce("policy", F.lit("metro_sync"))
-    rules = policies.select(F.col("policy").alias("__p"), "rpo_ms", "latency_target_ms", "sovereignty")
-    events = telemetry.withColumn("__n", named).join(small_side(rules, rules.count(), 128), F.col("__n") == F.col("__p")).drop("__n", "__p")
+    """The compiler: all actions for events under the policy that each names, or ``metro_sync`` where it names none."""
+    rules = policies.select(F.col("policy"), "rpo_ms", "latency_target_ms", "sovereignty")
+    events = telemetry.withColumn("policy", F.coalesce("policy", F.lit("metro_sync"))).join(small_side(rules, rules.count(), 128), "policy")
     known = nodes_with(nodes, local_kind, local_zone)
     slim = known.select("node_id", "ord", "zone_type", "zone_name", "available_bytes", "util", "local_kind", "local_zone")
     own = events.drop("node_id")
-    return replicate(own, slim).unionByName(migrate(own, slim)).unionByName(rebalance(events, nodes)).unionByName(evacuate(events)).unionByName(project(own, nodes, local_kind, local_zone))
+    return replicate(own, rules, slim).unionByName(migrate(own, rules, slim)).unionByName(rebalance(events, nodes)).unionByName(evacuate(events)).unionByName(project(own, nodes, local_kind, local_zone))
+
+
+def agent_policy(kind: Column, policy: Column) -> Column:
+    """The policy under which the agent compiles telemetry: a new capsule's own, and ``metro_sync`` for every other event, whatever it names."""
+    return F.when(kind == "NewCapsule", F.coalesce(policy, F.lit("metro_sync"))).otherwise(F.lit("metro_sync"))
+
+
+def agent_actions(telemetry: DataFrame, policies: DataFrame, nodes: DataFrame, local_kind: str = "metro", local_zone: str = "local") -> DataFrame:
+    """The agent: all actions for ``telemetry`` by its own rule of policies. A view that is projected under its capsule's policy is compiled by ``compile_actions``."""
+    return compile_actions(telemetry.withColumn("policy", agent_policy(F.col("type"), F.col("policy"))), policies, nodes, local_kind, local_zone)
+
+
+def peers_after(peers: DataFrame, registered: DataFrame) -> DataFrame:
+    """Known nodes after registrations, ``registered`` replacing rows of the same ``node_id``."""
+    return peers.join(registered.select("node_id"), "node_id", "left_anti").unionByName(registered, allowMissingColumns=True)
+
+
+def after_write(capsules: DataFrame, policies: DataFrame, peers: DataFrame, local_kind: str = "metro", local_zone: str = "local") -> DataFrame:
+    """(capsule_id, action, node_id, zone) due after ``capsules(capsule_id, policy)`` are written: a mirror on each of the first peers where the recovery
+    point is 0, and a federation with the local zone unless the data is local."""
+    rules = policies.select("policy", "rpo_ms", "sovereignty")
+    known = capsules.select("capsule_id", "policy").join(small_side(rules, rules.count(), 128), "policy")
+    mirrors = mirror_plan(known.where("rpo_ms = 0").select(F.col("capsule_id").alias("segment_id")), peers).select(F.col("segment_id").alias("capsule_id"), F.lit("Mirror").alias("action"), "node_id", F.lit(None).cast("string").alias("zone"))
+    here = zone_label(F.lit(local_kind), F.lit(local_zone))
+    federated = known.where("sovereignty <> 'Local'").select("capsule_id", F.lit("Federate").alias("action"), F.lit(None).cast("string").alias("node_id"), here.alias("zone"))
+    return mirrors.unionAll(federated)
 
 
 def metadata_shards(capsules: DataFrame, zones: DataFrame) -> DataFrame:
@@ -158,7 +189,7 @@ def metadata_shards(capsules: DataFrame, zones: DataFrame) -> DataFrame:
     from quarry.functions.payload import shard_keys
 
     listed = zones.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "zone"))), lambda x: x["zone"]).alias("zones"))
-    both = capsules.select("capsule_id").join(F.broadcast(listed))
+    both = capsules.select("capsule_id").join(small_side(listed, zones.count(), 64))
     return both.select("capsule_id", F.explode(F.arrays_zip("zones", shard_keys(F.col("capsule_id"), F.size("zones")).alias("keys"))).alias("z")).select("capsule_id", F.col("z.zones").alias("zone"), F.col("z.keys").alias("shard_key"))
 
 

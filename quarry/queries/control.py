@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quarry.functions import paths
 from quarry.operators import audit, scaling, views
 from quarry.policies import Policy, presets
 from quarry.queries.base import FLEET_SQL, LOCAL_KIND, LOCAL_ZONE, TELEMETRY_SQL, fleet, table, telemetry
+from quarry.shared import new_path
 from quarry.sources.readers import TABLES, telemetry_stream
 from quarry.streaming import actions
 
@@ -148,7 +151,7 @@ def volume_overwrite(spark, sf_dir):
 _NEAR_ZERO = Policy("near_zero", rpo_ms=30_000, latency_target_ms=5, sovereignty="Global")
 _RULES = ", ".join(f"('{p}', {r}, {n}, '{s}')" for p, r, n, s in (("default", 60_000, 10, "Local"), ("metro_sync", 0, 2, "Zone"), ("geo_replicated", 300_000, 100, "Global"), ("encrypted", 60_000, 10, "Local"), ("edge_optimized", 300_000, 50, "Local"), ("near_zero", 30_000, 5, "Global")))
 _LOCAL_SQL = f"zone_type = '{LOCAL_KIND}' and zone_name = '{LOCAL_ZONE}'"
-_COMPILER_SQL = f"""with {FLEET_SQL}, {TELEMETRY_SQL}, rules(policy, rpo_ms, latency, sovereignty) as (values {_RULES}), ev as (select * from telemetry join rules using (policy)),
+_COMPILER_SQL = f"""with {FLEET_SQL}, {TELEMETRY_SQL}, rules(policy, rpo_ms, latency, sovereignty) as (values {_RULES}), ev as (select telemetry.* exclude (policy), rules.* from telemetry join rules on rules.policy = case when type = 'NewCapsule' then telemetry.policy else 'metro_sync' end),
 fit as (select e.*, n.node_id as target, n.ord, n.zone_type, n.zone_name, n.available_bytes, case when available_bytes + n.used_bytes = 0 then 0 else n.used_bytes * 100 // (available_bytes + n.used_bytes) end as util from ev e join nodes n on e.sovereignty = 'Global' or e.sovereignty = 'Zone' and {_LOCAL_SQL}),
 rep as (select event_id, capsule_id, rpo_ms, string_agg(target, ',' order by ord) as targets from (select *, row_number() over (partition by event_id order by ord) as r from fit where type = 'NewCapsule' and rpo_ms < 60000 and available_bytes >= 1000000 and case when latency < 2 then zone_type = 'metro' when latency < 100 then {_LOCAL_SQL} else true end) where r <= 2 group by all),
 mig as (select * from (select *, row_number() over (partition by event_id order by util, ord) as r from fit where type = 'HeatSpike' and accesses_per_min > 100 and latency < 10 and available_bytes >= 10000000 and (latency >= 2 or zone_type = 'metro')) where r = 1),
@@ -166,7 +169,7 @@ a_view as (select event_id, 'Federate' as action, capsule_id, x as strategy, nul
 
 
 def _compiled(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    done = scaling.compile_actions(telemetry(spark, sf_dir), presets(spark, _NEAR_ZERO), fleet(spark, sf_dir), LOCAL_KIND, LOCAL_ZONE)
+    done = scaling.agent_actions(telemetry(spark, sf_dir), presets(spark, _NEAR_ZERO), fleet(spark, sf_dir), LOCAL_KIND, LOCAL_ZONE)
     return done.where(F.col("action").isin(*names)) if names else done
 
 
@@ -215,6 +218,15 @@ def compile_all_actions(spark, sf_dir):
     return _compiled(spark, sf_dir)
 
 
+#: The compiler alone: every event under the policy that it names.
+_NAMED_SQL = re.sub(r"ev as \(.*?\),\nfit", "ev as (select * from telemetry join rules using (policy)),\nfit", _COMPILER_SQL)
+
+
+@query(_NAMED_SQL + "select * from a_rep union all select * from a_mig union all select * from a_reb union all select * from a_eva union all select * from a_view")
+def compile_under_named_policy(spark, sf_dir):
+    return scaling.compile_actions(telemetry(spark, sf_dir), presets(spark, _NEAR_ZERO), fleet(spark, sf_dir), LOCAL_KIND, LOCAL_ZONE)
+
+
 @query(f"with {FLEET_SQL} select node_id, (zone_type || ':' || zone_name) <> '{LOCAL_KIND}:{LOCAL_ZONE}' as needs_transform from nodes")
 def transform_required(spark, sf_dir):
     here = scaling.zone_label(F.lit(LOCAL_KIND), F.lit(LOCAL_ZONE))
@@ -298,15 +310,19 @@ def audit_event_counts(spark, sf_dir):
     return _records(spark, sf_dir).groupBy("event").agg(F.count(F.lit(1)).alias("records"))
 
 
+@query(f"""with recursive {_RECORDS_SQL}, z as (select log_id, seq, octet_length(encode('{{"log_id":' || log_id::varchar || ',"seq":' || seq::varchar || ',"event":"' || event || '","payload":' || to_json(payload)::varchar || ',"timestamp":' || ts::varchar || '}}')) + 1 as n from r),
+c as (select log_id, seq, 0 as file, n as held from z where seq = 1 union all select z.log_id, z.seq, case when c.held >= 600 then c.file + 1 else c.file end, case when c.held >= 600 then z.n else c.held + z.n end from c join z on z.log_id = c.log_id and z.seq = c.seq + 1)
+select log_id, seq::bigint as seq, file::int as file from c""")
+def audit_rotation(spark, sf_dir):
+    """The file of each record, where a file is left after the write with which it reaches 600 bytes."""
+    return audit.rotation(_records(spark, sf_dir), 600).select("log_id", "seq", "file")
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------------------------
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
-    return f"{root.rstrip('/')}/quarry-stream-{name}-{uuid.uuid4().hex}"
+    return new_path(spark, f"stream-{name}")
 
 
 @query(_COMPILER_SQL + "select * from a_rep union all select * from a_mig union all select * from a_reb union all select * from a_eva union all select * from a_view")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import codecs, crypto, payload
@@ -93,8 +94,8 @@ def read_capsule_roundtrip(spark, sf_dir):
     c = document_chunks(spark, sf_dir)
     store = c.groupBy("content_hash").agg(F.first("chunk").alias("data"))
     parts = c.select("doc_id", "pos", "content_hash").join(store, "content_hash")
-    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "data"))), lambda x: F.hex(x["data"])), ""))
-    return parts.groupBy("doc_id").agg(whole.alias("data")).select("doc_id", F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("content_hash"))
+    listed = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("ps"))
+    return listed.select("doc_id", catalog.joined_bytes(F.transform("ps", lambda x: x["data"])).alias("data")).select("doc_id", F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("content_hash"))
 
 
 @query("select conv_id, count(*)::bigint as parts, sha256(string_agg(text, chr(10) order by turn)) as content_hash from conversations group by conv_id")
@@ -117,8 +118,8 @@ def read_range(spark, sf_dir):
     """A range of each document from the chunks it touches."""
     r = _ranges(spark, sf_dir).where("n > 0").withColumn("pos", F.explode(F.sequence(F.floor(F.col("o") / CHUNK).cast("int"), F.floor((F.col("o") + F.col("n") - 1) / CHUNK).cast("int"))))
     parts = r.join(document_chunks(spark, sf_dir).select("doc_id", "pos", "chunk"), ["doc_id", "pos"])
-    whole = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "chunk"))), lambda x: F.hex(x["chunk"])), ""))
-    got = parts.groupBy("doc_id", "o", "n").agg(F.min("pos").alias("first"), whole.alias("data"))
+    got = parts.groupBy("doc_id", "o", "n").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("ps"))
+    got = got.withColumn("data", catalog.joined_bytes(F.transform("ps", lambda x: x["chunk"])))
     cut = F.substring("data", (F.col("o") - F.col("first") * CHUNK + 1).cast("int"), F.col("n").cast("int"))
     return got.select("doc_id", F.col("o").alias("offset"), F.col("n").alias("length"), F.sha2(cut, 256).alias("content_hash"))
 
@@ -132,22 +133,23 @@ def range_chunk_prune(spark, sf_dir):
 
 # --- entropy -----------------------------------------------------------------------------------------------------------
 
-_BYTES_SQL = "select doc_id, unnest(list_transform(range(0, octet_length(b)::bigint), lambda i: substring(hex(b), (2 * i + 1)::bigint, 2))) as h from (select doc_id, encode(text)[1:1024] as b from documents)"
+_BYTES_SQL = "select doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents"
 
 
-def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.encode("text", "UTF-8"), 1, 1024).alias("data"))
+def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
 
 
 @query(f"with c as (select doc_id, h, count(*) as n from ({_BYTES_SQL}) group by all) select doc_id, sum(n)::bigint as n_bytes, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) as entropy from c group by doc_id")
 def entropy_per_document(spark, sf_dir):
-    """Entropy of the first 1 KiB of each document."""
-    return payload.entropy(_heads(spark, sf_dir), ["doc_id"], "data")
+    """Entropy of all bytes of each document; no shuffle."""
+    return _bytes(spark, sf_dir).select("doc_id", F.octet_length("data").cast("bigint").alias("n_bytes"), payload.entropy_of(F.col("data")).alias("entropy"))
 
 
 @query(f"select ('0x' || h)::int as byte, count(*)::bigint as n from ({_BYTES_SQL}) group by all")
 def byte_histogram(spark, sf_dir):
-    return payload.histogram(_heads(spark, sf_dir).select("data"), [], "data").groupBy("byte").agg(F.sum("n").alias("n"))
+    """All bytes of all documents."""
+    return payload.histogram(_bytes(spark, sf_dir), [], "data")
 
 
 @query("""with d as (select doc_id, encode(text) as b from documents union all select -1 - i as doc_id, unhex(string_agg(sha256((i * 100 + j)::varchar), '' order by j)) as b from range(0, 5) r(i), range(0, 32) s(j) group by i),
@@ -223,9 +225,11 @@ def compress_verify(spark, sf_dir):
     return out[0].unionAll(out[1])
 
 
-@query("select count(*)::bigint as payloads, sum(octet_length(encode(text)))::bigint as original_bytes from documents")
+@query()
 def compression_totals(spark, sf_dir):
-    return _compressed(spark, sf_dir, "zstd", 3).agg(F.count(F.lit(1)).alias("payloads"), F.sum("original_size").alias("original_bytes"))
+    """Bytes before and after, and the true ratio of the two sums."""
+    totals = _compressed(spark, sf_dir, "zstd", 3).agg(F.count(F.lit(1)).alias("payloads"), F.sum("original_size").alias("original_bytes"), F.sum("compressed_size").alias("compressed_bytes"))
+    return totals.withColumn("ratio", F.round(payload.ratio(F.col("original_bytes"), F.col("compressed_bytes")), 6))
 
 
 # --- layout --------------------------------------------------------------------------------------------------------------
@@ -244,6 +248,19 @@ def layout_packed_zones(spark, sf_dir):
     return layout.packed_zones(document_chunks(spark, sf_dir).select("doc_id", "pos", "len"), ZONE, "doc_id").select("doc_id", "pos", "zone", "zone_offset")
 
 
+@query(f"""with recursive s as (select conv_id, row_number() over (partition by conv_id order by turn, role, text) - 1 as pos, octet_length(encode(text))::bigint as n, text from conversations),
+z as (select conv_id, pos, 0 as zone, 0::bigint as zone_offset, n as used from s where pos = 0
+  union all select s.conv_id, s.pos, case when z.used >= 600 then z.zone + 1 else z.zone end, case when z.used >= 600 then 0 else z.used end, case when z.used >= 600 then s.n else z.used + s.n end from z join s on s.conv_id = z.conv_id and s.pos = z.pos + 1),
+roots as (select conv_id, sha256(string_agg(text, '' order by pos)) as root from s group by conv_id)
+select strategy, conv_id, pos::int as pos, zone::int as zone, zone_offset::bigint as zone_offset, case when strategy = 'quantum' then root end as merkle_root from z join roots using (conv_id), (values ('fixed'), ('entropy'), ('quantum')) t(strategy)""")
+def layout_plan(spark, sf_dir):
+    """Every strategy's plan for slices of any size: the turns of each conversation, in zones of 600 bytes."""
+    pos = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    slices = table(spark, sf_dir, "conversations").select("conv_id", pos.alias("pos"), F.octet_length("text").cast("bigint").alias("len"), F.encode("text", "UTF-8").alias("data"))
+    plans = [layout.plan(slices, s, 600, "conv_id").select(F.lit(s).alias("strategy"), "conv_id", "pos", "zone", "zone_offset", "merkle_root") for s in layout.STRATEGIES]
+    return plans[0].unionAll(plans[1]).unionAll(plans[2])
+
+
 @query("select doc_id, sha256(encode(text)) as root from documents")
 def layout_merkle_root(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", layout.merkle_root(F.encode("text", "UTF-8")).alias("root"))

@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.scaling import compile_actions
+from quarry.operators.scaling import agent_actions
 
 
 def action_sink(path: str, policies: DataFrame, nodes: DataFrame, local_kind: str = "metro", local_zone: str = "local") -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: each batch overwrites its own folder, so a batch that is run again leaves the same result."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        compile_actions(batch, policies, nodes, local_kind, local_zone).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        agent_actions(batch, policies, nodes, local_kind, local_zone).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return write
 
