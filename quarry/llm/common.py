@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.shared import discard, materialize
+
 #: A side of a join is broadcast only if its estimated size stays under this.
 BROADCAST_LIMIT_BYTES = 64 << 20
 
@@ -17,29 +16,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is absent, as in tests on one machine, a local folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        found = sc.getCheckpointDir()
-        if not found:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-            found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, and the files outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """``df`` with a broadcast hint if ``rows`` of it are surely small, else as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
@@ -93,7 +69,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = mark(e)
     while True:
-        e = materialize(star(star(e, True), False), name)
+        before, e = e, materialize(star(star(e, True), False), name)
+        discard(before)
         now = mark(e)
         if now == seen:
             break
