@@ -9,16 +9,16 @@ budget is passed.
 A leaf's prefix isn't found by sorting the leaf. Documents fall into ``BINS`` ranges of the seeded hash; tokens are summed per (leaf,
 range), and only the range in which the budget ends is ordered. What reaches the driver is one row a leaf.
 
-Defined cases. Tokens are maximal runs of characters other than space, tab, newline and carriage return; a null or empty text has none and is
+Defined cases. Tokens are maximal runs of characters other than blank, tab, newline and carriage return; a null or empty text has none and is
 never selected. A null domain, language or source counts as ``unknown``, which has the default weight. A weight of 0 or
 less gives nothing. Rows with equal hash are ordered by ``doc_id``, and rows of the same ``doc_id`` enter together or
 not at all; a null ``doc_id`` is its own least value. A document of more tokens than the budget left ends the prefix. An empty table gives an empty
-result. Extra columns are ignored by ``select`` and kept by ``mix``, whatever their names.
+result. Texts of any length are counted whole. Extra columns are ignored by ``select`` and kept by ``mix``, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from fractions import Fraction
 
@@ -55,51 +55,53 @@ def tokens_of(text: Column) -> Column:
 def split(budget: int, weights: list[float], capacity: list[int]) -> list[int]:
     """Whole numbers, none above its capacity, that share ``budget`` by weight; what one can't take goes to the others.
 
-    Remainders of rounding go to the largest fractions, ties to the first.
+    Children are filled in the order in which they become full as the level rises, so the work is that of sorting them. Remainders of rounding go to
+    the largest fractions, ties to the first.
     """
     given = [0] * len(weights)
-    open_ = [i for i, w in enumerate(weights) if w > 0 and capacity[i] > 0]
-    left = min(budget, sum(capacity[i] for i in open_))
     exact = [Fraction(w).limit_denominator(10**9) if w > 0 else Fraction(0) for w in weights]
-    while open_ and left > 0:
-        total = sum(exact[i] for i in open_)
-        full = [i for i in open_ if left * exact[i] >= capacity[i] * total]
-        if full:
-            for i in full:
-                given[i] = capacity[i]
-            left -= sum(capacity[i] for i in full)
-            open_ = [i for i in open_ if i not in full]
+    open_ = sorted((i for i, w in enumerate(exact) if w > 0 and capacity[i] > 0), key=lambda i: (capacity[i] / exact[i], i))
+    left, total = min(budget, sum(capacity[i] for i in open_)), sum(exact[i] for i in open_)
+    for at, i in enumerate(open_):
+        if left <= 0:
+            break
+        if left * exact[i] >= capacity[i] * total:
+            given[i] = capacity[i]
+            left -= capacity[i]
+            total -= exact[i]
             continue
-        share = {i: left * exact[i] / total for i in open_}
-        for i in open_:
-            given[i] = int(share[i])
-        rest = left - sum(given[i] for i in open_)
-        for i in sorted(open_, key=lambda i: (given[i] - share[i], i))[:rest]:
-            given[i] += 1
+        rest = sorted(open_[at:])
+        share = {k: left * exact[k] / total for k in rest}
+        for k in rest:
+            given[k] = int(share[k])
+        more = left - sum(given[k] for k in rest)
+        for k in sorted(rest, key=lambda k: (given[k] - share[k], k))[:more]:
+            given[k] += 1
         break
     return given
 
 
 def budgets(leaves: list[tuple[tuple[str, str, str], int]], t: Targets) -> dict[tuple[str, str, str], int]:
-    """The tokens each leaf gives, from the tokens each leaf has."""
-    have = dict(leaves)
-    total = int(Fraction(t.share).limit_denominator(10**9) * sum(have.values()))
-
-    def down(prefix: tuple[str, ...], budget: int) -> dict[tuple[str, str, str], int]:
+    """The tokens each leaf gives, from the tokens each leaf has. Each node's capacity is summed up once, so the work grows with the leaves, not their square."""
+    levels = (t.domains, t.languages, t.sources)
+    total = int(Fraction(t.share).limit_denominator(10**9) * sum(n for _, n in leaves))
+    capacity: dict[tuple[str, ...], int] = {}
+    below: dict[tuple[str, ...], set[str]] = {}
+    for k, n in leaves:
+        usable = n if all(level.get(name, t.default) > 0 for level, name in zip(levels, k)) else 0
+        for d in range(3):
+            below.setdefault(k[:d], set()).add(k[d])
+            capacity[k[: d + 1]] = capacity.get(k[: d + 1], 0) + t.max_epochs * usable
+
+    def down(prefix: tuple[str, ...], budget: int) -> Iterator[tuple[tuple[str, str, str], int]]:
         if len(prefix) == 3:
-            return {prefix: budget}
-        level = (t.domains, t.languages, t.sources)[len(prefix)]
-        names = sorted({k[len(prefix)] for k in have if k[: len(prefix)] == prefix})
-        caps = [t.max_epochs * sum(n for k, n in have.items() if k[: len(prefix) + 1] == (*prefix, name) and usable(k)) for name in names]
-        out = {}
-        for name, b in zip(names, split(budget, [level.get(name, t.default) for name in names], caps)):
-            out |= down((*prefix, name), b)
-        return out
-
-    def usable(k: tuple[str, str, str]) -> bool:
-        return all(level.get(name, t.default) > 0 for level, name in zip((t.domains, t.languages, t.sources), k))
-
-    return down((), total) if have else {}
+            yield prefix, budget
+            return
+        names = sorted(below[prefix])
+        for name, b in zip(names, split(budget, [levels[len(prefix)].get(name, t.default) for name in names], [capacity[(*prefix, name)] for name in names])):
+            yield from down((*prefix, name), b)
+
+    return dict(down((), total)) if leaves else {}
 
 
 def _leaf(t: Targets) -> tuple[Column, Column, Column]:
