@@ -1,23 +1,25 @@
 """Sharding by fixed virtual slots: a record's slot never changes, only the table from slots to shards is edited.
 
 Records are hashed into ``SLOTS`` slots. Bytes are summed by slot in one aggregation; the map from slots to shards is a versioned table of
-``SLOTS`` rows. The first version gives shards equal runs of slots. Rebalancing makes the next version by moving as few slots as it needs:
+``SLOTS`` rows, a folder a version, written once and read back. The first version gives shards equal runs of slots. Rebalancing edits the last version there is into the next by moving as few slots as it needs:
 from the fullest shard to the emptiest, the largest slot that fits, until every shard is within ``TOLERANCE`` of the mean or no move
-helps. A shard that is added starts empty; one that is taken away hands over all its slots.
+helps. A shard that is added starts empty; one that is taken away hands over all its slots. Ties go to the lower shard and the lower slot, so the same bytes give the same map.
 
 Defined cases. A null key goes to the slot of the empty string; a null or empty text has 0 bytes. Rows with the same key share a slot, so repeated rows
-stay together. An empty table leaves the first map as it is. A slot larger than a shard's share stays whole: a record can't be
-split. Extra columns are ignored.
+stay together. An empty table leaves the map as it is, under a new version. A slot larger than a shard's share stays whole: a record can't be
+split. Texts of any length count with all their bytes. A version that isn't there, or has been written before, is an error. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hex_bucket, materialize
+from quarry.llm.common import hex_bucket, small_side
+from quarry.shared import new_path
 
 SLOTS = 4096
 SHARDS = 16
@@ -71,21 +73,57 @@ def rebalance(owner: list[int], weight: list[int], shards: int, tolerance: float
         new[slot] = empty
 
 
-def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
-    """(version, slot, shard), written to the shared folder; readers take the version they were told."""
-    rows = [(v, slot, shard) for v, owner in enumerate(versions, 1) for slot, shard in enumerate(owner)]
-    return materialize(spark.createDataFrame(rows, "version int, slot int, shard int"), "slot-map")
+_MAP = "slot int, shard int"
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, slot, first_shard, shard, map_version) of every row, after the map was rebalanced to the bytes there are."""
+def save_map(spark: SparkSession, path: str, version: int, owner: list[int]) -> None:
+    """Write a version of the map, which must be new."""
+    spark.createDataFrame(list(enumerate(owner)), _MAP).coalesce(1).write.mode("error").parquet(f"{path}/version={version}")
+
+
+def last_version(spark: SparkSession, path: str) -> int:
+    """The last version in ``path``; 0 if there is none."""
+    try:
+        found = spark.read.schema(f"{_MAP}, version int").parquet(path).agg(F.max("version")).first()[0]
+    except AnalysisException:  # no such folder yet
+        return 0
+    return found or 0
+
+
+def map_table(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """(slot, shard) of a version: ``SLOTS`` rows, whatever the table's size."""
+    return spark.read.schema(_MAP).parquet(f"{path}/version={version}")
+
+
+def load_map(spark: SparkSession, path: str, version: int) -> list[int]:
+    """The shard of each slot."""
+    return [r["shard"] for r in sorted(map_table(spark, path, version).collect())]
+
+
+def rebalance_to(docs: DataFrame, path: str, shards: int = SHARDS, slots: int = SLOTS, tolerance: float = TOLERANCE) -> int:
+    """Edit the last version of the map in ``path`` (the first, if there is none) for the bytes of ``docs``; the number of the version that was made."""
+    spark = docs.sparkSession
     weight = [0] * slots
     for r in slot_bytes(docs, slots).collect():  # one row a slot, whatever the table's size
         weight[r["slot"]] = r["bytes"]
-    before = first_map(shards, slots)
-    maps = map_table(docs.sparkSession, [before, rebalance(before, weight, shards, tolerance)])
-    first = maps.where("version = 1").select("slot", F.col("shard").alias("first_shard"))
-    last = maps.where("version = 2").select("slot", "shard", F.col("version").alias("map_version"))
+    version = last_version(spark, path)
+    if not version:
+        version = 1
+        save_map(spark, path, version, first_map(shards, slots))
+    save_map(spark, path, version + 1, rebalance(load_map(spark, path, version), weight, shards, tolerance))
+    return version + 1
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, tolerance: float = TOLERANCE, path: str | None = None) -> DataFrame:
+    """(doc_id, slot, first_shard, shard, map_version) of every row, after the map in ``path`` (a new one without it) was rebalanced to the bytes there are.
+
+    ``first_shard`` is the shard in the version that was edited.
+    """
+    spark = docs.sparkSession
+    path = path or new_path(spark, "slot-map")
+    version = rebalance_to(docs, path, shards, slots, tolerance)
+    first = map_table(spark, path, version - 1).select("slot", F.col("shard").alias("first_shard"))
+    last = map_table(spark, path, version).select("slot", "shard", F.lit(version).alias("map_version"))
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), slot_of(F.col("doc_id"), slots).alias("slot"))
-    # one row a slot: a fixed, small side
-    return placed.join(F.broadcast(first.join(F.broadcast(last), "slot")), "slot").select("doc_id", "slot", "first_shard", "shard", "map_version")
+    both = small_side(first.join(small_side(last, slots), "slot"), slots)
+    return placed.join(both, "slot").select("doc_id", "slot", "first_shard", "shard", "map_version")
