@@ -1,16 +1,19 @@
 """Exact top-k search: exhaustive term-at-a-time accumulation of BM25 impacts.
 
 Every row of the query table is a query over every document. Each task inverts its documents into postings of the query terms only, scatters
-each term's weighted postings into a dense score array [queries, documents], and keeps its best k of each query, ties included; Spark
+each term's weighted postings into a dense score array [queries, documents], and keeps its best k of each query, ties included: what a query has kept so far
+is the bar for the documents that follow, so a task sends about k rows a query, however many documents it reads. Spark
 merges these. Impacts are whole numbers (BM25 times ``SCALE``, rounded), so scores don't depend on the order of summing, and equal scores
-are ranked by ``doc_id``. Document frequencies, lengths and counts come from a first pass over all documents.
+are ranked by ``doc_id``. Document frequencies, lengths and counts come from a first pass over all documents, one for all queries.
 
-Queries are broadcast in groups of ``QUERY_GROUP`` rows; a larger query table takes more passes, so nothing that is broadcast grows with it.
+Queries are cut into terms in Spark; the driver holds a number for each of their terms, no text. They are broadcast in groups of ``QUERY_GROUP`` rows; a larger
+query table takes more passes, so nothing that is broadcast grows without bound.
 
 Defined cases. Terms are lower-cased runs of ASCII letters and digits and of non-ASCII characters, known by a 64-bit hash. A
 null or empty query has no result, nor has a document that shares no term with a query. A null or empty document counts
-in the statistics with length 0. A query's repeated term counts as often as it stands there. Repeated rows are ranked each for itself; a null
-``doc_id`` comes last among ties. Fewer than k matches give fewer rows. Extra columns are ignored.
+in the statistics with length 0. Texts are searched whole, at any length. A query's repeated term counts as often as it stands there. Repeated rows are ranked each for
+itself; a null ``doc_id`` comes last among ties. Fewer than k matches give fewer rows. An empty table on either side gives an empty result. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -50,6 +53,7 @@ def _statistics(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int, in
     """(documents with each term, documents, words) over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = sent.value
         df, n, words = np.zeros(len(terms), dtype=np.int64), 0, 0
         for batch in batches:
             for a, b, offsets, raw in textkit.blocks(batch.column(0), lower=True):
@@ -60,6 +64,7 @@ def _statistics(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int, in
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((some, [-1, -2]))), pa.array(np.concatenate((df[some], [n, words])))], ["term", "n"])
 
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
     df, n, words = np.zeros(len(terms), dtype=np.int64), 0, 0
     for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         if r["term"] >= 0:
@@ -71,34 +76,62 @@ def _statistics(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int, in
     return df, n, words
 
 
-def _search_group(docs: DataFrame, queries: list[tuple], k: int) -> DataFrame:
-    texts = [q[1] or "" for q in queries]
-    hashes, owners = [], []
-    for a, _, offsets, raw in textkit.blocks(pa.array(texts, pa.string()), lower=True):
-        h, row, _, _ = textkit.word_hashes(offsets, raw)
-        hashes.append(h)
-        owners.append(row + a)
-    terms = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-    df, n_docs, words = _statistics(docs, terms)
+def _query_terms(queries: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item_id, term, how often) of all queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, offsets, raw in textkit.blocks(batch.column(1), lower=True):
+                h, row, _, _ = textkit.word_hashes(offsets, raw)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(row, pa.int64())), pa.array(h.view(np.int64))], ["item_id", "term"])
+
+    own = queries.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    table = own.mapInArrow(run, "item_id long, term long").groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    item, term, n = (table.column(i).to_numpy().astype(np.int64) for i in range(3))
+    order = np.lexsort((term, item))
+    return item[order], term[order].view(np.uint64), n[order]
+
+
+def _search_group(docs: DataFrame, ids: np.ndarray, query: np.ndarray, term: np.ndarray, often: np.ndarray, df: np.ndarray, n_docs: int, words: int, k: int) -> DataFrame:
+    """The best k of each query; (query, term, often) are numbers into ``ids`` and term hashes, ``df`` goes with the distinct terms."""
+    terms = np.unique(term)
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
     average = words / max(n_docs, 1)
     # sparse query rows: for each term the queries that have it, and how often
-    pairs, often = np.unique(np.searchsorted(terms, np.concatenate(hashes)) * len(queries) + np.concatenate(owners), return_counts=True) if hashes else (np.zeros(0, np.int64),) * 2
-    term_of, query_of = pairs // len(queries), pairs % len(queries)
-    query_at = np.searchsorted(term_of, np.arange(len(terms) + 1))
-    rows_at_once = max(64, SCORES // max(len(queries), 1))
-    ids = np.array([q[0] for q in queries], dtype=np.int64)
-
-    def best(scores: np.ndarray, offset: int, kept: list) -> None:
-        """Adds every (query, row, score) that may be among the query's best k."""
-        m = scores.shape[1]
-        cut = np.partition(scores, m - k, axis=1)[:, m - k] if m > k else np.zeros(len(scores), dtype=np.int64)
-        q, d = np.nonzero(scores >= np.maximum(cut, 1)[:, None])
-        kept.append((q, d + offset, scores[q, d]))
+    number = np.searchsorted(terms, term)
+    order = np.lexsort((query, number))
+    number, query, often = number[order], query[order], often[order]
+    query_at = np.searchsorted(number, np.arange(len(terms) + 1))
+    rows_at_once = max(64, SCORES // max(len(ids), 1))
+    sent = docs.sparkSession.sparkContext.broadcast((ids, terms, idf, query, often, query_at))
+
+    def ranked(q: np.ndarray, s: np.ndarray, d: np.ndarray, null: np.ndarray) -> np.ndarray:
+        """The places of each query's best k: by score, then by doc_id, nulls last."""
+        order = np.lexsort((d, null, -s, q))
+        start = np.flatnonzero(np.concatenate(([True], q[order][1:] != q[order][:-1]))) if len(q) else np.zeros(0, np.int64)
+        place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+        return order[place < k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, terms, idf, query_of, often, query_at = sent.value
+        bar = np.ones(len(ids), dtype=np.int64)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]  # query, score, doc_id, whether it is null
+        new: list[list[np.ndarray]] = []
+
+        def settle() -> None:
+            """Only the best k so far stay, and the k-th is the bar."""
+            nonlocal held, new
+            q, s, d, null = (np.concatenate([held[i], *(x[i] for x in new)]) for i in range(4))
+            keep = ranked(q, s, d, null)
+            held, new = [q[keep], s[keep], d[keep], null[keep]], []
+            n = np.bincount(held[0], minlength=len(ids))
+            full = np.flatnonzero(n >= k)
+            last = np.cumsum(n)[full] - 1
+            bar[full] = np.maximum(bar[full], held[1][last])
+
         for batch in batches:
-            kept: list = []
+            doc = batch.column(0)
+            doc_ids, nulls = doc.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(doc.is_null())
             for a, b, offsets, raw in textkit.blocks(batch.column(1), lower=True):
                 term, row, count, length = _postings(offsets, raw, terms)
                 impact = np.floor(idf[term] * (count * (K1 + 1) / (count + K1 * (1 - B + B * length[row] / average))) * SCALE + 0.5).astype(np.int64) if len(term) else term
@@ -106,19 +139,19 @@ def _search_group(docs: DataFrame, queries: list[tuple], k: int) -> DataFrame:
                     end = min(first + rows_at_once, b - a)
                     own = (row >= first) & (row < end)
                     t, r, w = term[own], row[own] - first, impact[own]
-                    scores = np.zeros((len(queries), end - first), dtype=np.int64)
+                    scores = np.zeros((len(ids), end - first), dtype=np.int64)
                     begin = np.searchsorted(t, np.arange(len(terms) + 1))
                     for x in np.unique(t):
                         q, p = slice(query_at[x], query_at[x + 1]), slice(begin[x], begin[x + 1])
                         scores[query_of[q][:, None], r[p]] += often[q][:, None] * w[p]
-                    best(scores, a + first, kept)
-            q, d, s = (np.concatenate([x[i] for x in kept] or [np.zeros(0, np.int64)]) for i in range(3))
-            doc = batch.column(0).take(pa.array(d, pa.int64()))
-            order = np.lexsort((np.where(np.asarray(doc.is_null()), np.iinfo(np.int64).max, doc.fill_null(0).to_numpy(zero_copy_only=False)), -s, q))
-            start = np.flatnonzero(np.concatenate(([True], q[order][1:] != q[order][:-1]))) if len(q) else np.zeros(0, np.int64)
-            place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-            order = order[place < k]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q[order]]), doc.take(pa.array(order)), pa.array(s[order])], ["item_id", "doc_id", "score"])
+                    m = scores.shape[1]
+                    cut = np.maximum(bar, np.partition(scores, m - k, axis=1)[:, m - k]) if m > k else bar
+                    q, d = np.nonzero(scores >= cut[:, None])
+                    new.append([q, scores[q, d], doc_ids[a + first + d], nulls[a + first + d]])
+                    if sum(len(x[0]) for x in new) > max(2 * k * len(ids), 1 << 16):
+                        settle()
+        settle()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[2], mask=held[3]), pa.array(held[1])], ["item_id", "doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "item_id long, doc_id long, score long")
 
@@ -128,16 +161,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Rows of ``queries`` with a null ``item_id`` are left out; those with an equal one are searched as one query, their texts joined.
     """
-    asked = queries.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
-    group, groups = [], []
-    for r in asked.orderBy("item_id").toLocalIterator():
-        group.append((r["item_id"], r["text"]))
-        if len(group) == QUERY_GROUP:
-            groups.append(group)
-            group = []
-    if group or not groups:
-        groups.append(group)
-    found = reduce(DataFrame.unionAll, [_search_group(docs, g, k) for g in groups])
+    item, term, often = _query_terms(queries)
+    all_terms = np.unique(term)
+    df, n_docs, words = _statistics(docs, all_terms)
+    ids = np.unique(item)
+    groups = []
+    for a in range(0, max(len(ids), 1), QUERY_GROUP):
+        own_ids = ids[a : a + QUERY_GROUP]
+        own = slice(np.searchsorted(item, own_ids[0]), np.searchsorted(item, own_ids[-1], "right")) if len(own_ids) else slice(0, 0)
+        own_df = df[np.searchsorted(all_terms, np.unique(term[own]))]
+        groups.append(_search_group(docs, own_ids, np.searchsorted(own_ids, item[own]), term[own], often[own], own_df, n_docs, words, k))
+    found = reduce(DataFrame.unionAll, groups)
     w = W.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
