@@ -4,8 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: A filter of so many cells is broadcast as bits: 64 MB.
+BITMAP_CELLS = 1 << 29
+#: Items and rate of false answers that a filter is made for, unless told otherwise.
+DEFAULT_ITEMS, DEFAULT_RATE = 10_000_000, 0.001
 
 
 def sizing(items: Column, rate: Column) -> tuple[Column, Column]:
@@ -16,7 +24,7 @@ def sizing(items: Column, rate: Column) -> tuple[Column, Column]:
     return cells, F.greatest(F.ceil(cells / n * F.lit(math.log(2))), F.lit(1)).cast("int")
 
 
-def size_of(items: int, rate: float) -> tuple[int, int]:
+def size_of(items: int = DEFAULT_ITEMS, rate: float = DEFAULT_RATE) -> tuple[int, int]:
     n, p = max(items, 1), min(max(rate, 1e-7), 0.25)
     cells = max(1024, math.ceil(-n * math.log(p) / math.log(2) ** 2))
     return cells, max(1, math.ceil(cells / n * math.log(2)))
@@ -37,8 +45,33 @@ def build(keys: DataFrame, key: str, cells: int, hashes: int, removed: DataFrame
     return added.groupBy("cell").agg(F.least(F.sum("d"), F.lit(255)).alias("n")).where("n > 0")
 
 
+def bitmap(bloom: DataFrame, cells: int) -> bytes:
+    """The cells in use as bits, the lowest first: cells / 8 bytes, packed by Spark a page at a time."""
+    pages = bloom.select((F.col("cell") + 1).alias("c")).groupBy(F.bitmap_bucket_number("c").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
+    whole = bytearray((cells // 32_768 + 1) * 4096)
+    for r in pages.collect():
+        at = (r["page"] - 1) * 4096
+        whole[at : at + len(r["bits"])] = r["bits"]
+    return bytes(whole)
+
+
 def might_contain(probe: DataFrame, key: str, bloom: DataFrame, cells: int, hashes: int) -> DataFrame:
-    """The rows of ``probe`` that may be in the filter; those left out surely aren't."""
+    """The rows of ``probe`` that may be in the filter; those left out surely aren't.
+
+    A filter up to ``BITMAP_CELLS`` is broadcast as bits and tested in place, without a shuffle; a larger one is joined.
+    """
+    if cells <= BITMAP_CELLS:
+        sent = probe.sparkSession.sparkContext.broadcast(bitmap(bloom, cells))
+
+        @F.arrow_udf(T.BooleanType())
+        def inside(at: pa.Array) -> pa.Array:
+            bits, rows = np.frombuffer(sent.value, dtype=np.uint8), np.asarray(at.value_lengths().fill_null(0)).astype(np.int64)
+            cell = np.asarray(at.flatten()).astype(np.int64)
+            off = ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1) == 0
+            missing = np.bincount(np.repeat(np.arange(len(rows)), rows)[off], minlength=len(rows))
+            return pa.array(missing == 0)
+
+        return probe.where(inside(indexes(F.col(key), cells, hashes)))
     asked = probe.select(F.col(key).alias("__k")).distinct().select("__k", F.explode(F.array_distinct(indexes(F.col("__k"), cells, hashes))).alias("cell"))
     missing = asked.join(bloom, "cell", "left_anti").select("__k").distinct()
     return probe.join(missing, F.col(key) == F.col("__k"), "left_anti")

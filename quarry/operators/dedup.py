@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.shared import materialize
+
 
 def first_writer(chunks: DataFrame, order: list[str], key: str = "content_hash") -> DataFrame:
     """``chunks`` with ``is_first``: whether the chunk is the first of its hash in ``order``."""
@@ -58,11 +60,12 @@ def dense_ids(firsts: DataFrame, order: list[str], start: int = 0, into: str = "
     """``firsts`` with numbers without gaps in ``order``.
 
     A global window would bring every row to one task. Here rows are range-partitioned and sorted, each partition counted, and the running
-    sums of these few counts added: what is ordered on one task is one row a partition. There are as many partitions as the session's shuffles have, unless told otherwise.
+    sums of these few counts added: what is ordered on one task is one row a partition. The partitioned rows are written to the shared folder first: ranges come
+    from a sample, so that two readings of the plan could cut them differently. There are as many partitions as the session's shuffles have, unless told otherwise.
     """
     buckets = buckets or int(firsts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = firsts.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
-    local = ranged.withColumn("__p", F.spark_partition_id()).withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
+    ranged = materialize(firsts.repartitionByRange(buckets, *order).withColumn("__p", F.spark_partition_id()), "dense-ids")
+    local = ranged.withColumn("__n", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
     sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     before = sizes.select("__p", (F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1))).alias("__b"))
     return local.join(F.broadcast(before), "__p").withColumn(into, (F.coalesce("__b", F.lit(0)) + F.col("__n") - 1 + start).cast("bigint")).drop("__p", "__n", "__b")

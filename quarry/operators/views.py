@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from quarry.errors import ViewError
 from quarry.functions import paths
+from quarry.functions.crypto import KeyRing
+from quarry.functions.payload import SEGMENT_SIZE
+from quarry.operators.catalog import Catalog, delete, joined_bytes, read, read_range, write
+from quarry.policies import Policy
 
 # --- objects -------------------------------------------------------------------------------------------------------
 
@@ -33,6 +37,24 @@ def remove(objects: DataFrame, keys: DataFrame) -> DataFrame:
     return objects.join(keys.select("full_key"), "full_key", "left_anti")
 
 
+def put_bodies(catalog: Catalog, objects: DataFrame, puts: DataFrame, policy: Policy, now: int, ring: KeyRing | None = None, segment_size: int | None = None) -> tuple[Catalog, DataFrame]:
+    """(catalog, objects) after ``puts(seq, bucket, key, data)``: each body becomes a capsule of its own, ``bucket/key@seq``; the last put of a key counts."""
+    named = puts.withColumn("capsule_id", F.concat_ws("@", paths.object_key(F.col("bucket"), F.col("key")), F.col("seq").cast("string")))
+    after = write(catalog, named.select(F.col("capsule_id").alias("name"), "data"), policy, ring, segment_size)
+    listed = named.select("seq", "bucket", "key", "capsule_id", F.octet_length("data").cast("bigint").alias("size"), F.lit(now).cast("bigint").alias("created_at"))
+    return after, put(objects, listed)
+
+
+def get(catalog: Catalog, objects: DataFrame, keys: DataFrame, ring: KeyRing | None = None) -> DataFrame:
+    """(full_key, etag, content_type, size, ok, data) for ``keys(full_key)``; a key that isn't there is an error."""
+    asked = keys.select("full_key").distinct()
+    if (gone := asked.join(objects, "full_key", "left_anti").first()) is not None:
+        raise ViewError(f"there is no object {gone['full_key']}")
+    found = objects.join(asked, "full_key", "left_semi")
+    data = read(catalog, found.select("capsule_id"), ring)
+    return found.join(data, "capsule_id").select("full_key", paths.etag(F.col("capsule_id")).alias("etag"), "content_type", "size", "ok", "data")
+
+
 # --- folders -------------------------------------------------------------------------------------------------------
 
 
@@ -53,6 +75,25 @@ def write_files(namespace: DataFrame, files: DataFrame, now: int) -> DataFrame:
     return namespace.join(rows, "path", "left_anti").unionByName(_entries(rows))
 
 
+def write_bodies(catalog: Catalog, namespace: DataFrame, files: DataFrame, policy: Policy, now: int, ring: KeyRing | None = None, segment_size: int | None = None) -> tuple[Catalog, DataFrame]:
+    """(catalog, namespace) after ``files(path, data)`` are written, one a path; the capsules of files that they replace are deleted, and what only those referred to is collected."""
+    new = files.withColumn("path", paths.normalize(F.col("path"))).withColumn("capsule_id", F.concat(F.col("path"), F.lit(f"@{now}")))
+    old = namespace.where("kind = 'file'").join(new.select("path"), "path", "left_semi").select("capsule_id")
+    after = write(catalog, new.select(F.col("capsule_id").alias("name"), "data"), policy, ring, segment_size)
+    listed = write_files(namespace, new.select("path", F.octet_length("data").cast("bigint").alias("size"), "capsule_id"), now)
+    return delete(after, old), listed
+
+
+def read_files(catalog: Catalog, namespace: DataFrame, ranges: DataFrame, ring: KeyRing | None = None, segment_size: int = SEGMENT_SIZE) -> DataFrame:
+    """(path, offset, length, data) for ``ranges(path, offset, length)``; a null length reads to the end. What isn't a file, or a range beyond the end, is an error."""
+    asked = ranges.withColumn("path", paths.normalize(F.col("path"))).join(namespace.where("kind = 'file'").select("path", "capsule_id", "size"), "path", "left")
+    if (wrong := asked.where("capsule_id is null").first()) is not None:
+        raise ViewError(f"there is no file {wrong['path']}")
+    exact = asked.withColumn("length", F.coalesce("length", F.col("size") - F.col("offset")))
+    data = read_range(catalog, exact.select("capsule_id", "offset", "length").distinct(), segment_size, ring)
+    return exact.join(data, ["capsule_id", "offset", "length"]).select("path", "offset", "length", "data")
+
+
 def mkdir(namespace: DataFrame, folders: DataFrame, now: int) -> DataFrame:
     """The namespace with ``folders(path)`` and all folders above them."""
     paths_ = folders.select(paths.normalize(F.col("path")).alias("path"))
@@ -128,3 +169,33 @@ def write_blocks(volumes: DataFrame, blocks: DataFrame, writes: DataFrame, now:
     new_blocks = blocks.join(pieces, ["name", "block"], "left").withColumn("data", F.when(F.col("__patch").isNotNull(), overlay(F.col("data"), F.col("__patch"), F.col("__at"))).otherwise(F.col("data"))).drop("__at", "__patch")
     bumped = volumes.join(writes.select("name", F.lit(1).alias("__w")), "name", "left")
     return bumped.withColumns({"version": F.col("version") + F.coalesce("__w", F.lit(0)), "updated_at": F.when(F.col("__w").isNotNull(), F.lit(now).cast("bigint")).otherwise(F.col("updated_at"))}).drop("__w"), new_blocks
+
+
+def read_blocks(volumes: DataFrame, blocks: DataFrame, reads: DataFrame) -> DataFrame:
+    """(name, offset, length, data) for ``reads(name, offset, length)``; only the blocks touched are read. A volume that isn't there, or a range beyond its end, is an error."""
+    checked = reads.join(volumes.select("name", "size", "block_size"), "name", "left")
+    if (wrong := checked.where("size is null or offset < 0 or length < 0 or offset + length > size").first()) is not None:
+        raise ViewError(f"{wrong['name']!r} has no bytes {wrong['offset']} to {wrong['offset'] + wrong['length']}")
+    touched = checked.where("length > 0").withColumn("block", F.explode(F.expr("sequence(cast(offset div block_size as int), cast((offset + length - 1) div block_size as int))")))
+    parts = touched.join(blocks.select("name", "block", "data"), ["name", "block"]).groupBy("name", "offset", "length", "block_size").agg(F.array_sort(F.collect_list(F.struct("block", "data"))).alias("ps"))
+    whole = parts.withColumn("data", joined_bytes(F.transform("ps", lambda x: x["data"])))
+    cut = whole.select("name", "offset", "length", F.substring("data", (F.col("offset") % F.col("block_size") + 1).cast("int"), F.col("length").cast("int")).alias("data"))
+    return reads.join(cut, ["name", "offset", "length"], "left").withColumn("data", F.coalesce("data", F.lit(b"")))
+
+
+def list_volumes(volumes: DataFrame) -> DataFrame:
+    return volumes.orderBy("name")
+
+
+def volume_info(volumes: DataFrame, name: str) -> dict:
+    found = volumes.where(F.col("name") == name).first()
+    if found is None:
+        raise ViewError(f"there is no volume {name!r}")
+    return found.asDict() | {"blocks": found["size"] // found["block_size"]}
+
+
+def delete_volumes(volumes: DataFrame, blocks: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(volumes, blocks) without ``names(name)``; a volume that isn't there is an error."""
+    if (wrong := names.join(volumes, "name", "left_anti").first()) is not None:
+        raise ViewError(f"there is no volume {wrong['name']!r}")
+    return volumes.join(names.select("name"), "name", "left_anti"), blocks.join(names.select("name"), "name", "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import paths
 from quarry.operators import audit, scaling, views
-from quarry.policies import Policy, presets
+from quarry.policies import PRESETS, Policy, presets
 from quarry.queries.base import FLEET_SQL, LOCAL_KIND, LOCAL_ZONE, TELEMETRY_SQL, fleet, table, telemetry
 from quarry.shared import new_path
 from quarry.sources.readers import TABLES, telemetry_stream
@@ -146,6 +146,49 @@ def volume_overwrite(spark, sf_dir):
     return after.join(whole, "name").select("name", "version", F.sha2("h", 256).alias("content_hash"))
 
 
+def _volumes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A volume for each part after a write, and its blocks."""
+    p = table(spark, sf_dir, "part").where("p_size > 1").select(F.concat(F.lit("vol-"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_size") * 16).cast("bigint").alias("size"), F.lit(16).cast("bigint").alias("block_size"), F.lit("c").alias("capsule_id"), "p_partkey")
+    made = views.create_volumes(spark.createDataFrame([], TABLES["volumes"]), p.drop("p_partkey"), 0)
+    writes = p.select("name", ((F.col("p_partkey") * 37) % (F.col("size") - 8)).alias("offset"), F.encode(F.lpad(F.col("p_partkey").cast("string"), 8, "0"), "UTF-8").alias("data"), F.lit(1).cast("bigint").alias("expected_version"))
+    return views.write_blocks(made, views.zero_blocks(made), writes, 1)
+
+
+_WRITTEN_SQL = "w as (select p_partkey, 'vol-' || p_partkey::varchar as name, p_size, (p_partkey * 37) % (p_size * 16 - 8) as o, lpad(p_partkey::varchar, 8, '0') as d from part where p_size > 1)"
+
+
+@query(f"with {_WRITTEN_SQL} select name, 4::bigint as \"offset\", 24::bigint as length, substring(repeat('00', o::bigint) || hex(encode(d)) || repeat('00', (p_size * 16 - 8 - o)::bigint), 9, 48) as data from w")
+def volume_read(spark, sf_dir):
+    """24 bytes of each volume, over block borders."""
+    v, blocks = _volumes(spark, sf_dir)
+    reads = v.select("name", F.lit(4).cast("bigint").alias("offset"), F.lit(24).cast("bigint").alias("length"))
+    return views.read_blocks(v, blocks, reads).select("name", "offset", "length", F.hex("data").alias("data"))
+
+
+@query(f"with {_WRITTEN_SQL} select name, p_size * 16::bigint as size, 2::bigint as version, p_size::bigint as blocks from w where p_partkey % 3 <> 0")
+def volume_list_and_delete(spark, sf_dir):
+    """The volumes and their blocks after every third was deleted."""
+    v, blocks = views.delete_volumes(*(own := _volumes(spark, sf_dir)), own[0].where(F.substring("name", 5, 20).cast("bigint") % 3 == 0).select("name"))
+    return views.list_volumes(v).join(blocks.groupBy("name").agg(F.count(F.lit(1)).alias("blocks")), "name").select("name", "size", "version", "blocks")
+
+
+@query(f"with {_WRITTEN_SQL} select name, p_size * 16::bigint as size, 16::bigint as block_size, 2::bigint as version, p_size::bigint as blocks from w where p_partkey = (select min(p_partkey) from w)")
+def volume_info(spark, sf_dir):
+    v, _ = _volumes(spark, sf_dir)
+    first = v.agg(F.min_by("name", F.substring("name", 5, 20).cast("bigint"))).first()[0]
+    return spark.createDataFrame([tuple(views.volume_info(v, first)[k] for k in ("name", "size", "block_size", "version", "blocks"))], "name string, size bigint, block_size bigint, version bigint, blocks bigint")
+
+
+@query(f"""with rules(policy, rpo, sov) as (values {', '.join(f"('{p.policy}', {p.rpo_ms}, '{p.sovereignty}')" for p in PRESETS)}), names as (select list(policy order by policy) as all_ from rules),
+c as (select 'cap-' || o_orderkey::varchar as capsule_id, list_extract(all_, (o_orderkey % 8 + 1)::int) as policy from orders, names), {FLEET_SQL}, p as (select node_id from nodes order by node_id limit 2)
+select capsule_id, 'Mirror' as action, node_id, null as zone from c join rules using (policy), p where rpo = 0 union all select capsule_id, 'Federate', null, '{LOCAL_KIND}:{LOCAL_ZONE}' from c join rules using (policy) where sov <> 'Local'""")
+def after_write_plan(spark, sf_dir):
+    """What is due after capsules are written: mirrors where the recovery point is 0, federation where the data isn't local."""
+    names = F.array(*[F.lit(x) for x in sorted(p.policy for p in PRESETS)])
+    capsules = table(spark, sf_dir, "orders").select(F.concat(F.lit("cap-"), F.col("o_orderkey").cast("string")).alias("capsule_id"), F.element_at(names, (F.col("o_orderkey") % len(PRESETS) + 1).cast("int")).alias("policy"))
+    return scaling.after_write(capsules, presets(spark), fleet(spark, sf_dir), LOCAL_KIND, LOCAL_ZONE)
+
+
 # --- nodes and the compiler ------------------------------------------------------------------------------------------------------
 
 _NEAR_ZERO = Policy("near_zero", rpo_ms=30_000, latency_target_ms=5, sovereignty="Global")

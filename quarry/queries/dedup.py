@@ -134,7 +134,7 @@ def dedup_by_policy_class(spark, sf_dir):
 select content_hash, row_number() over (order by doc_id, pos) - 1 as segment_id, len::int as len, coalesce(sum(len) over (order by doc_id, pos rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from f""")
 def segment_ids_and_offsets(spark, sf_dir):
     first = document_chunks(spark, sf_dir).groupBy("content_hash").agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first("len").alias("len")).select("content_hash", "at.*", "len")
-    return dedup.running_offset(dedup.dense_ids(first, ["doc_id", "pos"], buckets=64)).select("content_hash", "segment_id", "len", "offset")
+    return dedup.running_offset(dedup.dense_ids(first, ["doc_id", "pos"])).select("content_hash", "segment_id", "len", "offset")
 
 
 @query(f"with {CHUNKS_SQL} select content_hash, count(distinct chunk)::bigint as variants from chunks group by content_hash having count(distinct chunk) > 1")

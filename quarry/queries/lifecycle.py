@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import codecs, crypto, payload
-from quarry.operators import catalog, layout
-from quarry.policies import PRESETS, clamp_level, preset, presets
+from quarry.operators import catalog, layout, views
+from quarry.policies import PRESETS, Policy, clamp_level, preset, presets
 from quarry.queries.base import CHUNK, CHUNKS_SQL, document_chunks, table
+from quarry.shared import new_path
+from quarry.sources.readers import TABLES
 
 QUERIES, ORACLES = {}, {}
 
@@ -232,6 +234,82 @@ def compression_totals(spark, sf_dir):
     return totals.withColumn("ratio", F.round(payload.ratio(F.col("original_bytes"), F.col("compressed_bytes")), 6))
 
 
+# --- the library's own paths -------------------------------------------------------------------------------------------
+
+#: Chunks as they are, so that SQL knows their bytes.
+_PLAIN = Policy("plain", comp_algo="none", comp_level=0, segment_size=CHUNK)
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> catalog.Catalog:
+    """Every tenth document in a catalog."""
+    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("data"))
+    return catalog.write(catalog.Catalog.empty(spark), docs, _PLAIN, segment_size=CHUNK)
+
+
+@query(f"with {CHUNKS_SQL} select content_hash, any_value(len)::bigint as len, count(*)::bigint as ref_count, count(*) > 1 as deduplicated from chunks where doc_id % 10 = 0 group by content_hash")
+def catalog_segments(spark, sf_dir):
+    """Segments that ``write`` stores, with the references that it counts."""
+    return _stored(spark, sf_dir).segments.select("content_hash", "len", "ref_count", "deduplicated")
+
+
+@query(f"select doc_id, o as \"offset\", n as length, sha256(encode(text)[o + 1:o + n]) as content_hash from (select doc_id, text, {_RANGE_SQL} from documents where doc_id % 10 = 0)")
+def catalog_read_range(spark, sf_dir):
+    """``read_range`` itself, over a catalog."""
+    ranges = _ranges(spark, sf_dir).where("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("capsule_id"), F.col("o").alias("offset"), F.col("n").alias("length"))
+    got = catalog.read_range(_stored(spark, sf_dir), ranges, CHUNK)
+    return got.select(F.col("capsule_id").cast("bigint").alias("doc_id"), "offset", "length", F.sha2("data", 256).alias("content_hash"))
+
+
+@query(f"with {CHUNKS_SQL} select content_hash, count(*)::bigint as ref_count from chunks where doc_id % 10 = 0 and doc_id % 20 <> 0 group by content_hash")
+def catalog_delete(spark, sf_dir):
+    """Every second capsule is deleted; what is left is what the others refer to."""
+    c = _stored(spark, sf_dir)
+    return catalog.delete(c, c.capsules.where(F.col("capsule_id").cast("bigint") % 20 == 0)).segments.select("content_hash", "ref_count")
+
+
+@query(f"with {CHUNKS_SQL} select count(*)::bigint as reclaimed from (select content_hash from chunks where doc_id % 10 = 0 group by content_hash having count(*) filter (doc_id % 20 <> 0) = 0)")
+def gc_reclaimed(spark, sf_dir):
+    """Capsules go without their segments; collection finds these and says how many there were."""
+    c = _stored(spark, sf_dir)
+    gone = F.col("capsule_id").cast("bigint") % 20 == 0
+    lost = catalog.Catalog(c.capsules.where(~gone), c.capsule_segments.where(~gone), c.segments, c.content_store)
+    return spark.createDataFrame([(catalog.reclaim(lost)[1],)], "reclaimed bigint")
+
+
+@query(f"with {CHUNKS_SQL}, s as (select content_hash, any_value(len)::bigint as len, min(doc_id * 1000000 + pos) as at from chunks where doc_id % 10 = 0 group by content_hash) select content_hash, len, true as found from s union all select null, null, false")
+def segment_metadata(spark, sf_dir):
+    """Every segment's row without its bytes, and one for an id that isn't there."""
+    c = _stored(spark, sf_dir)
+    return catalog.segment_metadata(c, c.segments.select("segment_id").unionAll(spark.range(1).select(F.lit(-1).cast("bigint")))).select("content_hash", "len", "found")
+
+
+@query(f"with {CHUNKS_SQL} select content_hash, count(*)::bigint as ref_count from chunks where doc_id % 10 = 0 group by content_hash")
+def catalog_open_reconcile(spark, sf_dir):
+    """A catalog is saved with wrong counts; ``open`` counts anew."""
+    c, path = _stored(spark, sf_dir), new_path(spark, "catalog")
+    catalog.Catalog(c.capsules, c.capsule_segments, c.segments.withColumn("ref_count", F.lit(77).cast("bigint")), c.content_store).save(path, 1)
+    return catalog.Catalog.open(spark, path).segments.select("content_hash", "ref_count")
+
+
+@query("select source || '/' || doc_id::varchar || '.txt' as full_key, octet_length(encode(text))::bigint as size, 'text/plain' as content_type, true as ok, sha256(encode(text)) as content_hash from documents where doc_id % 10 = 0")
+def object_get(spark, sf_dir):
+    """Bodies that were put come back."""
+    puts = table(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("seq"), F.col("source").alias("bucket"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("key"), F.encode("text", "UTF-8").alias("data"))
+    c, o = views.put_bodies(catalog.Catalog.empty(spark), spark.createDataFrame([], TABLES["objects"]), puts, _PLAIN, 0, segment_size=CHUNK)
+    return views.get(c, o, o).select("full_key", "size", "content_type", "ok", F.sha2("data", 256).alias("content_hash"))
+
+
+@query(f"select '/' || source || '/' || doc_id::varchar as path, o as \"offset\", n as length, sha256(encode(text)[o + 1:o + n]) as content_hash from (select doc_id, source, text, {_RANGE_SQL} from documents where doc_id % 10 = 0)")
+def file_read(spark, sf_dir):
+    """Ranges of files, after each was overwritten once."""
+    path = F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    one = views.write_bodies(catalog.Catalog.empty(spark), spark.createDataFrame([], TABLES["namespace"]), docs.select(path.alias("path"), F.encode(F.lit("old"), "UTF-8").alias("data")), _PLAIN, 1, segment_size=CHUNK)
+    c, ns = views.write_bodies(*one, docs.select(path.alias("path"), F.encode("text", "UTF-8").alias("data")), _PLAIN, 2, segment_size=CHUNK)
+    asked = _ranges(spark, sf_dir).join(docs.select("doc_id", path.alias("path")), "doc_id").select("path", F.col("o").alias("offset"), F.col("n").alias("length"))
+    return views.read_files(c, ns, asked, segment_size=CHUNK).select("path", "offset", "length", F.sha2("data", 256).alias("content_hash"))
+
+
 # --- layout --------------------------------------------------------------------------------------------------------------
 
 ZONE = 4096
