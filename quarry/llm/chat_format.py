@@ -5,7 +5,7 @@ until the next one would pass ``budget``; the next window then begins with up to
 they keep to ``history_tokens`` and leave room for its first new turn. Assistant turns are targets in the window where they are new, and
 masked where they are repeated; all other turns are masked always. So each assistant turn is a target exactly once.
 
-Defined cases. A turn costs its words (runs of characters other than space, tab, newline and carriage return) plus ``OVERHEAD``. A turn above the
+Defined cases. A turn costs its words (runs of characters other than blank, tab, newline and carriage return) plus ``OVERHEAD``. A turn above the
 budget has a window of its own, marked ``over_budget``. Turns are ordered by (turn, role, text), nulls first, so
 ties and repeated rows have a place; repeated rows stay. A null text is empty, a null role is ``unknown``. Rows with a null ``conv_id`` belong to
 no conversation and are left out. A conversation of a system turn alone gives no window. Later system turns are ordinary turns. An empty table

@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: Model | None = None, min_margin: float = MI
             names, margin, n, fits = _judge(sent.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.round(margin, 6)), pa.array(n), pa.array((n > 0) & (margin >= min_margin) & fits)], ["doc_id", "language", "margin", "grams", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, language string, margin double, grams long, accepted boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(textkit.releasing(run), "doc_id long, language string, margin double, grams long, accepted boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
@@ -203,4 +203,4 @@ def keep_identified(docs: DataFrame, model: Model | None = None, min_margin: flo
             arrays[lang] = pa.array(names, pa.string()).cast(batch.schema.field(lang).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema).filter(pa.array((n > 0) & (margin >= min_margin) & fits))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(textkit.releasing(run), docs.schema)

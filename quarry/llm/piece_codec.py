@@ -118,14 +118,17 @@ def load(path: str) -> Vocabulary:
             spec = dict(_fields(value))
             dummy = bool(spec.get(3, 1))
             if spec.get(1, b"") not in (b"", b"identity") or spec.get(2, b"") or spec.get(4, 1):
-                raise ValueError("only models with the identity normaliser, which keep all white space, are handled")
+                raise ValueError("only models with the identity normaliser, which keep all blanks, are handled")
     return Vocabulary(tuple(pieces), tuple(scores), tuple(kinds), bpe, dummy)
 
 
 def piece_table(spark: SparkSession, v: Vocabulary) -> DataFrame:
-    """(piece, id, rank): the pieces that text can become. A lower rank is better."""
-    rows = [(p, i, -float(s)) for i, (p, s, k) in enumerate(zip(v.pieces, v.scores, v.kinds)) if k in (NORMAL, USER)]
-    return spark.createDataFrame(rows, "piece string, id int, rank double")
+    """(piece, id, rank, place): the pieces that text can become. A lower rank is better; ``place`` counts the ranks from the best, equal ones alike."""
+    if len(v.pieces) >= 1 << 20:
+        raise ValueError("an edge has room for a million pieces")
+    places = {r: n for n, r in enumerate(sorted({-s for s in v.scores}))}
+    rows = [(p, i, -float(s), places[-s]) for i, (p, s, k) in enumerate(zip(v.pieces, v.scores, v.kinds)) if k in (NORMAL, USER)]
+    return spark.createDataFrame(rows, "piece string, id int, rank double, place long")
 
 
 class Cutter:
@@ -447,11 +450,14 @@ def word_ids(words: DataFrame, v: Vocabulary) -> DataFrame:
     at = "substring(word, x.s + 1, 1)"
     fallback = f"array({v.unk})" if bytes_at is None else f"transform(sequence(1, octet_length({at})), k -> {bytes_at} + cast(conv(substring(hex(encode({at}, 'UTF-8')), 2 * k - 1, 2), 16, 10) as int))"
     if v.bpe:
-        edges = found.groupBy("bucket", "word").agg(F.collect_list(F.struct("rank", "s", "e", "id")).alias("edges"))
+        # an edge is one number, in the order of merging: place of the rank, start, length, piece (0 for none)
+        edge = "coalesce(place, 0L) * 4294967296 + s * 67108864L + (e - s) * 1048576L + coalesce(id + 1, 0)"
+        edges = found.selectExpr("bucket", "word", f"{edge} as edge").groupBy("bucket", "word").agg(F.collect_list("edge").alias("edges"))
+        start, length, piece = "cast(shiftright(x, 26) & 63 as int)", "cast(shiftright(x, 20) & 63 as int)", "cast(nullif((x & 1048575) - 1, -1) as int)"
         merges = edges.selectExpr(
             "bucket", "word",
-            "array_sort(transform(filter(edges, x -> x.e - x.s = 1), x -> struct(x.s as s, 1L as ends, 0L as inner, x.id as id))) as chars",
-            "transform(array_sort(filter(edges, x -> x.e - x.s > 1)), x -> struct(x.s as s, shiftleft(1L, x.s) | shiftleft(1L, x.e) as ends, shiftleft(shiftleft(1L, x.e - x.s - 1) - 1L, x.s + 1) as inner, x.id as id)) as merges",
+            f"sort_array(transform(filter(edges, x -> {length} = 1), x -> struct({start} as s, 1L as ends, 0L as inner, {piece} as id))) as chars",
+            f"transform(sort_array(filter(edges, x -> {length} > 1)), x -> struct({start} as s, shiftleft(1L, {start}) | shiftleft(1L, {start} + {length}) as ends, shiftleft(shiftleft(1L, {length} - 1) - 1L, {start} + 1) as inner, {piece} as id)) as merges",
         )
         # The cuts: bit i is set if a symbol begins at i. Edges come in rank order. One that spans a single cut merges; one that spans
         # more waits, and is looked at again after every later merge, since merging may have brought it to a single cut.
@@ -460,7 +466,7 @@ def word_ids(words: DataFrame, v: Vocabulary) -> DataFrame:
         step = f"case when (a.cuts & x.ends) <> x.ends or bit_count(a.cuts & x.inner) = 0 then a when bit_count(a.cuts & x.inner) = 1 then named_struct('cuts', {settle}, 'wait', a.wait) else named_struct('cuts', a.cuts, 'wait', concat(a.wait, array(x))) end"
         cuts = merges.selectExpr("bucket", "word", "chars", "merges", f"aggregate(merges, named_struct('cuts', shiftleft(1L, size(chars) + 1) - 1L, 'wait', slice(merges, 1, 0)), (a, x) -> {step}, a -> a.cuts) as cuts")
         final = "concat(filter(merges, x -> (cuts & x.ends) = x.ends and (cuts & x.inner) = 0), filter(chars, x -> (cuts & shiftleft(3L, x.s)) = shiftleft(3L, x.s)))"
-        folded = cuts.selectExpr("bucket", "word", f"flatten(transform(array_sort({final}), x -> if(x.id is not null, array(x.id), {fallback}))) as ids")
+        folded = cuts.selectExpr("bucket", "word", f"flatten(transform(sort_array({final}), x -> if(x.id is not null, array(x.id), {fallback}))) as ids")
     else:
         worst = max(-s for s, k in zip(v.scores, v.kinds) if k in (NORMAL, USER)) + 10
         # the edges by their end, so that each is looked at once
@@ -599,20 +605,20 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = bucket_labels(docs.sparkSession, buckets)
     # everything about words stays where the bucket is: only lists and distinct words move
-    asks = slim.mapInArrow(_packer(cutter, labels, True), _ASKS).repartition(buckets, "bucket")
-    words = asks.mapInArrow(_all_words, "bucket int, word string").repartition(buckets, "bucket").distinct()
+    asks = slim.mapInArrow(textkit.releasing(_packer(cutter, labels, True)), _ASKS).repartition(buckets, "bucket")
+    words = asks.mapInArrow(textkit.releasing(_all_words), "bucket int, word string").repartition(buckets, "bucket").distinct()
     known = word_ids(words, v).selectExpr("bucket", "0 as kind", "cast(null as long) as block", "word", "ids", "cast(null as binary) as data")
     lists = asks.selectExpr("bucket", "1 as kind", "block", "cast(null as string) as word", "cast(null as array<int>) as ids", "data")
     met = known.unionAll(lists).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    answers = met.mapInArrow(_answer(_long_encoder(v)), _BLOCKS)
-    packed = slim.mapInArrow(_packer(cutter, labels, False), _BLOCKS)
+    answers = met.mapInArrow(textkit.releasing(_answer(_long_encoder(v))), _BLOCKS)
+    packed = slim.mapInArrow(textkit.releasing(_packer(cutter, labels, False)), _BLOCKS)
     # each side is shuffled before they meet: a block's name is its partition's number, which a union would change
     blocks = answers.repartition(buckets, "block").unionAll(packed.repartition(buckets, "block")).repartition(buckets, "block").sortWithinPartitions("block", "kind", "place")
-    return blocks.mapInArrow(_unblock(v), "doc_id long, ids array<int>, round_trip boolean")
+    return blocks.mapInArrow(textkit.releasing(_unblock(v)), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids): pieces and byte pieces in a row, the mark as a space, the leading one dropped. Null ids give null."""
+    """(doc_id, text) from (doc_id, ids): pieces and byte pieces in a row, the mark as a blank, the leading one dropped. Null ids give null."""
     v = load(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,7 +102,7 @@ def findings(docs: DataFrame) -> DataFrame:
             ids = batch.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(entropies, pa.float64()), pa.array(digests, pa.string())], ["doc_id", "kind", "start", "length", "entropy", "digest"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, kind string, start long, length long, entropy double, digest string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(textkit.releasing(run), "doc_id long, kind string, start long, length long, entropy double, digest string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def redact(docs: DataFrame) -> DataFrame:
                 arrays[n_chars] = pc.replace_with_mask(arrays[n_chars], pa.array(mask), pa.array([len(new[i]) for i in order], arrays[n_chars].type))
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(textkit.releasing(run), docs.schema)
 
 
 #: DuckDB SQL of ``findings``.

@@ -2,7 +2,7 @@
 
 A document's code has 128 bits, two SimHashes over its distinct words. Two documents are candidates when their codes
 differ in at most ``TAU`` bits, which is also what verification asks of the words, so no pair that it accepts is out of reach. The bits are split into
-partitions, correlated bits together (Qin et al., "GPH: Similarity Search in Hamming Space", 2018). For thresholds t_i with sum(t_i) = tau - m + 1, two codes
+partitions, correlated bits together (Qin et al., "GPH", 2018). For thresholds t_i with sum(t_i) = tau - m + 1, two codes
 within ``tau`` agree within t_i bits in at least one partition i, so probing those balls misses no pair. The thresholds come from a
 dynamic programme over estimated candidate counts: the chance that two codes differ in at most t bits of a partition is that of a beta-binomial
 with the mean and the variance that the partition's bits have together over all codes, correlation included. Candidates within ``tau`` are verified on
@@ -113,7 +113,7 @@ def _code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def simhash_codes(docs: DataFrame) -> DataFrame:
     """(doc_id, c0..c3) of every document with text; one narrow pass over (doc_id, text)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return slim.mapInArrow(_code_batches, _CODES)
+    return slim.mapInArrow(textkit.releasing(_code_batches), _CODES)
 
 
 def _codes(batch: pa.RecordBatch, first: int) -> np.ndarray:
@@ -369,7 +369,7 @@ def hamming_pairs(codes: DataFrame, tau: int = TAU, plan: tuple[list[list[int]],
             route = bits[: _route_bits(len(bits), len(groups), partitions)]
             used.append((bits, route, bits[len(route) :], t))
     sent = codes.select("id", *names).mapInArrow(_sender(used, bucket_labels(spark, partitions)), _SENT).repartition(partitions, "label")
-    return sent.sortWithinPartitions("label", "part", "route", "kind").select("label", "part", "route", "kind", "sender", "data").mapInArrow(_meeting(used, tau, len(names)), "a long, b long")
+    return sent.sortWithinPartitions("label", "part", "route", "kind").select("label", "part", "route", "kind", "sender", "data").mapInArrow(textkit.releasing(_meeting(used, tau, len(names))), "a long, b long")
 
 
 def near_duplicate_pairs(docs: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:

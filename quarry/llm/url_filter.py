@@ -8,14 +8,14 @@ Of the rules that match, the one with the longest host wins, then the longest pa
 Distinct URLs are judged once and joined back. An expression is never written out: each host suffix's hash goes on folder by folder, so a URL's work and rows are
 in proportion to its length times its few host suffixes, and a row carries two digests, whatever the URL. Nothing but (page_id, url) is read.
 
-Canonical form. White space around a URL goes, and so do user, port and fragment. The host is lower-cased, without dots at its end; an address in digits, one in
+Canonical form. Blanks around a URL go, and so do user, port and fragment. The host is lower-cased, without dots at its end; an address in digits, one in
 brackets (IPv6), or a host of one label, has only itself as suffix. ``%xx`` is decoded until nothing is left to decode; ``.``, ``..`` and empty segments of the
 path are resolved; bytes up to 32, from 127 on, ``#`` and ``%`` are written as ``%XX`` again. An empty path is ``/``.
 
 Defined cases. A null, empty or malformed URL (no ``scheme://host``, or a host above 253 characters) has action ``none`` and a null rule, as has one that no
 rule matches. URLs of any length are expanded whole. A null ``page_id`` is kept. Repeated rows each get the verdict. Rules that are null, blank or of an
 unknown action are ignored; repeated ones count once; of two with one canonical form the least is named. A rule that can't be ``host`` or ``host/path`` (it has a
-scheme, a fragment, white space or no host) is an error. No rule at all, or no page, gives ``none`` everywhere, or nothing. Extra columns are ignored, whatever their names.
+scheme, a fragment, blanks or no host) is an error. No rule at all, or no page, gives ``none`` everywhere, or nothing. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -121,7 +121,7 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-# --- embeddings ------------------------------------------------------------------------------------------------------
+# -- embeddings
 
 
 def vectors(spark, rows):

@@ -14,7 +14,7 @@ from quarry.llm import chat_format, mixing, queries, sharding, url_filter
 from tests.llm.helpers import CLASH, SF, awkward, docs, nothing, table
 from tests.oracle import compare
 
-# --- URL filters -----------------------------------------------------------------------------------------------------------
+# -- URL filters
 
 
 def test_urls_equal_sql(spark):
@@ -36,7 +36,7 @@ def test_precedence_and_awkward_urls(spark):
     assert judge(spark, [], rules) == {}
 
 
-# --- mixing ----------------------------------------------------------------------------------------------------------------------
+# -- mixing
 
 
 @settings(max_examples=200, deadline=None)
@@ -106,7 +106,7 @@ def test_awkward_mixing(spark):
     assert mixing.select(nothing(spark)).count() == 0 and mixing.mix(nothing(spark)).count() == 0
 
 
-# --- sharding -----------------------------------------------------------------------------------------------------------------------
+# -- sharding
 
 
 @settings(max_examples=60, deadline=None)
@@ -146,7 +146,7 @@ def test_awkward_sharding(spark):
     assert sharding.assign(nothing(spark)).count() == 0
 
 
-# --- chat ----------------------------------------------------------------------------------------------------------------------------
+# -- chat
 
 
 def test_chat_equals_sql(spark):
@@ -185,7 +185,7 @@ def test_awkward_chats(spark):
     assert chat(spark, []) == []
 
 
-# --- the pipeline --------------------------------------------------------------------------------------------------------------------------
+# -- the pipeline
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):

@@ -33,7 +33,7 @@ def test_word_hashes_are_those_of_the_words(texts):
         assert len(set(zip((w for _, w in want), h.tolist()))) == len({w for _, w in want})
 
 
-# --- language ID ---------------------------------------------------------------------------------------------------------
+# -- language ID
 
 
 def test_held_out_accuracy(spark):
@@ -94,7 +94,7 @@ def test_what_fits_no_label_is_rejected(spark):
     assert L.identify(d, m).where("not accepted").count() <= 0.005 * d.count()
 
 
-# --- secrets ------------------------------------------------------------------------------------------------------------------
+# -- secrets
 
 
 @settings(max_examples=80, deadline=None)
@@ -135,7 +135,7 @@ def test_awkward_secrets(spark):
     assert S.findings(deep).first()["start"] == 600_000
 
 
-# --- SentencePiece ------------------------------------------------------------------------------------------------------------
+# -- SentencePiece
 
 
 def ids_of(spark, texts):
@@ -199,7 +199,7 @@ def test_unigram_models_are_folded_by_viterbi(spark):
         assert got[t] == P._long_encoder(v)(t) or math.isclose(cost, cheapest(t))
 
 
-# --- top-k search ------------------------------------------------------------------------------------------------------------------
+# -- top-k search
 
 
 def test_search_equals_sql(spark):
