@@ -13,7 +13,7 @@ from quarry.functions.payload import SEGMENT_SIZE
 from quarry.operators.catalog import Catalog, delete, joined_bytes, read, read_range, write
 from quarry.policies import Policy
 
-# --- objects -------------------------------------------------------------------------------------------------------
+# -- objects
 
 
 def put(objects: DataFrame, puts: DataFrame, order: str = "seq") -> DataFrame:
@@ -55,7 +55,7 @@ def get(catalog: Catalog, objects: DataFrame, keys: DataFrame, ring: KeyRing | N
     return found.join(data, "capsule_id").select("full_key", paths.etag(F.col("capsule_id")).alias("etag"), "content_type", "size", "ok", "data")
 
 
-# --- folders -------------------------------------------------------------------------------------------------------
+# -- folders
 
 
 def _entries(rows: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def nonempty(namespace: DataFrame) -> DataFrame:
     return namespace.where("kind = 'dir'").join(namespace.select(F.col("parent").alias("path")), "path", "left_semi").select("path")
 
 
-# --- volumes -------------------------------------------------------------------------------------------------------
+# -- volumes
 
 
 def create_volumes(volumes: DataFrame, new: DataFrame, now: int) -> DataFrame:

@@ -30,7 +30,7 @@ chunks as (
 
 
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A node for each supplier; its nation is the zone, its balance the free space."""
+    """A node for each supplier; its nation is the zone, its balance the free room."""
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     kind = F.when(F.col("n_regionkey") % 3 == 0, "metro").when(F.col("n_regionkey") % 3 == 1, "geo").otherwise("edge")
     free = F.round(F.greatest(F.col("s_acctbal"), F.lit(0.0)) * 5000).cast("bigint")

@@ -28,7 +28,7 @@ def query(sql: str | None = None):
     return add
 
 
-# --- objects and folders -------------------------------------------------------------------------------------------------
+# -- objects and folders
 
 _PUTS_SQL = r"""
 pages2 as (select page_id, regexp_extract(url, '://([^/?#]+)', 1) as bucket, regexp_extract(url, '://[^/?#]+/([^?#]*)', 1) || case page_id % 4 when 0 then '.html' when 1 then '.json' when 2 then '.JPG' else '' end as key, octet_length(encode(html))::bigint as size from pages),
@@ -118,7 +118,7 @@ def dir_nonempty(spark, sf_dir):
     return views.nonempty(_namespace(spark, sf_dir))
 
 
-# --- volumes -----------------------------------------------------------------------------------------------------------------
+# -- volumes
 
 
 @query("select v as name, s::bigint as size, b::bigint as block_size, regexp_full_match(v, '[A-Za-z0-9._-]+') and s > 0 and b > 0 and (case when b > 0 then s % b = 0 else false end) as valid from (values ('vol0'), ('bad/name'), (''), ('a.b_c-1')) n(v), (values (16384, 4096), (1000, 4096), (0, 4096), (4096, 0)) x(s, b)")
@@ -189,7 +189,7 @@ def after_write_plan(spark, sf_dir):
     return scaling.after_write(capsules, presets(spark), fleet(spark, sf_dir), LOCAL_KIND, LOCAL_ZONE)
 
 
-# --- nodes and the compiler ------------------------------------------------------------------------------------------------------
+# -- nodes and the compiler
 
 _NEAR_ZERO = Policy("near_zero", rpo_ms=30_000, latency_target_ms=5, sovereignty="Global")
 _RULES = ", ".join(f"('{p}', {r}, {n}, '{s}')" for p, r, n, s in (("default", 60_000, 10, "Local"), ("metro_sync", 0, 2, "Zone"), ("geo_replicated", 300_000, 100, "Global"), ("encrypted", 60_000, 10, "Local"), ("edge_optimized", 300_000, 50, "Local"), ("near_zero", 30_000, 5, "Global")))
@@ -309,7 +309,7 @@ def heat_per_minute(spark, sf_dir):
     return actions.heat(e.select("ts", F.concat(F.lit("capsule-"), F.col("user_id").cast("string")).alias("capsule_id")))
 
 
-# --- audit -------------------------------------------------------------------------------------------------------------------------
+# -- audit
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +361,7 @@ def audit_rotation(spark, sf_dir):
     return audit.rotation(_records(spark, sf_dir), 600).select("log_id", "seq", "file")
 
 
-# --- streams ---------------------------------------------------------------------------------------------------------------------------
+# -- streams
 
 
 def _shared(spark: SparkSession, name: str) -> str:

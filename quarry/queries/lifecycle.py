@@ -31,7 +31,7 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("capsule_id"), F.col("l_partkey").alias("segment_id"), "l_returnflag", "l_linenumber")
 
 
-# --- references and collection ---------------------------------------------------------------------------------------
+# -- references and collection
 
 
 @query("select p_partkey as segment_id, count(l_partkey)::bigint as ref_count, count(l_partkey) > 1 as deduplicated from part left join lineitem on l_partkey = p_partkey group by p_partkey")
@@ -87,7 +87,7 @@ def referenced_set(spark, sf_dir):
     return d.join(F.broadcast(least)).select("segment_id", (F.col("segment_id") == F.col("least")).alias("is_first"))
 
 
-# --- reads -----------------------------------------------------------------------------------------------------------
+# -- reads
 
 
 @query("select doc_id, octet_length(encode(text))::bigint as size, sha256(encode(text)) as content_hash from documents")
@@ -133,7 +133,7 @@ def range_chunk_prune(spark, sf_dir):
     return r.join(table(spark, sf_dir, "documents").select("doc_id", payload.n_chunks(F.encode("text", "UTF-8"), CHUNK).alias("chunks")), "doc_id").select("doc_id", lo.cast("int").alias("first_chunk"), hi.cast("int").alias("last_chunk"), "chunks")
 
 
-# --- entropy -----------------------------------------------------------------------------------------------------------
+# -- entropy
 
 _BYTES_SQL = "select doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) as h from documents"
 
@@ -165,7 +165,7 @@ def entropy_skip_flags(spark, sf_dir):
     return docs.unionAll(blocks).select("doc_id", payload.skips_compression(F.col("data")).alias("skip"))
 
 
-# --- policies and codecs -----------------------------------------------------------------------------------------------
+# -- policies and codecs
 
 _PRESET_SQL = ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() for v in (p.policy, p.comp_algo, p.comp_level, p.dedupe, p.compact_interval_secs, p.encrypted, p.rpo_ms, p.latency_target_ms, p.sovereignty)) + ")" for p in PRESETS)
 
@@ -234,7 +234,7 @@ def compression_totals(spark, sf_dir):
     return totals.withColumn("ratio", F.round(payload.ratio(F.col("original_bytes"), F.col("compressed_bytes")), 6))
 
 
-# --- the library's own paths -------------------------------------------------------------------------------------------
+# -- the library's own paths
 
 #: Chunks as they are, so that SQL knows their bytes.
 _PLAIN = Policy("plain", comp_algo="none", comp_level=0, segment_size=CHUNK)
@@ -310,7 +310,7 @@ def file_read(spark, sf_dir):
     return views.read_files(c, ns, asked, segment_size=CHUNK).select("path", "offset", "length", F.sha2("data", 256).alias("content_hash"))
 
 
-# --- layout --------------------------------------------------------------------------------------------------------------
+# -- layout
 
 ZONE = 4096
 
@@ -351,7 +351,7 @@ def shard_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(keys)).select("doc_id", F.col("pos").alias("shard"), F.col("col").cast("string").alias("shard_key"))
 
 
-# --- keys and encryption ---------------------------------------------------------------------------------------------------
+# -- keys and encryption
 
 
 def _ring(versions: int = 3) -> crypto.KeyRing:

@@ -30,7 +30,7 @@ def back(c, ring=None):
     return {r["capsule_id"]: bytes(r["data"]) for r in catalog.read(c, ring=ring).collect()}
 
 
-# --- catalog -------------------------------------------------------------------------------------------------------
+# -- catalog
 
 
 def test_round_trip_ids_sizes_and_counts(spark):
@@ -139,7 +139,7 @@ def test_register_and_deregister(spark):
     assert sorted(map(tuple, catalog.deregister(s, e).collect())) == [("g", 2), ("h", 1)]
 
 
-# --- payload functions, codecs -----------------------------------------------------------------------------------------
+# -- payload functions, codecs
 
 
 def test_ratio_is_the_true_one(spark):
@@ -175,7 +175,7 @@ def test_shard_keys_wrap(spark):
     assert [int(x) for x in r] == [2**64 - 1, 0]
 
 
-# --- keys ----------------------------------------------------------------------------------------------------------------
+# -- keys
 
 
 def test_key_ring(monkeypatch):
@@ -204,7 +204,7 @@ def test_encryption_is_deterministic_and_keys_stay_out_of_plans(spark):
     assert ring.get(1)[0].hex() not in text.lower() and str(list(ring.get(1)[0]))[1:20] not in text
 
 
-# --- policies, sources ----------------------------------------------------------------------------------------------------
+# -- policies, sources
 
 
 def test_policy_files(tmp_path):
@@ -229,7 +229,7 @@ def test_json_lines_tolerate_bad_lines(spark, tmp_path):
     assert bytes(readers.payload_files(spark, str(tmp_path), "*.bin").first()["data"]) == b"\x00\x01"
 
 
-# --- dedup, layout, bloom, audit ---------------------------------------------------------------------------------------------
+# -- dedup, layout, bloom, audit
 
 
 def test_dense_ids_without_a_global_sort(spark):
@@ -273,7 +273,7 @@ def test_audit_chain_finds_changes(spark):
     assert audit.trail(done).first()["last_seq"] == 5
 
 
-# --- views ---------------------------------------------------------------------------------------------------------------
+# -- views
 
 
 def empty(spark, name):
@@ -341,7 +341,7 @@ def test_paths_normalise_as_a_stack(spark, raw):
     assert all(r["n"] == want(r["p"]) for r in df.collect())
 
 
-# --- the compiler's decision table --------------------------------------------------------------------------------------------
+# -- the compiler's decision table
 
 EVENT = "event_id bigint, type string, capsule_id string, node_id string, accesses_per_min bigint, used_bytes bigint, total_bytes bigint, threshold_pct double, reason string, policy string"
 NODE = "node_id string, ord int, zone_type string, zone_name string, available_bytes bigint, used_bytes bigint"
