@@ -10,7 +10,9 @@ with the mean and the variance that the partition's bits have together over all
 
 Codes meet by (partition, route), the route being a few bits of the partition's value. A code is stored under its own route and sent to the routes within the
 threshold, each pair of routes meeting at one of them; the probes of the other bits are made where the codes meet, so a ball of
-thousands of values costs a few rows of shuffle. A pair that meets in several partitions is given by the first alone.
+thousands of values costs a few rows of shuffle. A pair that meets in several partitions is given by the first alone. All 256 bits travel, so pairs are
+verified where they meet. For groups, a task gives no pair that its others already join: of the pairs it finds, the links of each node to the least one of
+its group. The groups are those of all pairs, but a group of k near-copies gives some k links a task, not k squared.
 
 Defined cases. A null or empty text, and a null ``doc_id``, is never a duplicate. A text without any word has itself as
 its only feature, so only equal ones pair up. Rows that share a ``doc_id`` are one document; they stay or go together.
@@ -33,15 +35,17 @@ from pyspark.sql import functions as F
 from quarry.llm import textkit
 from quarry.llm.common import bucket_labels, connected_components, fresh, materialize, small_side
 
-#: Columns of the code that is searched, 64 bits each.
-CODE = ("c0", "c1")
+#: Columns of the code that is searched, and of the one that verifies what is found, 64 bits each.
+CODE, CHECK = ("c0", "c1"), ("c2", "c3")
 #: Bits of 128 (words) and of 128 (word pairs) in which near-duplicates may differ; the first is the radius of the search.
 TAU_WORDS, TAU_PAIRS = 20, 36
 TAU = TAU_WORDS
 #: Nanoseconds of a row sent, a probe and a compared candidate, for the choice of the plan.
-ROW_COST, PROBE_COST, CANDIDATE_COST = 500.0, 15.0, 50.0
-#: Bits of a partition's value that make its route, at least; more where there are more shuffle partitions.
-ROUTE_BITS = 4
+ROW_COST, PROBE_COST, CANDIDATE_COST = 500.0, 60.0, 30.0
+#: Bits of a partition's value that make its route, at least, and the codes that one route should hold on average; more codes have more routes.
+ROUTE_BITS, ROUTE_CODES = 4, 1 << 17
+#: Pairs that a task holds before it reduces them to links.
+PAIRS_AT_ONCE = 1 << 20
 #: Probes, and candidates, that are looked at together.
 AT_ONCE = 1 << 18
 
@@ -204,8 +208,8 @@ def _allocate(cost: np.ndarray, total: int) -> tuple[list[int], float]:
     return ts, c
 
 
-def _route_bits(width: int, parts: int, partitions: int) -> int:
-    return min(width - 1, max(ROUTE_BITS, int(np.ceil(np.log2(max(1, 2 * partitions / parts))))))
+def _route_bits(width: int, n: int) -> int:
+    return min(width - 1, max(ROUTE_BITS, int(np.ceil(np.log2(max(1, n / ROUTE_CODES))))))
 
 
 def plan_partitions(codes: DataFrame, tau: int = TAU, names: Sequence[str] = ("c0",)) -> tuple[list[list[int]], list[int]]:
@@ -220,13 +224,12 @@ def plan_partitions(codes: DataFrame, tau: int = TAU, names: Sequence[str] = ("c
     for r in rows:
         flat[r["at"]] = r["n"]
     both, n = flat[:-1].reshape(width, width), int(flat[-1])
-    partitions = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plans = []
     for m in range(2, min(tau + 1, width // 4) + 1):
         groups, widest = _groups(both, n, m), tau + 2
         cost = np.zeros((m, widest))
         for i, bits in enumerate(groups):
-            near, route = _near(both, n, bits), _route_bits(len(bits), m, partitions)
+            near, route = _near(both, n, bits), _route_bits(len(bits), n)
             for t in range(widest - 1):
                 at = min(t, len(bits))
                 cost[i][t + 1] = n * (ROW_COST * (1 + _ball(route, min(t, route))) / 2 + PROBE_COST * _ball(len(bits), at) / 2 + CANDIDATE_COST * n * near[at] / 2)
@@ -244,13 +247,14 @@ def _value(codes: np.ndarray, bits: list[int]) -> np.ndarray:
 
 def _put(ids: np.ndarray, codes: np.ndarray) -> bytes:
     planes = np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + codes.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + np.ascontiguousarray(codes.T).tobytes())
 
 
 def _take(data: bytes, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, codes [words, n])."""
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
     n = len(raw) // (8 + 8 * words)
-    return np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.int64).ravel(), raw[8 * n :].view(np.uint64).reshape(n, words)
+    return np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.int64).ravel(), raw[8 * n :].view(np.uint64).reshape(words, n)
 
 
 _SENT = "label int, part int, route int, kind int, sender int, data binary"
@@ -279,11 +283,31 @@ def _sender(used: list[tuple[int, list[int], list[int], int]], labels: np.ndarra
     return run
 
 
-def _meeting(used: list[tuple[int, list[int], list[int], int]], tau: int, words: int):
-    """(a, b) of all codes that meet under a route within the threshold, differ in at most ``tau`` bits, and don't meet in an earlier partition."""
-    masks = [np.array([sum(1 << (b % 64) for b in bits if b // 64 == i) for i in range(words)], dtype=np.uint64) for bits, *_ in used]
+def _links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, other): of the groups that the pairs join, each other node with the least one."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while len(x):
+        p, q = least[x], least[y]
+        apart = p != q
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(least, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(least, further := least[least]):
+            least = further
+    other = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[least[other]], nodes[other]
 
-    def pairs(k: int, stored: tuple, probing: tuple, radius: int, own: bool) -> Iterator[pa.RecordBatch]:
+
+def _meeting(used: list[tuple[int, list[int], list[int], int]], tau: int, words: int, further: tuple[int, int] = (0, 0), links: bool = False):
+    """(a, b) of all codes that meet under a route within the threshold, differ in at most ``tau`` bits, and don't meet in an earlier partition.
+
+    ``further``: columns after the first ``words``, and the bits in which these may differ. With ``links``, what ``_links`` makes of the task's pairs.
+    """
+    masks = [[np.uint64(sum(1 << (b % 64) for b in bits if b // 64 == i)) for i in range(words)] for bits, *_ in used]
+    columns, beyond = further
+
+    def pairs(k: int, stored: tuple, probing: tuple, radius: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, codes, values, table = stored
         p_ids, p_codes, p_values = probing
         flips = _masks(len(used[k][2]), radius)
@@ -302,33 +326,41 @@ def _meeting(used: list[tuple[int, list[int], list[int], int]], tau: int, words:
                 m = n[x:y]
                 p = np.repeat(probe[x:y], m)
                 q = np.repeat(begin[x:y] - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                if own:
-                    once = p_ids[p] < ids[q]
+                if own:  # both are places in the same codes, so each pair comes twice
+                    once = p < q
                     p, q = p[once], q[once]
-                differ = p_codes[p] ^ codes[q]
-                close = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= tau
-                p, q, differ = p[close], q[close], differ[close]
+                # most pairs end at the first column
+                far = np.zeros(len(p), dtype=np.int16)
+                for i in range(words):
+                    far = far + np.bitwise_count(p_codes[i][p] ^ codes[i][q])
+                    close = np.flatnonzero(far <= tau)
+                    p, q, far = p[close], q[close], far[close]
+                if columns and len(p):
+                    close = sum(np.bitwise_count(p_codes[i][p] ^ codes[i][q]).astype(np.int16) for i in range(words, words + columns)) <= beyond
+                    p, q = p[close], q[close]
                 if len(p):
+                    differ = [p_codes[i][p] ^ codes[i][q] for i in range(words)]
                     first = np.ones(len(p), dtype=bool)
                     for j in range(k):
-                        first &= np.bitwise_count(differ & masks[j]).sum(axis=1, dtype=np.int64) > used[j][3]
+                        first &= sum(np.bitwise_count(d & mask).astype(np.int16) for d, mask in zip(differ, masks[j])) > used[j][3]
                     a, b = p_ids[p[first]], ids[q[first]]
+                    a, b = a[a != b], b[a != b]  # rows of one id may have two texts
                     if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                        yield np.minimum(a, b), np.maximum(a, b)
                 x = y
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at, held, stored = None, [], None
 
         def close() -> tuple:
-            ids, codes = (np.concatenate([x[i] for x in held]) for i in range(2))
+            ids, codes = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held], axis=1)
             local = used[at[0]][2]
-            values = _value(codes, local)
+            values = _value(codes.T, local)
             order = np.argsort(values, kind="stable")
             values = values[order]
             # where each value begins; a wide partition's are searched for
             table = np.searchsorted(values, np.arange((1 << len(local)) + 1)) if len(local) <= 18 else None
-            return ids[order], codes[order], values, table
+            return ids[order], codes[:, order], values, table
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -339,55 +371,70 @@ def _meeting(used: list[tuple[int, list[int], list[int], int]], tau: int, words:
                         yield from pairs(at[0], stored, stored[:3], used[at[0]][3], True)
                     at, held, stored = (part, route), [], None
                 if not kind:
-                    held.append(_take(data, words))
+                    held.append(_take(data, words + columns))
                     continue
                 if held:
                     stored = close()
                     held = []
                     yield from pairs(part, stored, stored[:3], used[part][3], True)
                 if stored is not None:
-                    ids, codes = _take(data, words)
-                    yield from pairs(part, stored, (ids, codes, _value(codes, used[part][2])), used[part][3] - (route ^ sender).bit_count(), False)
+                    ids, codes = _take(data, words + columns)
+                    yield from pairs(part, stored, (ids, codes, _value(codes.T, used[part][2])), used[part][3] - (route ^ sender).bit_count(), False)
         if held:
             stored = close()
             yield from pairs(at[0], stored, stored[:3], used[at[0]][3], True)
 
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        held, size, most = [], 0, PAIRS_AT_ONCE
+        for pair in found(batches):
+            held.append(pair)
+            size += len(pair[0])
+            if size > most:
+                held = [_links(*(np.concatenate(x) for x in zip(*held)))]
+                size = len(held[0][0])
+                most = max(PAIRS_AT_ONCE, 2 * size)
+        if held:
+            yield _links(*(np.concatenate(x) for x in zip(*held)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in linked(batches) if links else found(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
     return run
 
 
-def hamming_pairs(codes: DataFrame, tau: int = TAU, plan: tuple[list[list[int]], list[int]] | None = None, names: Sequence[str] = ("c0",)) -> DataFrame:
+def hamming_pairs(codes: DataFrame, tau: int = TAU, plan: tuple[list[list[int]], list[int]] | None = None, names: Sequence[str] = ("c0",), further: tuple[Sequence[str], int] = ((), 0), links: bool = False) -> DataFrame:
     """(a, b), a < b, each once, of all ids whose codes differ in at most ``tau`` bits; ``codes(id, *names)`` has distinct ids.
 
-    One shuffle by (partition, route) finds all pairs; none is capped.
+    One shuffle by (partition, route) finds all pairs; none is capped. ``further``: more columns, and the bits in which they may differ. With ``links``, not all
+    pairs but enough of them, or of pairs that they imply, to make the same groups; one may come from several tasks.
     """
     groups, thresholds = plan or plan_partitions(codes, tau, names)
     spark = codes.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions, n = int(spark.conf.get("spark.sql.shuffle.partitions")), codes.count()
     used = []
     for bits, t in zip(groups, thresholds):
         if t >= 0:
-            route = bits[: _route_bits(len(bits), len(groups), partitions)]
+            route = bits[: _route_bits(len(bits), n)]
             used.append((bits, route, bits[len(route) :], t))
-    sent = codes.select("id", *names).mapInArrow(_sender(used, bucket_labels(spark, partitions)), _SENT).repartition(partitions, "label")
-    return sent.sortWithinPartitions("label", "part", "route", "kind").select("label", "part", "route", "kind", "sender", "data").mapInArrow(textkit.releasing(_meeting(used, tau, len(names))), "a long, b long")
+    sent = codes.select("id", *names, *further[0]).mapInArrow(_sender(used, bucket_labels(spark, partitions)), _SENT).repartition(partitions, "label")
+    meeting = _meeting(used, tau, len(names), (len(further[0]), further[1]), links)
+    return sent.sortWithinPartitions("label", "part", "route", "kind").select("label", "part", "route", "kind", "sender", "data").mapInArrow(textkit.releasing(meeting), "a long, b long")
 
 
-def near_duplicate_pairs(docs: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
-    """(distinct codes with their first document, verified pairs of those documents); see the module."""
+def near_duplicate_pairs(docs: DataFrame, tau: int = TAU, links: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(distinct codes with their first document, verified pairs of those documents, or links that make the same groups); see the module."""
     codes = materialize(simhash_codes(docs), "simhash-codes")
     # equal codes are one node; its members hang on the first document
     nodes = materialize(codes.groupBy("c0", "c1", "c2", "c3").agg(F.min("doc_id").alias("id")), "simhash-nodes")
-    found = hamming_pairs(nodes, tau, names=CODE)
-    side = lambda x: nodes.select(F.col("id").alias(x), *[F.col(f"c{i}").alias(f"{x}{i}") for i in range(4)])
-    differ = lambda *at: sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in at[1:]), F.bit_count(F.col(f"a{at[0]}").bitwiseXOR(F.col(f"b{at[0]}"))))
-    pairs = found.join(side("a"), "a").join(side("b"), "b").where((differ(0, 1) <= TAU_WORDS) & (differ(2, 3) <= TAU_PAIRS)).select("a", "b")
+    pairs = hamming_pairs(nodes, tau, names=CODE, further=(CHECK, TAU_PAIRS), links=links)
     members = codes.join(nodes, ["c0", "c1", "c2", "c3"]).select("doc_id", "id").where("doc_id <> id").distinct()
     return members, pairs
 
 
 def duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """(doc_id, kept_doc_id) of every document that another of its group stands for; the smallest id of a group stays."""
-    members, pairs = near_duplicate_pairs(docs, tau)
+    members, pairs = near_duplicate_pairs(docs, tau, links=True)
     roots = materialize(connected_components(pairs, "simhash-components"), "simhash-roots")
     via = members.join(roots, F.col("id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "id").alias("kept_doc_id"))
     return via.unionAll(roots.where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id")))

@@ -91,6 +91,30 @@ def test_the_radius_reaches_what_verification_accepts(spark):
     assert len(found) >= 0.9 * len(accepted)
 
 
+def test_links_make_the_groups_of_all_pairs(spark):
+    rng = random.Random(8)
+    base = words(rng, 400)
+    rows = [(i, " ".join(rng.choice(words(rng, 1)) if rng.random() < 0.015 else w for w in base), "en", "s") for i in range(120)]
+    rows += [(200 + i, " ".join(words(rng, 300)), "en", "s") for i in range(40)]
+    d = docs(spark, rows)
+    pairs, links = (S.near_duplicate_pairs(d, links=x)[1].collect() for x in (False, True))
+    groups = lambda e: {tuple(r) for r in connected_components(spark.createDataFrame([tuple(x) for x in e], "a long, b long")).collect()}
+    assert groups(links) == groups(pairs) == {(i, 0) for i in range(120)}
+    # a task gives one link for a node at most
+    assert len(pairs) > 5000 and len(links) <= 119 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(a < b for a, b in links)
+
+
+def test_links_of_pairs():
+    a, b = S._links(np.array([5, 7, 9, 1, 4, 5]), np.array([7, 9, 11, 2, 4, 9]))
+    assert sorted(zip(a.tolist(), b.tolist())) == [(1, 2), (5, 7), (5, 9), (5, 11)]
+    # a chain in any order
+    order = np.random.default_rng(4).permutation(500)
+    a, b = S._links(order, order + 1)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(0, i) for i in range(1, 501)]
+    assert [len(x) for x in S._links(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] == [0, 0]
+
+
 def test_awkward_documents(spark):
     d = awkward(spark)
     more = d.unionByName(d.where("doc_id in (1, 6)").withColumn("doc_id", F.col("doc_id") + 100))
