@@ -47,6 +47,8 @@ from quarry.llm.common import bucket_labels, materialize, small_side
 MARK = "▁"
 #: Text packed into one block, at least one document; cut into words, and packed as numbers, in smaller parts.
 BLOCK_CHARS, SLICE_CHARS, CHUNK_WORDS = 8 << 20, 1 << 17, 1 << 16
+#: Bytes that a worker sends at once.
+BATCH_BYTES = 1 << 19
 #: Words of so many characters at most are folded in Spark.
 FOLD_CHARS = 60
 NORMAL, UNK, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -194,20 +196,16 @@ def _hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return textkit.mix((sums[starts[1:]] - sums[starts[:-1]]) * textkit._inverse[starts[:-1]])
 
 
-def _buckets(words: list[str], labels: np.ndarray) -> np.ndarray:
-    out = [np.zeros(0, dtype=np.int64)]
-    for a in range(0, len(words), 10_000):
-        own = words[a : a + 10_000]
-        points = np.frombuffer("".join(own).encode("utf-32-le"), dtype=np.uint32)
-        out.append(labels[_hashes(points, np.concatenate(([0], np.cumsum([len(w) for w in own]))).astype(np.int64)) % np.uint64(len(labels))])
-    return np.concatenate(out)
-
-
-def _number(hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, joined: str) -> tuple[np.ndarray, list[str]]:
-    """(number of each word's text, the texts): equal texts have equal numbers. Hashes find them; characters are compared, so collisions do no harm."""
-    _, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-    length = np.diff(starts)
-    model = first[at]
+def _number(hashes: np.ndarray, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word's text, a word of each number): equal texts have equal numbers. Hashes find them; characters are compared, so collisions do no harm."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    order = np.argsort(hashes)
+    own = hashes[order]
+    new = np.concatenate(([True], own[1:] != own[:-1]))
+    first, at = order[new], np.empty(len(order), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    length, model = np.diff(starts), first[at]
     same = bool((length[model] == length).all())
     for a in range(0, len(length) if same else 0, 50_000):
         b = min(a + 50_000, len(length))
@@ -216,20 +214,31 @@ def _number(hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, joined:
             same = False
             break
     if same:
-        return at, [joined[a:b] for a, b in zip(starts[first].tolist(), starts[first + 1].tolist())]
-    numbers: dict[str, int] = {}
-    at = np.array([numbers.setdefault(joined[a:b], len(numbers)) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())], dtype=np.int64)
-    return at, list(numbers)
+        return at, first
+    numbers: dict[bytes, int] = {}
+    at = np.array([numbers.setdefault(points[a:b].tobytes(), len(numbers)) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())], dtype=np.int64)
+    return at, np.unique(at, return_index=True)[1]
+
+
+def _characters(points: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the characters of these words in a row, the length of each)."""
+    n = starts[which + 1] - starts[which]
+    return points[np.repeat(starts[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
 
 def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=8).digest()
 
 
+@lru_cache(maxsize=4)
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays in one compressed run of bytes; whole numbers of four bytes go by planes, which pack best."""
     parts = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() if x.itemsize == 4 else x.tobytes() for x in arrays]
-    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return struct.pack(f"<{len(parts)}I", *map(len, parts)) + _compressor(3).compress(b"".join(parts))
 
 
 def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
@@ -246,7 +255,7 @@ def _list(words: list[str]) -> bytes:
     text = "\x00".join(words)
     if "\x01" in text or text.count("\x00") != len(words) - 1:
         text = "\x00".join(w.replace("\x01", "\x01b").replace("\x00", "\x01a") for w in words)
-    return zstandard.ZstdCompressor(level=9).compress(text.encode())
+    return _compressor(9).compress(text.encode())
 
 
 def _unlist(data: bytes) -> list[str]:
@@ -262,16 +271,20 @@ _names = lambda schema: [c.split(" ")[0] for c in schema.split(", ")]  # noqa: E
 
 
 class _Block:
-    """What is known of the block that is being packed."""
+    """What is known of the block that is being packed: each slice's distinct words, and where the text has them."""
 
     def __init__(self):
-        self.numbers: dict[str, int] = {}
+        self.hashes: list[np.ndarray] = [np.zeros(0, dtype=np.uint64)]
+        self.points: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)]
+        self.lengths: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
+        self.known = 0
         self.digest = hashlib.blake2b(digest_size=8)
         self.size = 0
         self.ids: list[int | None] = []
         self.counts: list[int] = []
         self.texts: list[bytes] = []
         self.words: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
 
     def add(self, cutter: Cutter, ids: list, texts: list, keep: bool) -> None:
         first = len(self.counts)
@@ -280,42 +293,57 @@ class _Block:
         if keep:
             self.texts += [_digest((t or "").encode()) for t in texts]
         self.digest.update(repr(ids).encode())
-        for text, points, starts, counts in cutter.parts([t or "" for t in texts]):
+        for _, points, starts, counts in cutter.parts([t or "" for t in texts]):
             self.digest.update(points)
             for i in np.flatnonzero(counts).tolist():
                 self.counts[first + i] += int(counts[i])
             if len(starts) > 1:
-                at, words = _number(_hashes(points, starts), points, starts, text)
-                own = np.fromiter((self.numbers.setdefault(w, len(self.numbers)) for w in words), dtype=np.uint32, count=len(words))
+                hashes = _hashes(points, starts)
+                at, which = _number(hashes, points, starts)
+                own, lengths = _characters(points, starts, which)
+                self.hashes.append(hashes[which])
+                self.points.append(own)
+                self.lengths.append(lengths)
                 if keep:
-                    self.words.append(own[at])
+                    self.words.append((at + self.known).astype(np.uint32))
+                    self.times.append(np.bincount(at, minlength=len(which)))
+                self.known += len(which)
         self.size += sum(len(t or "") for t in texts)
 
-    def order(self, labels: np.ndarray) -> tuple[list[str], list[int], list[int]]:
-        """(words, bucket of each, the order in which they are asked for: by bucket and text)."""
-        words = list(self.numbers)
-        home = _buckets(words, labels).tolist()
-        return words, home, sorted(range(len(words)), key=lambda i: (home[i], words[i]))
+    def order(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each slice's word in the block; by number, in the order in which they are asked for, by bucket and text: bucket, characters in a row and lengths; that order)."""
+        hashes, points, lengths = (np.concatenate(x) for x in (self.hashes, self.points, self.lengths))
+        self.hashes, self.points, self.lengths = [], [], []
+        starts = np.concatenate(([0], np.cumsum(lengths)))
+        at, which = _number(hashes, points, starts)
+        home = labels[hashes[which] % np.uint64(len(labels))]
+        # by the first eight characters, which is enough for lists that pack well; equal ones as they are numbered
+        keys, n = [], lengths[which]
+        for a in (4, 0):
+            key = np.zeros(len(which), dtype=np.uint64)
+            for i in range(a, a + 4):
+                there = n > i
+                key[there] |= np.minimum(points[starts[which[there]] + i], 65_535).astype(np.uint64) << np.uint64(16 * (a + 3 - i))
+            keys.append(key)
+        order = np.lexsort((*keys, home))
+        return at, home[order], *_characters(points, starts, which[order]), order
 
     def asks(self, labels: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        words, home, order = self.order(labels)
-        begin, own = 0, self.digest.digest()
-        while begin < len(order):
-            end = begin
-            while end < len(order) and home[order[end]] == home[order[begin]]:
-                end += 1
-            yield home[order[begin]], own + _list([words[i] for i in order[begin:end]])
-            begin = end
+        _, home, points, lengths, _ = self.order(labels)
+        own, text = self.digest.digest(), points.tobytes().decode("utf-32-le")
+        ends = np.cumsum(lengths)
+        words = [text[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist())]
+        edge = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1], [True]))) if len(home) else [0]
+        for a, b in zip(edge[:-1], edge[1:]):
+            yield int(home[a]), own + _list(words[a:b])
 
     def rows(self, labels: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         """(kind, place, data): the words' counts, in the order asked for, then the documents in chunks. Frequent words get small numbers, which pack best."""
-        _, _, order = self.order(labels)
-        times = np.zeros(len(order), dtype=np.int64)
-        for own in self.words:
-            times += np.bincount(own, minlength=len(order))
-        asked = times[order]
+        at, *_, order = self.order(labels)
+        asked = np.bincount(at, np.concatenate([np.zeros(0), *self.times]), minlength=len(order)).astype(np.int64)[order]
         rank = np.zeros(len(order), dtype=np.uint32)
-        rank[np.array(order, dtype=np.int64)] = _ranks(asked)
+        rank[order] = _ranks(asked)
+        rank = rank[at]
         yield 1, 0, self.digest.digest() + _pack(asked.astype(np.uint32))
         counts = np.array(self.counts, dtype=np.int32)
         ends = np.cumsum(np.maximum(counts, 0))
@@ -343,13 +371,26 @@ def _ranks(times: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _together(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows whose last column has some ``BATCH_BYTES`` together, at least one."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= BATCH_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def _packer(cutter: Cutter, labels: np.ndarray, asks: bool):
     """A block's distinct words by bucket (``asks``), or its rows of kinds 1 and 2."""
 
     def flush(block: _Block, name: int) -> Iterator[pa.RecordBatch]:
-        for row in block.asks(labels) if asks else block.rows(labels):
-            head = [pa.array([name], pa.int64()), *(pa.array([x], pa.int32()) for x in row[:-1])]
-            yield pa.RecordBatch.from_arrays([*head, pa.array([row[-1]], pa.binary())], _names(_ASKS if asks else _BLOCKS))
+        for rows in _together(block.asks(labels) if asks else block.rows(labels)):
+            *head, data = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.int64()), *(pa.array(x, pa.int32()) for x in head), pa.array(data, pa.binary())], _names(_ASKS if asks else _BLOCKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, name = _Block(), TaskContext.get().partitionId() << 32
@@ -509,6 +550,12 @@ _MEET = "bucket int, kind int, block long, word string, ids array<int>, data bin
 def _answer(wide):
     """Each block's list for a bucket, answered in its order: lengths and ids. A bucket's words (kind 0) come before its lists (kind 1); words that have no ids yet are encoded here."""
 
+    def answers(known: _Words, part: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+        for block, data in zip(part.column(2).to_pylist(), part.column(5).to_pylist()):
+            words = _unlist(data[8:])
+            n, ids = known.of(np.fromiter(map(known.place.__getitem__, words), dtype=np.int64, count=len(words)))
+            yield block, data[:8] + _pack(n.astype(np.uint32), ids)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, known, listed = None, _Words(), False
         for batch in batches:
@@ -527,10 +574,9 @@ def _answer(wide):
                 if not listed:
                     known.close()
                     listed = True
-                for block, data in zip(part.column(2).to_pylist(), part.column(5).to_pylist()):
-                    words = _unlist(data[8:])
-                    n, ids = known.of(np.fromiter((known.place[w] for w in words), dtype=np.int64, count=len(words)))
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data[:8] + _pack(n.astype(np.uint32), ids)], pa.binary())], _names(_BLOCKS))
+                for rows in _together(answers(known, part)):
+                    blocks, data = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([bucket] * len(rows), pa.int32()), pa.array(data, pa.binary())], _names(_BLOCKS))
 
     return run
 
@@ -547,14 +593,15 @@ def _unblock(v: Vocabulary):
         missing, doc_ids, counts, digests, seq = _unpack(data, np.bool_, np.int64, np.int32, np.uint8, np.uint32)
         lengths, ids = words.of(seq.astype(np.int64))
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(np.maximum(counts, 0))))]
-        same = []
-        for a, b, digest in zip(ends[:-1].tolist(), ends[1:].tolist(), digests.reshape(-1, 8)):
-            text = []
-            for at in range(a, b, CHUNK_WORDS):
-                own = ids[at : min(b, at + CHUNK_WORDS)]
-                n = piece_size[own]
-                text.append(pieces[np.repeat(piece_at[own] - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(n.sum(), dtype=np.int32)].tobytes())
-            same.append(_digest(b"".join(text)[skip:]) == digest.tobytes())
+        text = []
+        for at in range(0, len(ids), CHUNK_WORDS):
+            own = ids[at : at + CHUNK_WORDS]
+            n = piece_size[own]
+            text.append(pieces[np.repeat(piece_at[own] - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(n.sum(), dtype=np.int32)])
+        text = memoryview(np.concatenate(text)) if text else memoryview(b"")
+        to = np.concatenate(([0], np.cumsum(piece_size[ids], dtype=np.int64)))[ends].tolist()
+        digests = digests.tobytes()
+        same = [_digest(text[min(a + skip, b) : b]) == digests[8 * i : 8 * i + 8] for i, (a, b) in enumerate(zip(to[:-1], to[1:]))]
         null = counts < 0
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), mask=np.append(null, False)), pa.array(ids, pa.int32()))
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=missing), lists, pa.array(same, pa.bool_(), mask=null)], ["doc_id", "ids", "round_trip"])

@@ -3,8 +3,10 @@
 import math
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -180,6 +182,41 @@ def test_equal_blocks_stay_apart(spark, monkeypatch, tmp_path):
         assert sorted((tuple(r) for r in P.encode(df, MODEL).collect()), key=repr) == want
 
 
+def packed(texts, buckets):
+    """The batches of words asked for and of rows, and the texts that they say, of one task."""
+    cutter, labels = P.Cutter(P.load(MODEL)), np.arange(buckets)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])]
+    asks, rows = (list(P._packer(cutter, labels, x)(iter(batches))) for x in (True, False))
+    asked = [w for b in asks for x in b.column(2).to_pylist() for w in P._unlist(x[8:])]
+    (head,) = [x for b in rows for k, x in zip(b.column(1).to_pylist(), b.column(3).to_pylist()) if k == 1]
+    (times,) = P._unpack(head[8:], np.uint32)
+    words = [asked[i] for i in np.argsort(P._ranks(times.astype(np.int64)))]
+    said = []
+    for data in (x for b in rows for k, x in zip(b.column(1).to_pylist(), b.column(3).to_pylist()) if k == 2):
+        _, _, counts, _, seq = P._unpack(data, np.bool_, np.int64, np.int32, np.uint8, np.uint32)
+        ends = np.cumsum(np.maximum(counts, 0))
+        said += ["".join(words[i] for i in seq[e - max(n, 0) : e]) for n, e in zip(counts, ends)]
+    assert len(asked) == len(set(asked)) and times.sum() == sum(map(len, [cutter.words(P.MARK + t.replace(" ", P.MARK), np.array([0]))[1][1:] for t in texts if t]))
+    return asks, rows, said
+
+
+def test_blocks_say_their_texts_even_if_hashes_collide(monkeypatch):
+    monkeypatch.setattr(P, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(P, "SLICE_CHARS", 300)
+    monkeypatch.setattr(P, "CHUNK_WORDS", 50)
+    texts = ["the cat sat on the mat", "", "zz \x00 \x01 \U0001f600 end", "aaaaaaaab aaaaaaaac aaaaaaaa"] + [f"word{i % 7} and the garden{i}" for i in range(90)]
+    want = [P.MARK + t.replace(" ", P.MARK) if t else "" for t in texts]
+    asks, rows, said = packed(texts, 4)
+    assert said == want
+    # all lists of a block are sent together, and so are its rows
+    assert len(asks) == len(rows) == 1 and asks[0].num_rows == 4
+    monkeypatch.setattr(P, "BATCH_BYTES", 1)
+    asks, rows, said = packed(texts, 4)
+    assert said == want and len(asks) == 4
+    monkeypatch.setattr(P, "_hashes", lambda points, starts: np.full(len(starts) - 1, 5, dtype=np.uint64))
+    assert packed(texts, 4)[2] == want
+
+
 def test_unigram_models_are_folded_by_viterbi(spark):
     pieces = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.2, "▁a": -3.1, "ba": -4.0, "▁ab": -6.0, "bb": -4.6}
     v = P.Vocabulary(("<unk>", *pieces), (0.0, *pieces.values()), (P.UNK, *[P.NORMAL] * len(pieces)), False, True)
