@@ -30,9 +30,9 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def bucket_labels(spark: SparkSession, n: int) -> np.ndarray:
-    """For each of ``n`` partitions a number that Spark's hash puts there, so that every bucket has a partition of its own."""
-    tried = spark.range(0, 40 * n + 400, 1, 1).select(F.col("id").cast("int").alias("b")).groupBy(F.pmod(F.hash("b"), F.lit(n)).alias("p")).agg(F.min("b").alias("b"))
+def bucket_labels(spark: SparkSession, n: int, kind: str = "int") -> np.ndarray:
+    """For each of ``n`` partitions a number that Spark's hash, of its ``kind``, puts there, so that every bucket has a partition of its own."""
+    tried = spark.range(0, 40 * n + 400, 1, 1).select(F.col("id").cast(kind).alias("b")).groupBy(F.pmod(F.hash("b"), F.lit(n)).alias("p")).agg(F.min("b").alias("b"))
     return np.array([r["b"] for r in tried.orderBy("p").collect()], dtype=np.int64)
 
 

@@ -13,9 +13,9 @@ matches are the edges of the word's lattice, grouped by word and folded with a h
 Documents aren't shuffled by word. Each is packed, in blocks of about ``BLOCK_CHARS`` of text, as numbers into its
 block's own word list; the lists ask for their words' ids, and the answers meet the documents by block. What moves is little more than a
 byte for each word of text, and compressed lists. Both meetings are streams sorted within a partition, so that no task holds more than one bucket's
-words, or one block's answers and some documents. Texts are read twice, once for the lists and once for the numbers, which costs less than
-keeping both. A block is named by its scan partition and its place there and carries a digest of its content, so blocks of equal content stay apart and
-either reading makes the same blocks, as does a task that is run again; an input that isn't a plain scan is written to the shared folder first. A block
+words, or one block's answers and some documents. Texts are read once: lists and numbers go through one shuffle, which is then read for the words, for the
+lists and for the documents. A block is named by its scan partition and its place there and carries a digest of its content, so blocks of equal content stay
+apart and a task that is run again makes the same blocks; an input that isn't a plain scan is written to the shared folder first. A block
 without all its answers, or with another reading's, is an error.
 
 Defined cases. A null text has null ids; an empty one has none. Texts are encoded whole, at any length: a long one is cut into words
@@ -32,6 +32,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -267,6 +268,9 @@ def _unlist(data: bytes) -> list[str]:
 #: Rows of a block: kind 0 answers, by bucket; kind 1 its head; kind 2 documents, in order.
 _BLOCKS = "block long, kind int, place int, data binary"
 _ASKS = "block long, bucket int, data binary"
+#: Kind 3, lists of words, at home in their bucket; rows of a block, at home where the block is.
+_PACKED = "home long, block long, kind int, place int, data binary"
+ASK = 3
 _names = lambda schema: [c.split(" ")[0] for c in schema.split(", ")]
 
 
@@ -280,6 +284,7 @@ class _Block:
         self.known = 0
         self.digest = hashlib.blake2b(digest_size=8)
         self.size = 0
+        self.ordered: tuple | None = None
         self.ids: list[int | None] = []
         self.counts: list[int] = []
         self.texts: list[bytes] = []
@@ -312,6 +317,8 @@ class _Block:
 
     def order(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(number of each slice's word in the block; by number, in the order in which they are asked for, by bucket and text: bucket, characters in a row and lengths; that order)."""
+        if self.ordered is not None:
+            return self.ordered
         hashes, points, lengths = (np.concatenate(x) for x in (self.hashes, self.points, self.lengths))
         self.hashes, self.points, self.lengths = [], [], []
         starts = np.concatenate(([0], np.cumsum(lengths)))
@@ -326,7 +333,8 @@ class _Block:
                 key[there] |= np.minimum(points[starts[which[there]] + i], 65_535).astype(np.uint64) << np.uint64(16 * (a + 3 - i))
             keys.append(key)
         order = np.lexsort((*keys, home))
-        return at, home[order], *_characters(points, starts, which[order]), order
+        self.ordered = at, home[order], *_characters(points, starts, which[order]), order
+        return self.ordered
 
     def asks(self, labels: np.ndarray) -> Iterator[tuple[int, bytes]]:
         _, home, points, lengths, _ = self.order(labels)
@@ -384,10 +392,16 @@ def _together(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield held
 
 
-def _packer(cutter: Cutter, labels: np.ndarray, asks: bool):
-    """A block's distinct words by bucket (``asks``), or its rows of kinds 1 and 2."""
+def _packer(cutter: Cutter, labels: np.ndarray, asks: bool | None = None):
+    """A block's distinct words by bucket (``asks``), or its rows of kinds 1 and 2; by default both, each with its home."""
 
     def flush(block: _Block, name: int) -> Iterator[pa.RecordBatch]:
+        if asks is None:
+            both = chain(((home, ASK, 0, data) for home, data in block.asks(labels)), ((name, *row) for row in block.rows(labels)))
+            for rows in _together(both):
+                home, kind, place, data = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), pa.array([name] * len(rows), pa.int64()), pa.array(kind, pa.int32()), pa.array(place, pa.int32()), pa.array(data, pa.binary())], _names(_PACKED))
+            return
         for rows in _together(block.asks(labels) if asks else block.rows(labels)):
             *head, data = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.int64()), *(pa.array(x, pa.int32()) for x in head), pa.array(data, pa.binary())], _names(_ASKS if asks else _BLOCKS))
@@ -419,13 +433,13 @@ def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct words of the lists in a batch."""
     for batch in batches:
         words: dict[int, dict[str, None]] = {}
-        for bucket, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist()):
             words.setdefault(bucket, {}).update(dict.fromkeys(_unlist(data[8:])))
         for bucket, own in words.items():
             each = list(own)
             for a in range(0, len(each), 20_000):
                 part = each[a : a + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(part), pa.int32()), pa.array(part, pa.string())], ["bucket", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(part), pa.int64()), pa.array(part, pa.string())], ["bucket", "word"])
 
 
 def _long_encoder(v: Vocabulary, by_score: bool = False):
@@ -482,32 +496,40 @@ def word_ids(words: DataFrame, v: Vocabulary) -> DataFrame:
     """(bucket, word, ids) of the distinct ``words(bucket, word)``, by lattice and fold; ids are null above ``FOLD_CHARS`` characters of a BPE model."""
     spark = words.sparkSession
     pieces = piece_table(spark, v)
-    short = words.where(F.length("word") <= FOLD_CHARS) if v.bpe else words
-    spans = short.selectExpr("bucket", "word", "length(word) as n", "explode(sequence(0, length(word) - 1)) as s").selectExpr("bucket", "word", "n", "s", f"explode(sequence(s + 1, least(n, s + {v.longest}))) as e")
+    # a word that is too wide for the mask goes along with its first character only, so that ``words`` isn't made twice
+    n = f"if(length(word) <= {FOLD_CHARS}, length(word), 1)" if v.bpe else "length(word)"
+    spans = words.selectExpr("bucket", "word", f"{n} as n").selectExpr("bucket", "word", "n", "explode(sequence(0, n - 1)) as s").selectExpr("bucket", "word", "n", "s", f"explode(sequence(s + 1, least(n, s + {v.longest}))) as e")
     spans = spans.selectExpr("bucket", "word", "n", "s", "e", "substring(word, s + 1, e - s) as piece")
     # a single character always has an edge, if only one without a piece; all stays where ``distinct`` put the word
     found = spans.join(small_side(pieces, len(v.pieces), 64), "piece", "left").where("id is not null or e - s = 1")
     bytes_at = v.kinds.index(BYTE) if BYTE in v.kinds else None
-    at = "substring(word, x.s + 1, 1)"
+    at = "substring(word, {s} + 1, 1)"
+    # for the place ``{s}`` of a character without a piece
     fallback = f"array({v.unk})" if bytes_at is None else f"transform(sequence(1, octet_length({at})), k -> {bytes_at} + cast(conv(substring(hex(encode({at}, 'UTF-8')), 2 * k - 1, 2), 16, 10) as int))"
     if v.bpe:
         # an edge is one number, in the order of merging: place of the rank, start, length, piece (0 for none)
         edge = "coalesce(place, 0L) * 4294967296 + s * 67108864L + (e - s) * 1048576L + coalesce(id + 1, 0)"
-        edges = found.selectExpr("bucket", "word", f"{edge} as edge").groupBy("bucket", "word").agg(F.collect_list("edge").alias("edges"))
-        start, length, piece = "cast(shiftright(x, 26) & 63 as int)", "cast(shiftright(x, 20) & 63 as int)", "cast(nullif((x & 1048575) - 1, -1) as int)"
-        merges = edges.selectExpr(
-            "bucket", "word",
-            f"sort_array(transform(filter(edges, x -> {length} = 1), x -> struct({start} as s, 1L as ends, 0L as inner, {piece} as id))) as chars",
-            f"transform(sort_array(filter(edges, x -> {length} > 1)), x -> struct({start} as s, shiftleft(1L, {start}) | shiftleft(1L, {start} + {length}) as ends, shiftleft(shiftleft(1L, {length} - 1) - 1L, {start} + 1) as inner, {piece} as id)) as merges",
-        )
-        # The cuts: bit i is set if a symbol begins at i. Edges come in rank order. One that spans a single cut merges; one that spans
-        # more waits, and is looked at again after every later merge, since merging may have brought it to a single cut.
-        one = lambda cuts, x: f"({cuts} & {x}.ends) = {x}.ends and bit_count({cuts} & {x}.inner) = 1"
-        settle = f"if(size(a.wait) = 0, a.cuts & ~x.inner, aggregate(a.wait, a.cuts & ~x.inner, (m, _i) -> m & ~coalesce(get(filter(a.wait, y -> {one('m', 'y')}), 0).inner, 0L)))"
-        step = f"case when (a.cuts & x.ends) <> x.ends or bit_count(a.cuts & x.inner) = 0 then a when bit_count(a.cuts & x.inner) = 1 then named_struct('cuts', {settle}, 'wait', a.wait) else named_struct('cuts', a.cuts, 'wait', concat(a.wait, array(x))) end"
-        cuts = merges.selectExpr("bucket", "word", "chars", "merges", f"aggregate(merges, named_struct('cuts', shiftleft(1L, size(chars) + 1) - 1L, 'wait', slice(merges, 1, 0)), (a, x) -> {step}, a -> a.cuts) as cuts")
-        final = "concat(filter(merges, x -> (cuts & x.ends) = x.ends and (cuts & x.inner) = 0), filter(chars, x -> (cuts & shiftleft(3L, x.s)) = shiftleft(3L, x.s)))"
-        folded = cuts.selectExpr("bucket", "word", f"flatten(transform(sort_array({final}), x -> if(x.id is not null, array(x.id), {fallback}))) as ids")
+        edges = found.selectExpr("bucket", "word", "n", f"{edge} as edge", "e - s > 1 as wide").groupBy("bucket", "word", "n").agg(F.collect_list(F.expr("if(wide, null, edge)")).alias("chars"), F.sort_array(F.collect_list(F.expr("if(wide, edge, null)"))).alias("merges"))
+        start, length = (lambda x: f"cast(shiftright({x}, 26) & 63 as int)"), (lambda x: f"cast(shiftright({x}, 20) & 63 as int)")
+        # The cuts: bit i is set if a symbol begins at i. ``seen`` are those from an edge's start on, up to its end; it merges if they
+        # are its two ends and one between.
+        seen = lambda cuts, x: f"(shiftright({cuts}, {start(x)}) & (shiftleft(2L, {length(x)}) - 1))"
+        ends = lambda x: f"(shiftleft(1L, {length(x)}) + 1)"
+        both = lambda cuts, x: f"(shiftright({cuts}, {start(x)}) & {ends(x)}) = {ends(x)}"
+        one = lambda cuts, x: f"bit_count({seen(cuts, x)}) = 3 and {both(cuts, x)}"
+        without = lambda cuts, x: f"{cuts} & ~shiftleft(shiftleft(1L, {length(x)} - 1) - 1, {start(x)} + 1)"
+        # Edges come in rank order. One that spans a single cut merges; one that spans more would wait, and be looked at again after
+        # every later merge, since merging may have brought it to a single cut. Few words have any that waits: their first fold sets bit
+        # 62, which is no cut, and they are folded again with the edges that wait.
+        first = f"aggregate(merges, shiftleft(1L, n + 1) - 1, (a, x) -> case when bit_count({seen('a', 'x')}) < 3 or not ({both('a', 'x')}) then a when bit_count({seen('a', 'x')}) = 3 then {without('a', 'x')} else a | shiftleft(1L, 62) end)"
+        settle = f"aggregate(a.wait, {without('a.cuts', 'x')}, (m, _i) -> coalesce(get(transform(filter(a.wait, y -> {one('m', 'y')}), y -> {without('m', 'y')}), 0), m))"
+        step = f"case when bit_count({seen('a.cuts', 'x')}) < 3 or not ({both('a.cuts', 'x')}) then a when bit_count({seen('a.cuts', 'x')}) = 3 then named_struct('cuts', {settle}, 'wait', a.wait) else named_struct('cuts', a.cuts, 'wait', concat(a.wait, array(x))) end"
+        again = f"aggregate(merges, named_struct('cuts', shiftleft(1L, n + 1) - 1, 'wait', slice(merges, 1, 0)), (a, x) -> {step}, a -> a.cuts)"
+        cuts = edges.selectExpr("bucket", "word", "n", "chars", "merges", f"{first} as once").selectExpr("bucket", "word", "n", "chars", "merges", f"if(once >= shiftleft(1L, 62), {again}, once) as cuts")
+        # without its rank an edge stands in the order of the text
+        used = cuts.selectExpr("bucket", "word", "n", f"sort_array(transform(filter(concat(merges, chars), x -> {seen('cuts', 'x')} = {ends('x')}), x -> x & 4294967295)) as used")
+        piece = "cast((x & 1048575) - 1 as int)"
+        return used.selectExpr("bucket", "word", f"case when n < length(word) then null when exists(used, x -> (x & 1048575) = 0) then flatten(transform(used, x -> if((x & 1048575) > 0, array({piece}), {fallback.format(s=start('x'))}))) else transform(used, x -> {piece}) end as ids")
     else:
         worst = max(-s for s, k in zip(v.scores, v.kinds) if k in (NORMAL, USER)) + 10
         # the edges by their end, so that each is looked at once
@@ -516,10 +538,7 @@ def word_ids(words: DataFrame, v: Vocabulary) -> DataFrame:
         best = f"array_min(transform(x.edges, y -> struct(acc[y.s].cost + coalesce(y.rank, {worst}D) as cost, y.s as s, y.id as id)))"
         folded = ends.selectExpr("bucket", "word", f"aggregate(ends, array(struct(0D as cost, 0 as s, cast(null as int) as id)), (acc, x) -> concat(acc, array({best}))) as best")
         folded = folded.selectExpr("bucket", "word", "aggregate(sequence(1, length(word)), named_struct('at', length(word), 'path', cast(array() as array<struct<cost:double,s:int,id:int>>)), (a, _i) -> if(a.at = 0, a, named_struct('at', best[a.at].s, 'path', concat(array(best[a.at]), a.path)))).path as path")
-        return folded.selectExpr("bucket", "word", f"flatten(transform(path, x -> if(x.id is not null, array(x.id), {fallback}))) as ids")
-
-    # words that are too wide have no ids yet
-    return folded.unionAll(words.where(F.length("word") > FOLD_CHARS).select("bucket", "word", F.lit(None).cast("array<int>").alias("ids")))
+        return folded.selectExpr("bucket", "word", f"flatten(transform(path, x -> if(x.id is not null, array(x.id), {fallback.format(s='x.s')}))) as ids")
 
 
 class _Words:
@@ -544,11 +563,8 @@ class _Words:
         return n, self.ids[np.repeat(self.offset[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
-_MEET = "bucket int, kind int, block long, word string, ids array<int>, data binary"
-
-
 def _answer(wide):
-    """Each block's list for a bucket, answered in its order: lengths and ids. A bucket's words (kind 0) come before its lists (kind 1); words that have no ids yet are encoded here."""
+    """Each block's list for a bucket, answered in its order: lengths and ids. A bucket's words (kind 0) come before its lists; words that have no ids yet are encoded here."""
 
     def answers(known: _Words, part: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
         for block, data in zip(part.column(2).to_pylist(), part.column(5).to_pylist()):
@@ -576,7 +592,7 @@ def _answer(wide):
                     listed = True
                 for rows in _together(answers(known, part)):
                     blocks, data = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([bucket] * len(rows), pa.int32()), pa.array(data, pa.binary())], _names(_BLOCKS))
+                    yield pa.RecordBatch.from_arrays([*[pa.array(blocks, pa.int64())] * 2, pa.array([0] * len(rows), pa.int32()), pa.array([bucket] * len(rows), pa.int32()), pa.array(data, pa.binary())], _names(_PACKED))
 
     return run
 
@@ -610,7 +626,7 @@ def _unblock(v: Vocabulary):
         block, words, marks, ready = None, _Words(), set(), False
         for batch in batches:
             for i in range(batch.num_rows):
-                name, kind, data = (batch.column(k)[i].as_py() for k in (0, 1, 3))
+                name, kind, data = (batch.column(k)[i].as_py() for k in (1, 2, 4))
                 if name != block:
                     block, words, marks, ready = name, _Words(), set(), False
                 if kind == 0:
@@ -650,17 +666,18 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     if not _is_scan(slim):
         slim = materialize(slim, "piece-input")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labels = bucket_labels(docs.sparkSession, buckets)
+    labels = bucket_labels(docs.sparkSession, buckets, "long")
     # everything about words stays where the bucket is: only lists and distinct words move
-    asks = slim.mapInArrow(textkit.releasing(_packer(cutter, labels, True)), _ASKS).repartition(buckets, "bucket")
-    words = asks.mapInArrow(textkit.releasing(_all_words), "bucket int, word string").repartition(buckets, "bucket").distinct()
-    known = word_ids(words, v).selectExpr("bucket", "0 as kind", "cast(null as long) as block", "word", "ids", "cast(null as binary) as data")
-    lists = asks.selectExpr("bucket", "1 as kind", "block", "cast(null as string) as word", "cast(null as array<int>) as ids", "data")
+    packed = slim.mapInArrow(textkit.releasing(_packer(cutter, labels)), _PACKED).repartition(buckets, "home")
+    # The condition is one that isn't moved below the shuffle, and every column is used: else there would be a shuffle, and a reading of the texts, for each use.
+    asks, rows = (packed.where(f"(kind + cast(rand(0) as int) = {ASK}) = {x}") for x in ("true", "false"))
+    words = asks.mapInArrow(textkit.releasing(_all_words), "bucket long, word string").repartition(buckets, "bucket").distinct()
+    known = word_ids(words, v).selectExpr("bucket", "0 as kind", "cast(null as long) as block", "word", "ids", "cast(null as binary) as data", "0 as place")
+    lists = asks.selectExpr("home as bucket", "kind", "block", "cast(null as string) as word", "cast(null as array<int>) as ids", "data", "place")
     met = known.unionAll(lists).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    answers = met.mapInArrow(textkit.releasing(_answer(_long_encoder(v))), _BLOCKS)
-    packed = slim.mapInArrow(textkit.releasing(_packer(cutter, labels, False)), _BLOCKS)
+    answers = met.mapInArrow(textkit.releasing(_answer(_long_encoder(v))), _PACKED)
     # each side is shuffled before they meet: a block's name is its partition's number, which a union would change
-    blocks = answers.repartition(buckets, "block").unionAll(packed.repartition(buckets, "block")).repartition(buckets, "block").sortWithinPartitions("block", "kind", "place")
+    blocks = answers.repartition(buckets, "home").unionAll(rows).repartition(buckets, "home").sortWithinPartitions("home", "kind", "place")
     return blocks.mapInArrow(textkit.releasing(_unblock(v)), "doc_id long, ids array<int>, round_trip boolean")
 
 

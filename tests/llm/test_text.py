@@ -1,5 +1,6 @@
 """Language ID, secret scans, SentencePiece, top-k search."""
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -217,6 +218,27 @@ def test_blocks_say_their_texts_even_if_hashes_collide(monkeypatch):
     assert packed(texts, 4)[2] == want
 
 
+def test_texts_are_read_and_words_folded_once(spark, tmp_path):
+    texts = ["the cat sat on the mat", "x" * 61 + " " + "é" * 70, "ab" * 30 + " tttttttttttttt", "", "zz \U0001f600"]
+    docs(spark, list(zip(range(5), texts, ["en"] * 5, ["s"] * 5))).write.parquet(f"{tmp_path}/docs")
+    df = P.encode(spark.read.parquet(f"{tmp_path}/docs"), MODEL)
+    assert {r["doc_id"]: r["ids"] for r in df.collect()} == dict(enumerate(library.encode(texts)))
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # one scan of the texts, and MapInArrow for packing, distinct words, answers and documents
+    assert plan.count("Scan parquet") == 1 and plan.count("MapInArrow") == 4
+
+
+def test_merges_that_wait_for_others(spark):
+    # "abc" is best but has no two parts at first; "ab" and "bcd" come later
+    ranks = {"abc": -1.0, "bcde": -2.0, "ab": -3.0, "cd": -4.0, "bcd": -5.0, "de": -6.0, "abcd": -7.0, "cde": -8.0}
+    pieces = {c: -100.0 for c in "abcde"} | ranks
+    v = P.Vocabulary(("<unk>", *pieces), (0.0, *pieces.values()), (P.UNK, *[P.NORMAL] * len(pieces)), True, True)
+    texts = ["".join(x) for n in range(1, 7) for x in itertools.product("abcde", repeat=n) if n < 4 or "abc" in "".join(x) or "bcd" in "".join(x)] + ["abcde" * 12, "abcde" * 12 + "a", "abxcd"]
+    got = {r["word"]: r["ids"] for r in P.word_ids(spark.createDataFrame([(0, t) for t in texts], "bucket int, word string"), v).collect()}
+    plain = P._long_encoder(v)
+    assert got == {t: plain(t) if len(t) <= P.FOLD_CHARS else None for t in texts}
+
+
 def test_unigram_models_are_folded_by_viterbi(spark):
     pieces = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.2, "▁a": -3.1, "ba": -4.0, "▁ab": -6.0, "bb": -4.6}
     v = P.Vocabulary(("<unk>", *pieces), (0.0, *pieces.values()), (P.UNK, *[P.NORMAL] * len(pieces)), False, True)
