@@ -388,3 +388,16 @@ def test_allow_list(spark):
 def test_broadcast_only_what_is_small(spark):
     df = spark.range(5)
     assert "broadcast" in small_side(df, 5)._jdf.queryExecution().toString().lower() and "broadcast" not in small_side(df, 10**9)._jdf.queryExecution().toString().lower()
+
+
+def test_payloads_stay_in_python_where_only_sizes_count(spark):
+    """Neither plan has the bytes among what Python gives back, and documents go there once for both codecs."""
+    from quarry.queries import lifecycle
+    from tests.oracle import SF
+
+    plan = lifecycle.compress_verify(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Scan parquet") == 1
+    assert "stored" not in lifecycle.compress_zstd(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(bytearray(b"SPAN " * 2000), "zstd", 3), (bytearray(b""), "lz4", 1), (None, "zstd", 3)], "chunk binary, comp_algo string, comp_level int")
+    cols = ["algo", "reason", "original_size", "compressed_size", "ratio"]
+    assert sorted(codecs.adaptive(rows).select(cols).collect(), key=str) == sorted(codecs.adaptive(rows, keep_stored=False).select(cols).collect(), key=str)

@@ -20,6 +20,6 @@ def odd(request, spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["entropy_per_document", "range_chunk_prune", "read_capsule_roundtrip", "read_range"])
+@pytest.mark.parametrize("name", ["entropy_per_document", "range_chunk_prune", "read_capsule_roundtrip", "read_range", "compress_verify"])
 def test_odd_documents_equal_sql(spark, odd, name):
     compare(spark, catalogue.QUERIES[name], catalogue.ORACLES[name], odd)
