@@ -401,3 +401,32 @@ def test_payloads_stay_in_python_where_only_sizes_count(spark):
     rows = spark.createDataFrame([(bytearray(b"SPAN " * 2000), "zstd", 3), (bytearray(b""), "lz4", 1), (None, "zstd", 3)], "chunk binary, comp_algo string, comp_level int")
     cols = ["algo", "reason", "original_size", "compressed_size", "ratio"]
     assert sorted(codecs.adaptive(rows).select(cols).collect(), key=str) == sorted(codecs.adaptive(rows, keep_stored=False).select(cols).collect(), key=str)
+
+
+def test_payloads_of_a_round_trip_move_seldom(spark):
+    """A read moves stored bytes to their references and opened ones to their capsules; nothing after Python ran is moved a second time."""
+    ring = crypto.KeyRing(KEY)
+    c = written(spark, [(f"c{i}", b"text %d " % (i % 7) * 900) for i in range(40)], "encrypted_compressed", ring, 1024)
+    plan = catalog.read(c, ring=ring)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 8 and plan.count("ArrowEvalPython") <= 2
+    assert len(back(c, ring)) == 40
+
+
+def test_offsets_of_encrypted_segments_follow_their_lengths(spark):
+    ring = crypto.KeyRing(KEY)
+    one = written(spark, [("a", bytes(i * 37 % 251 for i in range(9000))), ("b", b"x" * 5000)], "encrypted", ring, 1000)
+    two = written(spark, [("c", bytes(i * 91 % 253 for i in range(7000))), ("d", b"x" * 5000)], "encrypted", ring, 1000, before=one)
+    ends = 0
+    for r in two.segments.orderBy("segment_id").collect():
+        assert r["offset"] == ends and r["len"] == len(r["payload"])
+        ends += r["len"]
+    assert {r["capsule_id"]: r["deduped_bytes"] > 0 for r in two.capsules.collect()} == {"a": False, "b": True, "c": False, "d": True}
+    refs = {r["segment_id"]: r["n"] for r in two.capsule_segments.groupBy("segment_id").agg(F.count("*").alias("n")).collect()}
+    assert {r["segment_id"]: r["ref_count"] for r in two.segments.collect()} == refs
+
+
+def test_joined_bytes_are_those_of_the_parts(spark):
+    parts = [bytes(range(256)), b"", b"\xff\xfe\xc3(", b"\x00" * 7]
+    rows = spark.createDataFrame([(1, [bytearray(p) for p in parts]), (2, [bytearray(b"a"), None]), (3, None), (4, [])], "k int, p array<binary>").repartition(2)
+    got = {r["k"]: r["d"] for r in rows.select("k", catalog.joined_bytes(F.col("p")).alias("d")).collect()}
+    assert bytes(got[1]) == b"".join(parts) and got[2] is None and got[3] is None and bytes(got[4]) == b""
