@@ -430,3 +430,14 @@ def test_joined_bytes_are_those_of_the_parts(spark):
     rows = spark.createDataFrame([(1, [bytearray(p) for p in parts]), (2, [bytearray(b"a"), None]), (3, None), (4, [])], "k int, p array<binary>").repartition(2)
     got = {r["k"]: r["d"] for r in rows.select("k", catalog.joined_bytes(F.col("p")).alias("d")).collect()}
     assert bytes(got[1]) == b"".join(parts) and got[2] is None and got[3] is None and bytes(got[4]) == b""
+
+
+def test_bytes_that_no_codec_changes_stay_in_the_jvm(spark):
+    """Writing under a policy without a codec runs no Python over payloads, and reading gives it none of them."""
+    rows = spark.createDataFrame([(bytearray(b"q" * 5000), "none", 0), (None, "none", 0)], "chunk binary, comp_algo string, comp_level int")
+    fixed = codecs.adaptive(rows.select("chunk", F.lit("none").alias("comp_algo"), F.lit(0).alias("comp_level")))
+    assert "ArrowEvalPython" not in fixed._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["algo"] or "", r["reason"], r["stored"] and bytes(r["stored"]), r["compressed_size"]) for r in codecs.adaptive(rows).collect())
+    assert got == [("", None, None, None), ("identity", "no compression", b"q" * 5000, 5000)]
+    kept = codecs.adaptive(rows).select(codecs.restored("stored", "algo").alias("d")).collect()
+    assert sorted(bytes(r["d"]) for r in kept if r["d"] is not None) == [b"q" * 5000]
